@@ -38,12 +38,32 @@ def build_session(app: str = "loadkit", master: str | None = None,
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(LOAD_DEFAULTS)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+# Settings for loads that write partitioned tables, applied only where the
+# session leaves them unset.
+LOAD_DEFAULTS = {
+    # Reading a date-partitioned table lists thousands of folders; a few
+    # dozen listing tasks beat one task per folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # Let AQE spread even a small shuffle over the cores, so one task does
+    # not write every partition folder alone.  Large shuffles are unaffected:
+    # their target size stays the advisory partition size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
+}
+
+
+def apply_load_defaults(spark: SparkSession) -> None:
+    for key, value in LOAD_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and staged tables.
 

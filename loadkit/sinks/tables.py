@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadkit.functions.columns import ts_literal
+from loadkit.session import apply_load_defaults
 
 # Files above this many rows are split; keeps files an even size at any scale.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -35,6 +36,7 @@ def append(df: DataFrame, path: str, *, fmt: str = "parquet",
     a batch does not duplicate it.
     """
     if partition_by:
+        apply_load_defaults(df.sparkSession)
         df = df.hint("rebalance", *partition_by)
     mode = "overwrite" if replace_partitions else "append"
     w = _writer(df, fmt, mode, partition_by)
