@@ -60,7 +60,9 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequ
     """Every column as string, named by ``columns``, never inferred.
 
     PERMISSIVE mode keeps short, long and unparsable lines as rows and puts
-    the raw line into ``_corrupt_record`` so a rule can route them.
+    the raw line into ``_corrupt_record`` so a rule can route them.  The
+    check covers the columns a query reads (CSV column pruning), so route
+    malformed lines on a plan that reads the whole row.
     """
     reader = (spark.read.schema(string_schema(columns, keep_corrupt))
               .option("sep", delimiter).option("header", str(header).lower())
@@ -74,6 +76,9 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequ
 
 
 def corrupt_rule() -> dict:
+    """Rule for malformed lines.  Spark rejects a query over the raw file
+    that reads *only* the corrupt column (e.g. counting error rows alone);
+    route and stage the whole row, as the loads do."""
     return {"name": "malformed_line", "condition": F.col(CORRUPT).isNotNull(),
             "message": "line does not match the file layout"}
 
