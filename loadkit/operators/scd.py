@@ -7,10 +7,11 @@ overwriting a path the plan still reads destroys it.
 
 Scale notes.  SCD2 joins the source only to the *current* rows of the
 target, which are unique per key, so the join cannot skew; closed history
-rows never move (no shuffle, just a union).  SCD1 is a full outer join of
-target and source on the key.  Both emit each output row from the joined
-row in one projection (``inline`` of a 1- or 2-element array), so there is
-one join per merge.
+rows never move (no shuffle, just a union).  SCD1 joins the whole target.
+When the incoming batch has a proven row bound, the source is broadcast
+and the target is never shuffled; otherwise one sort-merge full outer
+join.  Both emit each output row from the joined row in one projection
+(``inline`` of a 1- or 2-element array).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from loadkit.functions.columns import (
     any_changed,
     date_literal,
 )
-from loadkit.operators.lookups import assert_unique
+from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, assert_unique, rows_at_most
 
 EFFECTIVE = "effective_date"
 END = "end_date"
@@ -53,11 +54,36 @@ def _side(df: DataFrame, cols: Sequence[str], prefix, marker: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix(c)) for c in cols], F.lit(True).alias(marker))
 
 
-def _full_join(target: DataFrame, tcols, source: DataFrame, scols, keys) -> DataFrame:
+def _full_join(target: DataFrame, tcols, source: DataFrame, scols, keys,
+               broadcast_source: bool | None) -> DataFrame:
+    """Target and source side by side, as a full outer join on the key.
+
+    When the source has a proven row bound (``rows_at_most``) the same
+    shape is built without moving the target at all: target LEFT JOIN
+    broadcast(source) gives every target row, and the source rows whose key
+    the target lacks come from an anti join against the matched keys (a
+    key-column-only scan of the target, semi-joined to the broadcast keys).
+    Otherwise it is one sort-merge full outer join.
+    """
     t = _side(target, tcols, _t, "_t_hit")
     s = _side(source, scols, _s, "_s_hit")
-    cond = [t[_t(k)] == s[_s(k)] for k in keys]
-    return t.join(s, on=cond, how="full_outer")
+    if broadcast_source is None:
+        broadcast_source = rows_at_most(source, DEFAULT_BROADCAST_ROWS)
+    if not broadcast_source:
+        cond = [t[_t(k)] == s[_s(k)] for k in keys]
+        return t.join(s, on=cond, how="full_outer")
+    bs = F.broadcast(s)
+    with_target = t.join(bs, on=[t[_t(k)] == bs[_s(k)] for k in keys], how="left")
+    skeys = F.broadcast(source.select(*[F.col(k).alias(_s(k)) for k in keys]))
+    tkeys = target.select(*[F.col(k).alias(_t(k)) for k in keys])
+    matched = tkeys.join(skeys, on=[tkeys[_t(k)] == skeys[_s(k)] for k in keys], how="left_semi")
+    mk = F.broadcast(matched)
+    only_source = s.join(mk, on=[s[_s(k)] == mk[_t(k)] for k in keys], how="left_anti")
+    types = {f.name: f.dataType for f in t.schema.fields}
+    only_source = only_source.select(
+        *[F.lit(None).cast(types[_t(c)]).alias(_t(c)) for c in tcols],
+        F.lit(None).cast("boolean").alias("_t_hit"), *[_s(c) for c in scols], "_s_hit")
+    return with_target.unionByName(only_source)
 
 
 def _null_key_guard(keys: Sequence[str]) -> Column:
@@ -89,7 +115,8 @@ def change_detection(source: DataFrame, target: DataFrame, keys: Sequence[str],
 def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
                tracked: Sequence[str], as_of: dt.date | str, *,
                effective: str = EFFECTIVE, end: str = END, flag: str = FLAG,
-               check_source_unique: bool = True) -> DataFrame:
+               check_source_unique: bool = True,
+               broadcast_source: bool | None = None) -> DataFrame:
     """Next version of a type-2 dimension.
 
     * key only in target, or tracked columns unchanged: row kept as stored;
@@ -114,7 +141,7 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
     current = target.filter(F.col(flag) == CURRENT)
     closed = target.filter(F.col(flag).isNull() | (F.col(flag) != CURRENT))
 
-    j = _full_join(current, tcols, source, scols, keys)
+    j = _full_join(current, tcols, source, scols, keys, broadcast_source)
     has_t = F.col("_t_hit").isNotNull()
     has_s = F.col("_s_hit").isNotNull()
     changed = has_t & has_s & any_changed((F.col(_t(c)), F.col(_s(c))) for c in tracked)
@@ -159,7 +186,8 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
 # --------------------------------------------------------------------------- SCD1
 def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
                exclude_columns: Sequence[str] = (), *,
-               check_source_unique: bool = True) -> DataFrame:
+               check_source_unique: bool = True,
+               broadcast_source: bool | None = None) -> DataFrame:
     """Next version of a type-1 dimension (output has the target's schema).
 
     Matched keys: every non-key column the source has is overwritten, even
@@ -174,7 +202,7 @@ def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
         assert_unique(source, keys, "SCD1 source")
     scols = [c for c in source.columns if c in tcols]
     types = {f.name: f.dataType for f in target.schema.fields}
-    j = _full_join(target, tcols, source, scols, keys)
+    j = _full_join(target, tcols, source, scols, keys, broadcast_source)
     has_t = F.col("_t_hit").isNotNull()
     has_s = F.col("_s_hit").isNotNull()
 

@@ -32,6 +32,7 @@ from loadkit.operators.transforms import (
 )
 from loadkit.plans.audit import AuditTrail
 from loadkit.plans.staging import Routed, route_and_stage
+from loadkit.session import apply_load_defaults
 from loadkit.sinks.tables import append, publish_version, write_error_rows
 from loadkit.sources.readers import CORRUPT, corrupt_rule, read_delimited
 
@@ -187,6 +188,9 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
 
 # --------------------------------------------------------------------------- PIP3
 def _max_existing(spark: SparkSession, path: str, key: str) -> int:
+    """Largest key already written; with parquet aggregate pushdown this
+    reads file footers only."""
+    apply_load_defaults(spark)
     try:
         existing = spark.read.parquet(path)
     except AnalysisException:

@@ -68,6 +68,18 @@ def test_scd2_branches(spark):
     ], key=_k)
 
 
+@pytest.mark.parametrize("bcast", [True, False])
+def test_scd_paths_agree(spark, bcast):
+    target, source = scd2_fixture(spark)
+    a = scd.scd2_merge(target, source, ["k"], ["a", "b"], D(2024, 6, 1), broadcast_source=bcast)
+    b = scd.scd2_merge(target, source, ["k"], ["a", "b"], D(2024, 6, 1),
+                       broadcast_source=not bcast)
+    assert rows(a) == rows(b)
+    t1 = target.drop("effective_date", "end_date", "is_current")
+    assert rows(scd.scd1_merge(t1, source, ["k"], broadcast_source=bcast)) == \
+        rows(scd.scd1_merge(t1, source, ["k"], broadcast_source=not bcast))
+
+
 def test_scd2_invariants_and_idempotence(spark):
     target, source = scd2_fixture(spark)
     once = scd.scd2_merge(target, source, ["k"], ["a", "b"], D(2024, 6, 1))

@@ -57,7 +57,8 @@ def test_table_scan_prunes_columns(spark):
 
 def test_scd2_is_one_join_and_history_does_not_shuffle(spark):
     out = scd.scd2_merge(I.scd2_target(spark, SF_SMALL), I.scd2_source(spark, SF_SMALL),
-                         ["business_key"], I.SCD2_TRACKED, I.AS_OF, check_source_unique=False)
+                         ["business_key"], I.SCD2_TRACKED, I.AS_OF, check_source_unique=False,
+                         broadcast_source=False)
     text = plan(out)
     assert text.count("SortMergeJoin") == 1
     assert "FullOuter" in text
@@ -84,3 +85,12 @@ def test_fixed_width_reader_is_one_projection(spark, tmp_shared):
     spark.createDataFrame([("  12abc",)], "value string").write.text(tmp_shared)
     df = readers.read_fixed_width(spark, tmp_shared, [("n", 4), ("s", 3)])
     assert [tuple(r)[:2] for r in df.collect()] == [("12", "abc")]
+
+
+def test_scd_broadcast_source_moves_no_target_rows(spark):
+    out = scd.scd1_merge(I.scd1_target(spark, SF_SMALL), I.scd1_source(spark, SF_SMALL),
+                         ["p_partkey"], ["created_date"], broadcast_source=True)
+    text = plan(out)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    # every exchange in the plan is a broadcast of source-sized data
+    assert "Exchange hashpartitioning" not in text
