@@ -33,11 +33,18 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side") -> None:
-    """Raise when a key occurs twice.  Aggregates with a map-side combine."""
-    dup = (df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect())
-    if dup:
-        raise DuplicateLookupKey(f"{what} is not unique on {list(keys)}: {dup[0].asDict()}")
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side") -> int:
+    """Raise when a key occurs twice; return the row count.
+
+    One aggregate with a map-side combine: per-key counts, then their sum
+    and maximum, so the caller also learns the size without another job.
+    """
+    stats = (df.groupBy(*keys).count()
+             .agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first())
+    if stats["most"] is not None and stats["most"] > 1:
+        dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).first()
+        raise DuplicateLookupKey(f"{what} is not unique on {list(keys)}: {dup.asDict()}")
+    return int(stats["rows"] or 0)
 
 
 def _pairs(on: Sequence[str] | dict[str, str]) -> list[tuple[str, str]]:
@@ -79,10 +86,15 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     side = dim.select(*[F.col(dk).alias(key_alias[dk]) for _, dk in pairs],
                       *[F.col(c).alias(o) for c, o in ret.items()],
                       F.lit(True).alias(hit_column))
+    # A null dimension key can never match; drop it before counting keys.
+    for alias in key_alias.values():
+        side = side.filter(F.col(alias).isNotNull())
+    size = None
     if check_unique:
-        assert_unique(side, list(key_alias.values()), "lookup dimension")
+        size = assert_unique(side, list(key_alias.values()), "lookup dimension")
     if broadcast is None:
-        broadcast = rows_at_most(side, max_broadcast_rows)
+        broadcast = (size <= max_broadcast_rows if size is not None
+                     else rows_at_most(side, max_broadcast_rows))
     if broadcast:
         side = F.broadcast(side)
     cond = [df[fk] == side[key_alias[dk]] for fk, dk in pairs]

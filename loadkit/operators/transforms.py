@@ -141,13 +141,21 @@ def _orderable(dtype: T.DataType) -> bool:
 
 
 def deduplicate(df: DataFrame, key_columns: Sequence[str], order_columns: Sequence[str],
-                keep: str = "last") -> DataFrame:
+                keep: str = "last", count_column: str | None = None) -> DataFrame:
     """One row per key: greatest (``last``) or least (``first``) ``order_columns``.
 
     Nulls rank lowest either way.  Ties are broken by every remaining
-    orderable column so the choice repeats run to run.  ``row_number() = 1``
-    lets Spark plan a partial ``WindowGroupLimit`` before the shuffle, so a
-    hot key is reduced to one row per map task before it moves.
+    orderable column so the choice repeats run to run.
+
+    Default plan: ``row_number() = 1``, which Spark runs with a partial
+    ``WindowGroupLimit`` before the shuffle, so a hot key reaches the
+    exchange as one row per map task.
+
+    With ``count_column`` the result also carries each key's row count.
+    That needs an aggregate instead (``max_by`` / ``min_by`` of the row,
+    ordered by a struct of the order and tie-break columns), which is just
+    as skew-safe through partial aggregation, and whose counts come out of
+    the final, exactly-once stage.
     """
     if keep not in ("last", "first"):
         raise ValueError("keep must be 'last' or 'first'")
@@ -155,6 +163,13 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_columns: Sequen
     used = set(keys) | set(order_columns)
     tie = [f.name for f in df.schema.fields if f.name not in used and _orderable(f.dataType)]
     ordering = [*order_columns, *tie]
+    if count_column:
+        others = [c for c in df.columns if c not in keys]
+        pick = F.max_by if keep == "last" else F.min_by
+        row = pick(F.struct(*others), F.struct(*ordering)).alias("_dedup_row")
+        agg = df.groupBy(*keys).agg(row, F.count(F.lit(1)).alias(count_column))
+        return agg.select(*keys, *[F.col("_dedup_row")[c].alias(c) for c in others],
+                          count_column).select(*df.columns, count_column)
     if keep == "last":
         sort = [F.col(c).desc_nulls_last() for c in ordering]
     else:

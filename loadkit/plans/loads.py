@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadkit.functions.columns import date_key
-from loadkit.operators.lookups import all_hits, merge_join, multi_lookup
+from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, all_hits, merge_join, multi_lookup
 from loadkit.operators.routing import enforce_error_limit, tag_errors
 from loadkit.operators.scd import scd1_merge, scd2_merge
 from loadkit.operators.transforms import (
@@ -45,6 +45,11 @@ class LoadResult:
     metrics: dict = field(default_factory=dict)
 
 
+def _observation(label: str) -> Observation:
+    """Observation names must be unique within a session."""
+    return Observation(f"{label}_{uuid.uuid4().hex[:12]}")
+
+
 def _limit(error_limit: int | None, error_fraction: float | None, rows: int) -> int | None:
     limits = []
     if error_limit is not None:
@@ -75,7 +80,10 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     """Null keys routed first (they skip the shuffle), then de-duplicate, then rules.
 
     Rejecting a bad latest row before de-duplication would load an older
-    version of it, so the other rules run on the survivors.
+    version of it, so the other rules run on the survivors.  Every count
+    comes from the staging write itself: the de-duplication carries each
+    key's row count, so rows read and duplicates dropped are exact even
+    when a stage is retried.
     """
     df = lineage_columns(source, source_system=source_system, load_ts=load_ts)
     if derived:
@@ -83,14 +91,18 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     if defaults:
         df = null_defaults(df, defaults)
     nk = _null_key_rule(keys)
-    keyed_obs = Observation(f"{label}_keyed_{uuid.uuid4().hex[:12]}")
-    keyed = df.filter(~nk["condition"]).observe(keyed_obs, F.count(F.lit(1)).alias("rows"))
-    null_keyed = tag_errors(df.filter(nk["condition"]), [nk])
-    deduped = deduplicate(keyed, keys, order_columns, keep="last")
+    per_key = "_key_rows"
+    deduped = deduplicate(df.filter(~nk["condition"]), keys, order_columns, keep="last",
+                          count_column=per_key)
+    null_keyed = tag_errors(df.filter(nk["condition"]), [nk]).withColumn(
+        per_key, F.lit(0).cast("long"))
     routed, metrics = route_and_stage(
         deduped, rules, label, pre_tagged=null_keyed,
-        extra_metrics=[F.count_if(F.array_contains("error_rules", "null_key")).alias("null_keys")])
-    keyed_rows = int(keyed_obs.get["rows"])
+        extra_metrics=[F.count_if(F.array_contains("error_rules", "null_key")).alias("null_keys"),
+                       F.sum(per_key).alias("keyed_rows")])
+    routed.valid = routed.valid.drop(per_key)
+    routed.errors = routed.errors.drop(per_key)
+    keyed_rows = int(metrics["keyed_rows"] or 0)
     null_keys = int(metrics["null_keys"])
     read = keyed_rows + null_keys
     dropped = keyed_rows - (routed.rows - null_keys)
@@ -139,8 +151,9 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
         merged = scd2_merge(spark.table(table), routed.valid, keys, tracked, as_of,
-                            check_source_unique=False)
-        obs = Observation(f"{audit.batch_id}_scd2")
+                            check_source_unique=False,
+                            broadcast_source=routed.valid_rows <= DEFAULT_BROADCAST_ROWS)
+        obs = _observation("scd2")
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
         audit.complete()
@@ -174,8 +187,9 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
         merged = scd1_merge(spark.table(table), routed.valid, keys, exclude_columns,
-                            check_source_unique=False)
-        obs = Observation(f"{audit.batch_id}_scd1")
+                            check_source_unique=False,
+                            broadcast_source=routed.valid_rows <= DEFAULT_BROADCAST_ROWS)
+        obs = _observation("scd1")
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
         audit.complete()
@@ -216,7 +230,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     audit = audit or AuditTrail("fact_load")
 
     def body() -> LoadResult:
-        obs_d, obs_p = Observation(f"{audit.batch_id}_detail"), Observation(f"{audit.batch_id}_primary")
+        obs_d, obs_p = _observation("detail"), _observation("primary")
         d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
         p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows"))
         joined = merge_join(d, p, on=join_on)
@@ -240,7 +254,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         valid = routed.valid.drop(*[f"hit_{n}" for n in names])
         keyed = assign_surrogate_keys(valid, key_column,
                                       offset=_max_existing(spark, path, key_column))
-        obs_w = Observation(f"{audit.batch_id}_write")
+        obs_w = _observation("write")
         keyed = keyed.observe(obs_w, F.count(F.lit(1)).alias("rows"))
         append(keyed, path, partition_by=["date_sk"] if date_column else None)
         audit.record_write("fact_table", obs_w.get["rows"])
@@ -277,7 +291,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
         valid = drop_raw_columns(routed.valid).drop(CORRUPT)
-        obs_w = Observation(f"{audit.batch_id}_write")
+        obs_w = _observation("write")
         append(valid.observe(obs_w, F.count(F.lit(1)).alias("rows")), path,
                partition_by=partition_by)
         audit.record_write("target", obs_w.get["rows"])
@@ -309,7 +323,7 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
-        obs_w = Observation(f"{audit.batch_id}_write")
+        obs_w = _observation("write")
         append(routed.valid.observe(obs_w, F.count(F.lit(1)).alias("rows")), path,
                partition_by=partition_by)
         audit.record_write("target", obs_w.get["rows"])
