@@ -7,7 +7,6 @@ returns what the load wrote, read back.
 
 from __future__ import annotations
 
-
 import uuid
 
 from pyspark.sql import functions as F
