@@ -176,13 +176,15 @@ SELECT o_orderkey, o_totalprice, o_orderpriority,
             ELSE 'small' END AS split_output
 FROM orders""")
 def q_conditional_split(spark, sf):
+    from loadkit.session import scratch_path
+    from loadkit.sinks.tables import write_split
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     price = F.col("o_totalprice")
     cases = [("urgent_large", (F.col("o_orderpriority") == "1-URGENT") & (price >= 300000)),
              ("large", price >= 300000), ("medium", price >= 100000)]
-    outs = routing.conditional_split(o, cases, default="small")
-    labelled = [df.withColumn("split_output", F.lit(name)) for name, df in outs.items()]
-    return transforms.union_all(*labelled)
+    path = scratch_path(spark, "split")
+    write_split(o, cases, path, default="small")     # one pass, one folder per output
+    return spark.read.parquet(path)
 
 
 @query("route_errors_valid", f"""

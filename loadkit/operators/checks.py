@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, rows_at_most
+
 
 # --------------------------------------------------------------------------- VAL1
 def schema_check(df: DataFrame, expected: T.StructType) -> DataFrame:
@@ -81,14 +83,22 @@ def duplicate_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- VAL4
 def ref_integrity_check(child: DataFrame, parent: DataFrame,
-                        on: Sequence[str] | dict[str, str]) -> DataFrame:
+                        on: Sequence[str] | dict[str, str], *,
+                        broadcast: bool | None = None,
+                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Child rows whose key has no parent row (null keys included: they have none).
 
-    ``on``: shared names or {child column: parent column}.  A left-anti join;
-    AQE splits a skewed child partition, and the parent side is reduced to
-    distinct keys first.
+    ``on``: shared names or {child column: parent column}.  A left-anti join
+    against the parent's distinct keys.  When those keys have a proven row
+    bound they are broadcast and the child (usually the large side) is not
+    shuffled; otherwise a sort-merge anti join, where AQE splits a skewed
+    child partition.
     """
     pairs = list(on.items()) if isinstance(on, dict) else [(k, k) for k in on]
     keys = parent.select(*[F.col(p).alias(f"_rk_{i}") for i, (_, p) in enumerate(pairs)]).distinct()
+    if broadcast is None:
+        broadcast = rows_at_most(keys, max_broadcast_rows)
+    if broadcast:
+        keys = F.broadcast(keys)
     cond = [child[c] == keys[f"_rk_{i}"] for i, (c, _) in enumerate(pairs)]
     return child.join(keys, on=cond, how="left_anti")

@@ -96,13 +96,22 @@ def _null_key_guard(keys: Sequence[str]) -> Column:
 # --------------------------------------------------------------------------- SCD3
 def change_detection(source: DataFrame, target: DataFrame, keys: Sequence[str],
                      tracked: Sequence[str], *, flag: str = FLAG,
-                     current_only: bool = True, out: str = "change_type") -> DataFrame:
+                     current_only: bool = True, out: str = "change_type",
+                     broadcast_target: bool | None = None) -> DataFrame:
     """Source rows labelled ``new`` / ``changed`` / ``unchanged`` against the
-    current target version (null-safe: null <-> value is a change)."""
+    current target version (null-safe: null <-> value is a change).
+
+    The projected current rows are broadcast when they have a proven row
+    bound, so the source is not shuffled; otherwise a sort-merge left join.
+    """
     _require([*keys, *tracked], source.columns, "source")
     _require([*keys, *tracked], target.columns, "target")
     cur = target.filter(F.col(flag) == CURRENT) if current_only else target
     t = _side(cur, [*keys, *tracked], _t, "_t_hit")
+    if broadcast_target is None:
+        broadcast_target = rows_at_most(t, DEFAULT_BROADCAST_ROWS)
+    if broadcast_target:
+        t = F.broadcast(t)
     cond = [source[k] == t[_t(k)] for k in keys]
     j = source.join(t, on=cond, how="left")
     changed = any_changed((F.col(c), F.col(_t(c))) for c in tracked)

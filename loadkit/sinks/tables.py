@@ -47,6 +47,19 @@ def append(df: DataFrame, path: str, *, fmt: str = "parquet",
     w.save(path)
 
 
+def write_split(df: DataFrame, cases, path: str, *, default: str = "default",
+                label: str = "split_output", fmt: str = "parquet") -> None:
+    """Write every output of a conditional split in one job.
+
+    Rows are labelled by the first true case (``routing.label_split``) and
+    appended partitioned by the label, so output ``name`` is the folder
+    ``<path>/<label>=<name>``.  One scan of the input, however many outputs;
+    the rebalance spreads a large output over many tasks.
+    """
+    from loadkit.operators.routing import label_split
+    append(label_split(df, cases, default, label), path, fmt=fmt, partition_by=[label])
+
+
 # --------------------------------------------------------------------------- SNK3
 def write_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "append",
                batch_size: int = 1000, num_partitions: int | None = None,

@@ -86,14 +86,19 @@ def corrupt_rule() -> dict:
 # --------------------------------------------------------------------------- SRC5
 def read_fixed_width(spark: SparkSession, path: str | Sequence[str],
                      fields: Sequence[tuple[str, int]], *, trim: bool = True,
-                     encoding: str = "UTF-8", skip_lines: int = 0) -> DataFrame:
+                     encoding: str = "UTF-8", skip_pattern: str | None = None) -> DataFrame:
     """Fixed-width text: ``fields`` is an ordered list of (name, width).
 
     All strings (convert with ``type_conversions``).  A line shorter than the
     layout yields empty-then-null trailing fields; ``_record_length`` keeps
-    the line length so a rule can reject wrong lengths.
+    the line length so a rule can reject wrong lengths.  Lines matching
+    ``skip_pattern`` (a regex: header, trailer, comment lines) are dropped
+    before parsing; lines carry no position once a file is split, so headers
+    are recognised by content.
     """
     text = (spark.read.option("encoding", encoding).text(path))
+    if skip_pattern:
+        text = text.filter(~F.col("value").rlike(skip_pattern))
     line = F.col("value")
     cols = []
     pos = 1
@@ -102,10 +107,7 @@ def read_fixed_width(spark: SparkSession, path: str | Sequence[str],
         v = F.rtrim(F.ltrim(raw)) if trim else raw
         cols.append(F.when(v == "", F.lit(None)).otherwise(v).alias(name))
         pos += width
-    out = text.select(*cols, F.length(line).alias("_record_length"))
-    if skip_lines:
-        raise NotImplementedError("header lines in fixed-width files: filter them by a rule")
-    return out
+    return text.select(*cols, F.length(line).alias("_record_length"))
 
 
 def fixed_width_length_rule(fields: Sequence[tuple[str, int]]) -> dict:

@@ -301,3 +301,40 @@ def test_jdbc_options_partitioned_and_query():
     with pytest.raises(ValueError):
         readers.jdbc_options("jdbc:x", "t", partition_column="a")
 
+
+
+def test_fixed_width_skip_pattern_and_short_line(spark, tmp_shared):
+    spark.createDataFrame([("ID  NAME",), ("  12abc",), ("   7x",)], "value string") \
+        .coalesce(1).write.text(tmp_shared)
+    fields = [("n", 4), ("s", 3)]
+    df = readers.read_fixed_width(spark, tmp_shared, fields, skip_pattern=r"^ID ")
+    valid, errors = routing.route_errors(df, [readers.fixed_width_length_rule(fields)])
+    assert rows(valid, "n", "s") == [("12", "abc")]
+    assert rows(errors, "n", "s") == [("7", "x")]
+
+
+def test_write_split_one_folder_per_output(spark, tmp_shared):
+    df = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "k long, v int")
+    sinks.write_split(df, [("big", F.col("v") > 10)], tmp_shared, default="rest")
+    assert rows(spark.read.parquet(f"{tmp_shared}/split_output=big")) == [(2, 50)]
+    assert rows(spark.read.parquet(f"{tmp_shared}/split_output=rest")) == [(1, 5), (3, None)]
+
+
+def test_fact_load_routes_lookup_misses_to_error_sink(spark, tmp_shared):
+    detail = spark.createDataFrame([(1, 10, 5.0), (2, 10, 60.0), (3, 11, 1.0)],
+                                   "d long, o long, qty double")
+    primary = spark.createDataFrame([(10, 100, D(2024, 1, 1)), (11, 999, D(2024, 1, 2))],
+                                    "o long, cust long, od date")
+    dim = spark.createDataFrame([(100, 7, 1)], "customer_id long, customer_sk long, is_current int")
+    res = loads.load_fact(
+        spark, detail, primary, join_on="o", path=f"{tmp_shared}/fact", date_column="od",
+        lookups=[{"name": "customer", "dim": dim, "current_only": True,
+                  "on": {"cust": "customer_id"}, "columns": ["customer_sk"]}],
+        rules=[{"name": "big_qty", "condition": F.col("qty") > 50, "message": "qty over 50"}],
+        error_path=f"{tmp_shared}/errors", audit=AuditTrail("facts", batch_id="b1"))
+    assert rows(res.output, "d", "customer_sk", "date_sk") == [(1, 7, 20240101)]
+    err = spark.read.parquet(f"{tmp_shared}/errors/pipeline=facts")
+    got = {r.d: (r.error_rules, r.stage, r.batch_id) for r in err.collect()}
+    assert got == {2: (["big_qty"], "validation", "b1"),
+                   3: (["missing_customer"], "validation", "b1")}
+    assert res.metrics == {"detail": 3, "primary": 2, "joined": 3, "errors": 2, "written": 1}
