@@ -2,7 +2,7 @@ from loadkit.operators.checks import (  # noqa: F401
     duplicate_check, null_check, ref_integrity_check, schema_check,
 )
 from loadkit.operators.lookups import (  # noqa: F401
-    DuplicateLookupKey, assert_unique, lookup, lookup_current, lookup_labelled,
+    DuplicateLookupKey, assert_unique, fits_broadcast, lookup, lookup_current, lookup_labelled,
     merge_join, multi_lookup, rows_at_most,
 )
 from loadkit.operators.routing import (  # noqa: F401

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, rows_at_most
+from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, fits_broadcast
 
 
 # --------------------------------------------------------------------------- VAL1
@@ -97,7 +97,7 @@ def ref_integrity_check(child: DataFrame, parent: DataFrame,
     pairs = list(on.items()) if isinstance(on, dict) else [(k, k) for k in on]
     keys = parent.select(*[F.col(p).alias(f"_rk_{i}") for i, (_, p) in enumerate(pairs)]).distinct()
     if broadcast is None:
-        broadcast = rows_at_most(keys, max_broadcast_rows)
+        broadcast = fits_broadcast(keys, max_broadcast_rows)
     if broadcast:
         keys = F.broadcast(keys)
     cond = [child[c] == keys[f"_rk_{i}"] for i, (c, _) in enumerate(pairs)]

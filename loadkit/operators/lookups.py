@@ -1,11 +1,12 @@
 """Merge join and dimension lookups.
 
-Broadcast is used only behind a proven row bound: ``rows_at_most`` runs
-``limit(n + 1).count()``, a job that stops reading after n + 1 rows, so the
-check itself stays cheap on a dimension that turns out large.  Beyond the
-bound the lookup is an ordinary shuffle join; AQE then splits skewed fact
-partitions (``spark.sql.adaptive.skewJoin``), so a key holding a third of
-the fact rows is spread over many tasks instead of one.
+Broadcast is used only behind a proven size bound: ``fits_broadcast``
+aggregates ``limit(n + 1)`` of the side into its row count and byte size,
+one job in which every task stops after n + 1 rows, so the check stays
+cheap on a side that turns out large.  Beyond the bound the lookup is an
+ordinary shuffle join; AQE then splits skewed fact partitions
+(``spark.sql.adaptive.skewJoin``), so a key holding a third of the fact
+rows is spread over many tasks instead of one.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadkit.functions.columns import CURRENT
 
-# Rows of a projected lookup side (keys + a few returned columns) we are
-# willing to ship to every executor.
+# Largest side we ship to every executor: rows, and bytes of payload.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 _HIT = "_lookup_hit"
 
@@ -28,23 +30,66 @@ class DuplicateLookupKey(ValueError):
     """The lookup side has more than one row for a key."""
 
 
+# Bytes of a value of each fixed-width type.
+_FIXED_SIZE = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4,
+               T.DateType: 4, T.FloatType: 4, T.LongType: 8, T.DoubleType: 8,
+               T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16}
+
+
+def _fixed_size(t: T.DataType) -> int:
+    for cls, size in _FIXED_SIZE.items():
+        if isinstance(t, cls):
+            return size
+    return 16
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Payload bytes of a row: actual length of strings and binaries, JSON
+    length of nested values, fixed size otherwise."""
+    total = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(c))
+        else:
+            size = F.lit(_fixed_size(t))
+        total = total + F.coalesce(size, F.lit(0)).cast("long")
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    Aggregates ``limit(max_rows + 1)``: no task reads past that many rows.
+    """
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(row_bytes(df)).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+
+
 def rows_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads at most n + 1 of them."""
+    """True when ``df`` has at most ``n`` rows; no task reads past n + 1."""
     return df.limit(n + 1).count() <= n
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side") -> int:
-    """Raise when a key occurs twice; return the row count.
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side"
+                  ) -> tuple[int, int]:
+    """Raise when a key occurs twice; return (rows, bytes).
 
-    One aggregate with a map-side combine: per-key counts, then their sum
-    and maximum, so the caller also learns the size without another job.
+    One aggregate with a map-side combine: per-key counts and sizes, then
+    their sums and the largest count, so the caller also learns the size
+    of the side without another job.
     """
-    stats = (df.groupBy(*keys).count()
-             .agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first())
+    stats = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b"))
+             .agg(F.sum("n").alias("rows"), F.max("n").alias("most"),
+                  F.sum("b").alias("bytes")).first())
     if stats["most"] is not None and stats["most"] > 1:
         dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).first()
         raise DuplicateLookupKey(f"{what} is not unique on {list(keys)}: {dup.asDict()}")
-    return int(stats["rows"] or 0)
+    return int(stats["rows"] or 0), int(stats["bytes"] or 0)
 
 
 def _pairs(on: Sequence[str] | dict[str, str]) -> list[tuple[str, str]]:
@@ -68,13 +113,15 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
                     columns: Sequence[str] | dict[str, str], *,
                     broadcast: bool | None = None,
                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                     check_unique: bool = True,
                     hit_column: str = _HIT) -> DataFrame:
     """Left join ``df`` to the projected ``dim``; adds ``columns`` and a hit flag.
 
     ``on``: key names shared by both sides, or {df column: dim column}.
     ``columns``: dim columns to return, or {dim column: output name}.
-    ``broadcast``: True / False to force, None to decide by ``rows_at_most``.
+    ``broadcast``: True / False to force, None to decide by the measured
+    size of the projected side (rows and bytes).
     A null key never matches.
     """
     pairs = _pairs(on)
@@ -93,8 +140,10 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     if check_unique:
         size = assert_unique(side, list(key_alias.values()), "lookup dimension")
     if broadcast is None:
-        broadcast = (size <= max_broadcast_rows if size is not None
-                     else rows_at_most(side, max_broadcast_rows))
+        if size is not None:
+            broadcast = size[0] <= max_broadcast_rows and size[1] <= max_broadcast_bytes
+        else:
+            broadcast = fits_broadcast(side, max_broadcast_rows, max_broadcast_bytes)
     if broadcast:
         side = F.broadcast(side)
     cond = [df[fk] == side[key_alias[dk]] for fk, dk in pairs]

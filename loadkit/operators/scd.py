@@ -29,7 +29,7 @@ from loadkit.functions.columns import (
     any_changed,
     date_literal,
 )
-from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, assert_unique, rows_at_most
+from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, assert_unique, fits_broadcast
 
 EFFECTIVE = "effective_date"
 END = "end_date"
@@ -58,7 +58,7 @@ def _full_join(target: DataFrame, tcols, source: DataFrame, scols, keys,
                broadcast_source: bool | None) -> DataFrame:
     """Target and source side by side, as a full outer join on the key.
 
-    When the source has a proven row bound (``rows_at_most``) the same
+    When the source has a proven size bound (``fits_broadcast``) the same
     shape is built without moving the target at all: target LEFT JOIN
     broadcast(source) gives every target row, and the source rows whose key
     the target lacks come from an anti join against the matched keys (a
@@ -68,7 +68,7 @@ def _full_join(target: DataFrame, tcols, source: DataFrame, scols, keys,
     t = _side(target, tcols, _t, "_t_hit")
     s = _side(source, scols, _s, "_s_hit")
     if broadcast_source is None:
-        broadcast_source = rows_at_most(source, DEFAULT_BROADCAST_ROWS)
+        broadcast_source = fits_broadcast(source)
     if not broadcast_source:
         cond = [t[_t(k)] == s[_s(k)] for k in keys]
         return t.join(s, on=cond, how="full_outer")
@@ -109,7 +109,7 @@ def change_detection(source: DataFrame, target: DataFrame, keys: Sequence[str],
     cur = target.filter(F.col(flag) == CURRENT) if current_only else target
     t = _side(cur, [*keys, *tracked], _t, "_t_hit")
     if broadcast_target is None:
-        broadcast_target = rows_at_most(t, DEFAULT_BROADCAST_ROWS)
+        broadcast_target = fits_broadcast(t)
     if broadcast_target:
         t = F.broadcast(t)
     cond = [source[k] == t[_t(k)] for k in keys]

@@ -18,7 +18,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadkit.functions.columns import date_key
-from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, all_hits, merge_join, multi_lookup
+from loadkit.operators.lookups import (
+    DEFAULT_BROADCAST_BYTES,
+    DEFAULT_BROADCAST_ROWS,
+    all_hits,
+    merge_join,
+    multi_lookup,
+)
 from loadkit.operators.routing import enforce_error_limit, tag_errors
 from loadkit.operators.scd import scd1_merge, scd2_merge
 from loadkit.operators.transforms import (
@@ -68,6 +74,13 @@ def _finish_routing(routed: Routed, audit: AuditTrail, *, pipeline: str, stage:
         write_error_rows(routed.errors, error_path, pipeline, stage, audit.batch_id, load_ts)
 
 
+def _bounded(routed: Routed) -> bool:
+    """The staged valid rows are small enough to broadcast (rows and bytes
+    measured by the staging write itself)."""
+    return (routed.valid_rows <= DEFAULT_BROADCAST_ROWS
+            and routed.valid_bytes <= DEFAULT_BROADCAST_BYTES)
+
+
 def _null_key_rule(keys: Sequence[str]) -> dict:
     cond = F.lit(False)
     for k in keys:
@@ -152,7 +165,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
                         error_fraction=error_fraction, load_ts=load_ts)
         merged = scd2_merge(spark.table(table), routed.valid, keys, tracked, as_of,
                             check_source_unique=False,
-                            broadcast_source=routed.valid_rows <= DEFAULT_BROADCAST_ROWS)
+                            broadcast_source=_bounded(routed))
         obs = _observation("scd2")
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
@@ -188,7 +201,7 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
                         error_fraction=error_fraction, load_ts=load_ts)
         merged = scd1_merge(spark.table(table), routed.valid, keys, exclude_columns,
                             check_source_unique=False,
-                            broadcast_source=routed.valid_rows <= DEFAULT_BROADCAST_ROWS)
+                            broadcast_source=_bounded(routed))
         obs = _observation("scd1")
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
@@ -230,6 +243,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     audit = audit or AuditTrail("fact_load")
 
     def body() -> LoadResult:
+        # Probe the target before any Observation exists: a missing path
+        # (first load) then fails quietly.
+        offset = _max_existing(spark, path, key_column)
         obs_d, obs_p = _observation("detail"), _observation("primary")
         d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
         p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows"))
@@ -252,8 +268,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
         valid = routed.valid.drop(*[f"hit_{n}" for n in names])
-        keyed = assign_surrogate_keys(valid, key_column,
-                                      offset=_max_existing(spark, path, key_column))
+        keyed = assign_surrogate_keys(valid, key_column, offset=offset)
         obs_w = _observation("write")
         keyed = keyed.observe(obs_w, F.count(F.lit(1)).alias("rows"))
         append(keyed, path, partition_by=["date_sk"] if date_column else None)

@@ -5,8 +5,9 @@ before anything is published, and counts for the audit.  Recomputing the
 upstream plan (joins, de-duplication) for each of those would repeat its
 shuffles, and caching a large frame in executor memory does not survive a
 lost executor.  So the routed frame is written once to the shared folder,
-partitioned by its route, with an ``Observation`` collecting the counts on
-that same write; the outputs are partition-pruned reads of it.
+partitioned by its route, with an ``Observation`` collecting the counts
+(and the valid rows' byte size, which decides later broadcasts) on that
+same write; the outputs are partition-pruned reads of it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loadkit.operators.lookups import row_bytes
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, is_error_row, tag_errors
 from loadkit.session import scratch_path
 
@@ -47,6 +49,7 @@ class Routed:
     rows: int
     error_rows: int
     path_frame: DataFrame
+    valid_bytes: int = 0
 
     @property
     def valid_rows(self) -> int:
@@ -71,11 +74,14 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
         tagged = tagged.unionByName(pre_tagged.select(*tagged.columns))
     tagged = tagged.withColumn(
         ROUTE, F.when(is_error_row(), F.lit("error")).otherwise(F.lit("valid")))
+    valid_size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
     staged, metrics = stage(
         tagged, label, partition_by=[ROUTE],
-        metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"), *extra_metrics])
+        metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
+                 F.sum(valid_size).alias("valid_bytes"), *extra_metrics])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)
     errors = staged.filter(F.col(ROUTE) == "error").drop(ROUTE)
     routed = Routed(valid=valid, errors=errors, rows=int(metrics["rows"]),
-                    error_rows=int(metrics["errors"]), path_frame=staged)
+                    error_rows=int(metrics["errors"]), path_frame=staged,
+                    valid_bytes=int(metrics["valid_bytes"] or 0))
     return routed, metrics
