@@ -122,13 +122,20 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     return routed, read, dropped
 
 
-def _run(audit: AuditTrail, body: Callable[[], LoadResult]) -> LoadResult:
+def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[], LoadResult],
+         audit_path: str | None) -> LoadResult:
+    """Run a load under its audit trail; append the trail to ``audit_path``
+    whether the load completes or fails."""
     audit.start()
     try:
         result = body()
     except Exception as e:
         audit.fail(f"{type(e).__name__}: {e}")
+        if audit_path:
+            audit.write(spark, audit_path)
         raise
+    if audit_path:
+        audit.write(spark, audit_path)
     return result
 
 
@@ -141,7 +148,8 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
                         source_system: str = "SOURCE_DB", load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
-                        audit: AuditTrail | None = None) -> LoadResult:
+                        audit: AuditTrail | None = None,
+                        audit_path: str | None = None) -> LoadResult:
     """Read -> exit if empty -> derive -> null defaults -> route null keys ->
     de-duplicate -> other rules -> SCD2 merge -> publish -> audit.
 
@@ -174,7 +182,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
                            "valid": routed.valid_rows, "version_rows": obs.get["rows"]})
 
-    return _run(audit, body)
+    return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP2
@@ -185,7 +193,8 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
                         source_system: str = "SOURCE_DB", load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
-                        audit: AuditTrail | None = None) -> LoadResult:
+                        audit: AuditTrail | None = None,
+                        audit_path: str | None = None) -> LoadResult:
     """Read -> derive -> route null keys -> de-duplicate -> rules -> SCD1 -> publish -> audit."""
     audit = audit or AuditTrail("dimension_scd1")
 
@@ -210,7 +219,7 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
                            "valid": routed.valid_rows, "version_rows": obs.get["rows"]})
 
-    return _run(audit, body)
+    return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP3
@@ -232,7 +241,8 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
               rules: Sequence[dict] = (), key_column: str = "fact_sk",
               source_system: str = "OLTP", load_ts=None, error_path: str | None = None,
               error_limit: int | None = None, error_fraction: float | None = None,
-              audit: AuditTrail | None = None) -> LoadResult:
+              audit: AuditTrail | None = None,
+                        audit_path: str | None = None) -> LoadResult:
     """Two reads -> inner join -> dimension lookups -> derive (+ ``date_sk``) ->
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
     by ``date_sk`` -> audit.
@@ -279,7 +289,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                            "joined": routed.rows, "errors": routed.error_rows,
                            "written": obs_w.get["rows"]})
 
-    return _run(audit, body)
+    return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP4
@@ -289,7 +299,8 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                    encoding: str = "UTF-8", load_ts=None, error_path: str | None = None,
                    error_limit: int | None = 50, error_fraction: float | None = None,
                    partition_by: Sequence[str] | None = None,
-                   audit: AuditTrail | None = None) -> LoadResult:
+                   audit: AuditTrail | None = None,
+                        audit_path: str | None = None) -> LoadResult:
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
     conversion failures, user rules) -> error limit -> append -> audit."""
     audit = audit or AuditTrail("flat_file_ingest")
@@ -315,7 +326,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                           {"read": routed.rows, "errors": routed.error_rows,
                            "written": obs_w.get["rows"]})
 
-    return _run(audit, body)
+    return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP5
@@ -324,7 +335,8 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
                  rules: Sequence[dict] = (), partition_by: Sequence[str] | None = None,
                  load_ts=None, error_path: str | None = None, error_limit: int | None = None,
                  error_fraction: float | None = None,
-                 audit: AuditTrail | None = None) -> LoadResult:
+                 audit: AuditTrail | None = None,
+                        audit_path: str | None = None) -> LoadResult:
     """User steps (``DataFrame.transform`` functions, in order) -> rules ->
     append -> audit."""
     audit = audit or AuditTrail("generic")
@@ -347,4 +359,4 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
                           {"read": routed.rows, "errors": routed.error_rows,
                            "written": obs_w.get["rows"]})
 
-    return _run(audit, body)
+    return _run(spark, audit, body, audit_path)

@@ -338,3 +338,23 @@ def test_fact_load_routes_lookup_misses_to_error_sink(spark, tmp_shared):
     assert got == {2: (["big_qty"], "validation", "b1"),
                    3: (["missing_customer"], "validation", "b1")}
     assert res.metrics == {"detail": 3, "primary": 2, "joined": 3, "errors": 2, "written": 1}
+
+
+def test_fits_broadcast_bounds_rows_and_bytes(spark):
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string")
+    wide = spark.createDataFrame([(1, "x" * 5000)], "k long, s string")
+    assert lookups.fits_broadcast(small, max_rows=2, max_bytes=1000)
+    assert not lookups.fits_broadcast(small, max_rows=1, max_bytes=1000)
+    assert not lookups.fits_broadcast(wide, max_rows=10, max_bytes=1000)
+
+
+def test_audit_trail_persisted_on_failure(spark, tmp_shared):
+    df = spark.createDataFrame([(1, -1.0)], "k long, x double")
+    with pytest.raises(ErrorLimitExceeded):
+        loads.load_generic(spark, df, path=f"{tmp_shared}/t", error_limit=0,
+                           rules=[{"name": "neg", "condition": F.col("x") < 0}],
+                           audit=AuditTrail("gen", batch_id="b9"),
+                           audit_path=f"{tmp_shared}/audit")
+    got = rows(spark.read.parquet(f"{tmp_shared}/audit"), "seq", "kind", "rows", "status")
+    assert got == [(1, "start", None, "running"), (2, "read", 1, "ok"), (3, "error", 1, "ok"),
+                   (4, "end", None, "failed")]
