@@ -439,3 +439,20 @@ def q_restartable_ingest(spark, sf):
 
 
 
+
+
+@query("restartable_ingest_routed", """
+SELECT * FROM orders WHERE NOT COALESCE(o_totalprice < 5000, false)""")
+def q_restartable_ingest_routed(spark, sf):
+    root = scratch_path(spark, "restartable-routed")
+    orders = table(spark, sf, "orders")
+    kw = dict(target=f"{root}/target", checkpoint=f"{root}/checkpoint", fmt="csv",
+              options={"header": "true"}, load_ts=I.LOAD_TS, error_path=f"{root}/errors",
+              rules=[order_rules()[0]])
+    for i, (name, prios) in enumerate(DROPS):
+        orders.filter(F.col("o_orderpriority").isin(*prios)).write \
+            .option("header", "true").csv(f"{root}/incoming/{name}")
+        if i >= 1:       # first run after two drops, second after the third
+            ingest_new_files(spark, f"{root}/incoming/*/*.csv", ORDERS_SCHEMA, **kw)
+    ingest_new_files(spark, f"{root}/incoming/*/*.csv", ORDERS_SCHEMA, **kw)  # nothing new
+    return spark.read.parquet(f"{root}/target").select(*ORDERS_SCHEMA.names)

@@ -18,6 +18,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadkit.functions.columns import file_name, ts_literal
+from loadkit.operators.routing import is_error_row, tag_errors
+
+BATCH_COLUMN = "ingest_batch"
+
+
+def _routed_batch_writer(rules, target: str, error_path: str | None, fmt: str,
+                         partition_by: Sequence[str] | None):
+    """foreachBatch body: split a micro-batch by ``rules`` and write both outputs.
+
+    Each output goes to the partition ``ingest_batch=<epoch>`` with dynamic
+    overwrite.  A batch that is re-run after a crash replaces its own
+    partial output, so every batch lands exactly once.
+    """
+    parts = [BATCH_COLUMN, *(partition_by or [])]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        tagged = tag_errors(batch, rules).withColumn(BATCH_COLUMN, F.lit(epoch).cast("long"))
+        tagged = tagged.persist()        # one micro-batch, read twice below
+        try:
+            valid = tagged.filter(~is_error_row()).drop("error_rules", "error_messages")
+            (valid.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(*parts).save(target))
+            if error_path:
+                (tagged.filter(is_error_row()).write.format(fmt).mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN)
+                 .save(error_path))
+        finally:
+            tagged.unpersist()
+
+    return write
 
 
 def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType, *,
@@ -25,11 +55,17 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
                      options: Mapping[str, str] | None = None,
                      load_ts: dt.datetime | str | None = None,
                      max_files_per_trigger: int | None = 1000,
-                     partition_by: Sequence[str] | None = None) -> dict:
+                     partition_by: Sequence[str] | None = None,
+                     rules: Sequence[dict] | None = None,
+                     error_path: str | None = None) -> dict:
     """Append every not-yet-ingested file under ``source_glob`` to ``target``.
 
-    Adds ``source_file`` (base name) and ``load_timestamp``.  Returns the
-    number of rows and files this run took in.
+    Adds ``source_file`` (base name) and ``load_timestamp``.  Without
+    ``rules`` the parquet file sink commits each micro-batch atomically.
+    With ``rules`` each micro-batch is routed (valid rows to ``target``,
+    error rows with their reasons to ``error_path``) by an idempotent
+    ``foreachBatch`` writer, both outputs partitioned by ``ingest_batch``.
+    Returns the number of rows taken in and the number of micro-batches.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     for k, v in (options or {}).items():
@@ -41,16 +77,22 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
         "source_file": file_name(F.col("_metadata.file_path")),
         "load_timestamp": ts_literal(load_ts),
     })
-    writer = (stream.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    q = writer.start(target)
+    writer = (stream.writeStream.option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    if rules:
+        q = writer.foreachBatch(_routed_batch_writer(rules, target, error_path, "parquet",
+                                                     partition_by)).start()
+    else:
+        writer = writer.format("parquet").outputMode("append")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        q = writer.start(target)
     q.awaitTermination()
-    rows = files = 0
-    for p in q.recentProgress:
-        rows += int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows)
-    files = len(q.recentProgress)
     if q.exception():
         raise q.exception()
-    return {"rows": rows, "batches": files}
+    progress = q.recentProgress
+    rows = sum(int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows)
+               for p in progress)
+    batches = sum(1 for p in progress
+                  if int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows) > 0)
+    return {"rows": rows, "batches": batches}

@@ -358,3 +358,21 @@ def test_audit_trail_persisted_on_failure(spark, tmp_shared):
     got = rows(spark.read.parquet(f"{tmp_shared}/audit"), "seq", "kind", "rows", "status")
     assert got == [(1, "start", None, "running"), (2, "read", 1, "ok"), (3, "error", 1, "ok"),
                    (4, "end", None, "failed")]
+
+
+def test_restartable_ingest_routes_errors_per_batch(spark, tmp_shared):
+    from loadkit.streaming.ingest import ingest_new_files
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("x", T.DoubleType())])
+    kw = dict(target=f"{tmp_shared}/t", checkpoint=f"{tmp_shared}/c", options={"header": "true"},
+              rules=[{"name": "neg", "condition": F.col("x") < 0, "message": "negative"}],
+              error_path=f"{tmp_shared}/e")
+    spark.createDataFrame([(1, 1.0), (2, -1.0)], "k long, x double").coalesce(1).write \
+        .option("header", "true").csv(f"{tmp_shared}/in/a")
+    assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, **kw)["rows"] == 2
+    spark.createDataFrame([(3, 5.0)], "k long, x double").coalesce(1).write \
+        .option("header", "true").csv(f"{tmp_shared}/in/b")
+    assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, **kw)["rows"] == 1
+    assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, **kw)["rows"] == 0
+    assert rows(spark.read.parquet(f"{tmp_shared}/t"), "k") == [(1,), (3,)]
+    err = spark.read.parquet(f"{tmp_shared}/e").collect()
+    assert [(r.k, r.error_rules) for r in err] == [(2, ["neg"])]
