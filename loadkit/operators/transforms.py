@@ -214,8 +214,11 @@ def assign_surrogate_keys(df: DataFrame, key: str, *, order_by: Sequence[str] |
     Without ``order_by`` the frame must already be deterministic (e.g. a
     staged table read back) and numbering follows its partitions.
 
-    Each partition's start is the sum of the counts before it: one small
-    aggregate whose result has one row per partition.
+    Each partition's first key is the sum of the row counts of the
+    partitions before it.  Those counts are one row per partition (bounded
+    by the partition count, not the data); their running sums go back to
+    the executors as a broadcast table joined on ``spark_partition_id``,
+    which leaves every data row in its partition.
     """
     spark = df.sparkSession
     if order_by:
@@ -225,19 +228,21 @@ def assign_surrogate_keys(df: DataFrame, key: str, *, order_by: Sequence[str] |
         ranged = (df.repartitionByRange(n, *order_by)
                   .sortWithinPartitions(*order_by))
         df = ranged.checkpoint(eager=True)
-    pid = "_sk_pid"
+    pid, pos, first = "_sk_pid", "_sk_pos", "_sk_first"
     counts = (df.groupBy(F.spark_partition_id().alias(pid)).count()
               .orderBy(pid).collect())
-    starts: dict[int, int] = {}
-    running = 0
+    starts, running = [], 0
     for row in counts:
-        starts[row[pid]] = running
+        starts.append((row[pid], running))
         running += row["count"]
-    if not starts:
-        return df.withColumn(key, F.lit(None).cast("long"))
-    start_map = F.create_map(*[x for p, s in sorted(starts.items())
-                               for x in (F.lit(p), F.lit(s).cast("long"))])
+    schema = T.StructType([T.StructField(pid, T.IntegerType()),
+                           T.StructField(first, T.LongType())])
+    start_table = F.broadcast(spark.createDataFrame(starts, schema))
+    numbered = df.withColumns({
+        pid: F.spark_partition_id(),
+        pos: F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
+    })
     base = offset if isinstance(offset, Column) else F.lit(offset).cast("long")
-    pos = F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))
-    return df.withColumn(
-        key, base + F.element_at(start_map, F.spark_partition_id()) + pos + F.lit(1).cast("long"))
+    return (numbered.join(start_table, on=pid, how="inner")
+            .withColumn(key, base + F.col(first) + F.col(pos) + F.lit(1).cast("long"))
+            .drop(pid, pos, first))
