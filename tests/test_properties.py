@@ -131,3 +131,48 @@ def test_dimension_load_audit_counts_exact(spark):
     assert m["dropped"] == total - null_keys - keys
     assert m["errors"] == null_keys + bad
     assert m["valid"] == keys - bad
+
+
+@st.composite
+def scd1_inputs(draw):
+    keys = range(draw(st.integers(1, 10)))
+    target = [(k, draw(VALS), draw(VALS)) for k in keys if draw(st.booleans())]
+    source = [(k, draw(VALS), draw(VALS)) for k in keys if draw(st.booleans())]
+    return target, source
+
+
+@PROPS
+@given(data=scd1_inputs(), bcast=st.booleans())
+def test_scd1_matches_model(spark, data, bcast):
+    target, source = data
+    schema = "k long, v string, keep string"
+    out = scd.scd1_merge(spark.createDataFrame(target, schema),
+                         spark.createDataFrame(source, schema), ["k"],
+                         exclude_columns=["keep"], broadcast_source=bcast)
+    t, s = {r[0]: r for r in target}, {r[0]: r for r in source}
+    want = []
+    for k in sorted(set(t) | set(s)):
+        if k in t and k in s:
+            want.append((k, s[k][1], t[k][2]))     # update; excluded column kept
+        else:
+            want.append(t.get(k) or s[k])
+    assert rows(out) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@PROPS
+@given(data=st.lists(st.tuples(st.integers(0, 50), st.one_of(st.none(), st.integers(-5, 5))),
+                     max_size=30))
+def test_route_errors_matches_model(spark, data):
+    df = spark.createDataFrame(data, "k long, x long")
+    rules = [{"name": "neg", "condition": F.col("x") < 0},
+             {"name": "big_key", "condition": F.col("k") > 40}]
+    valid, errors = routing.route_errors(df, rules)
+
+    def failed(r):
+        return [n for n, hit in (("neg", r[1] is not None and r[1] < 0), ("big_key", r[0] > 40))
+                if hit]
+
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert rows(valid) == sorted([r for r in data if not failed(r)], key=key)
+    got = sorted(((r.k, r.x, tuple(r.error_rules)) for r in errors.collect()), key=key)
+    assert got == sorted([(*r, tuple(failed(r))) for r in data if failed(r)], key=key)
