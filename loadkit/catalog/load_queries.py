@@ -198,7 +198,8 @@ def q_empty_source_exit(spark, sf):
     src = scd2_load_source(spark, sf).withColumn("modified_date", _ntz("2024-05-01 00:00:00"))
     src = readers.incremental_extract(src, "modified_date", I.AS_OF, lookback_days=3)
     result = run_scd2_load(spark, sf, source=src)
-    assert result.audit.status == "complete"
+    if result.audit.status != "complete" or result.audit.count("read") != 0:
+        raise RuntimeError("an empty source must end the load as complete with nothing read")
     return result.output
 
 

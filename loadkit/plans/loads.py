@@ -302,7 +302,11 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                    audit: AuditTrail | None = None,
                    audit_path: str | None = None) -> LoadResult:
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
-    conversion failures, user rules) -> error limit -> append -> audit."""
+    conversion failures, user rules) -> error limit -> append -> audit.
+
+    The default limit of 50 bad rows is the file job's skip limit; pass
+    ``error_limit=None`` and/or ``error_fraction`` to change it.
+    """
     audit = audit or AuditTrail("flat_file_ingest")
 
     def body() -> LoadResult:

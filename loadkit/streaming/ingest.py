@@ -57,7 +57,8 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
                      max_files_per_trigger: int | None = 1000,
                      partition_by: Sequence[str] | None = None,
                      rules: Sequence[dict] | None = None,
-                     error_path: str | None = None) -> dict:
+                     error_path: str | None = None,
+                     audit=None) -> dict:
     """Append every not-yet-ingested file under ``source_glob`` to ``target``.
 
     Adds ``source_file`` (base name) and ``load_timestamp``.  Without
@@ -65,8 +66,11 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
     With ``rules`` each micro-batch is routed (valid rows to ``target``,
     error rows with their reasons to ``error_path``) by an idempotent
     ``foreachBatch`` writer, both outputs partitioned by ``ingest_batch``.
-    Returns the number of rows taken in and the number of micro-batches.
+    Returns the number of rows taken in and the number of micro-batches;
+    with an ``AuditTrail`` the run is also recorded there.
     """
+    if audit is not None:
+        audit.start()
     reader = spark.readStream.format(fmt).schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -89,10 +93,15 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
         q = writer.start(target)
     q.awaitTermination()
     if q.exception():
+        if audit is not None:
+            audit.fail(str(q.exception()))
         raise q.exception()
     progress = q.recentProgress
     rows = sum(int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows)
                for p in progress)
     batches = sum(1 for p in progress
                   if int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows) > 0)
+    if audit is not None:
+        audit.record_read("new_files", rows)
+        audit.complete(f"{batches} micro-batches")
     return {"rows": rows, "batches": batches}

@@ -290,8 +290,10 @@ def test_restartable_ingest_takes_each_file_once(spark, tmp_shared):
     assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, **kw)["rows"] == 0
     spark.range(5, 8).withColumnRenamed("id", "k").write.option("header", "true").csv(
         f"{tmp_shared}/in/b")
-    assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, **kw)["rows"] == 3
+    audit = AuditTrail("ingest")
+    assert ingest_new_files(spark, f"{tmp_shared}/in/*/*.csv", schema, audit=audit, **kw)["rows"] == 3
     assert spark.read.parquet(f"{tmp_shared}/t").count() == 8
+    assert audit.status == "complete" and audit.count("read") == 3
 
 
 def test_jdbc_options_partitioned_and_query():
