@@ -13,7 +13,6 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ from loadkit.operators.transforms import (
 )
 from loadkit.plans.audit import AuditTrail
 from loadkit.plans.staging import Routed, route_and_stage
-from loadkit.session import apply_load_defaults
+from loadkit.session import apply_load_defaults, path_exists
 from loadkit.sinks.tables import append, publish_version, write_error_rows
 from loadkit.sources.readers import CORRUPT, corrupt_rule, read_delimited
 
@@ -227,11 +226,9 @@ def _max_existing(spark: SparkSession, path: str, key: str) -> int:
     """Largest key already written; with parquet aggregate pushdown this
     reads file footers only."""
     apply_load_defaults(spark)
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return 0
-    top = existing.agg(F.max(key)).first()[0]
+    top = spark.read.parquet(path).agg(F.max(key)).first()[0]
     return int(top or 0)
 
 
@@ -253,8 +250,6 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     audit = audit or AuditTrail("fact_load")
 
     def body() -> LoadResult:
-        # Probe the target before any Observation exists: a missing path
-        # (first load) then fails quietly.
         offset = _max_existing(spark, path, key_column)
         obs_d, obs_p = _observation("detail"), _observation("primary")
         d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))

@@ -87,6 +87,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loadkit/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, on whatever filesystem its scheme names.
+
+    Asking the filesystem avoids issuing a read that fails, which the
+    session's query listeners would report as an error.
+    """
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python can open a local path (tests only)."""
     if path.startswith("file:"):
