@@ -89,7 +89,7 @@ def ref_integrity_check(child: DataFrame, parent: DataFrame,
     """Child rows whose key has no parent row (null keys included: they have none).
 
     ``on``: shared names or {child column: parent column}.  A left-anti join
-    against the parent's distinct keys.  When those keys have a proven row
+    against the parent's distinct keys.  When those keys have a proven size
     bound they are broadcast and the child (usually the large side) is not
     shuffled; otherwise a sort-merge anti join, where AQE splits a skewed
     child partition.

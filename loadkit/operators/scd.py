@@ -8,7 +8,7 @@ overwriting a path the plan still reads destroys it.
 Scale notes.  SCD2 joins the source only to the *current* rows of the
 target, which are unique per key, so the join cannot skew; closed history
 rows never move (no shuffle, just a union).  SCD1 joins the whole target.
-When the incoming batch has a proven row bound, the source is broadcast
+When the incoming batch has a proven size bound, the source is broadcast
 and the target is never shuffled; otherwise one sort-merge full outer
 join.  Both emit each output row from the joined row in one projection
 (``inline`` of a 1- or 2-element array).
@@ -101,7 +101,7 @@ def change_detection(source: DataFrame, target: DataFrame, keys: Sequence[str],
     """Source rows labelled ``new`` / ``changed`` / ``unchanged`` against the
     current target version (null-safe: null <-> value is a change).
 
-    The projected current rows are broadcast when they have a proven row
+    The projected current rows are broadcast when they have a proven size
     bound, so the source is not shuffled; otherwise a sort-merge left join.
     """
     _require([*keys, *tracked], source.columns, "source")
