@@ -1,9 +1,9 @@
 """Merge join and dimension lookups.
 
 Broadcast is used only behind a proven size bound: ``fits_broadcast``
-aggregates ``limit(n + 1)`` of the side into its row count and byte size,
-one job in which every task stops after n + 1 rows, so the check stays
-cheap on a side that turns out large.  Beyond the bound the lookup is an
+checks the row count with an incremental take that stops at row n + 1
+(so a side that turns out large costs a few partitions), then sums the
+bytes of a side known to be small.  Beyond the bound the lookup is an
 ordinary shuffle join; AQE then splits skewed fact partitions
 (``spark.sql.adaptive.skewJoin``), so a key holding a third of the fact
 rows is spread over many tasks instead of one.
@@ -59,20 +59,32 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+def more_rows_than(df: DataFrame, n: int) -> bool:
+    """True when ``df`` has more than ``n`` rows.
 
-    Aggregates ``limit(max_rows + 1)``: no task reads past that many rows.
+    ``offset(n).limit(1).collect()`` runs as an incremental take: Spark
+    scans one partition, then ever larger batches, and stops as soon as row
+    n + 1 exists; only zero-column rows move, and at most one reaches
+    Python.  A side far above the bound costs a few partitions.
     """
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum(row_bytes(df)).alias("b")).first()
-    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+    return len(df.select().offset(n).limit(1).collect()) > 0
 
 
 def rows_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; no task reads past n + 1."""
-    return df.limit(n + 1).count() <= n
+    return not more_rows_than(df, n)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    The row bound is checked first (incrementally, see ``more_rows_than``);
+    only a side already known to be small is then summed for its bytes.
+    """
+    if more_rows_than(df, max_rows):
+        return False
+    size = df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"]
+    return (size or 0) <= max_bytes
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side"

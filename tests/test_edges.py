@@ -378,3 +378,17 @@ def test_restartable_ingest_routes_errors_per_batch(spark, tmp_shared):
     assert rows(spark.read.parquet(f"{tmp_shared}/t"), "k") == [(1,), (3,)]
     err = spark.read.parquet(f"{tmp_shared}/e").collect()
     assert [(r.k, r.error_rules) for r in err] == [(2, ["neg"])]
+
+
+def test_row_bound_is_exact_and_incremental(spark):
+    small = spark.range(0, 500, numPartitions=4)
+    assert lookups.more_rows_than(small, 499) and not lookups.more_rows_than(small, 500)
+    sc = spark.sparkContext
+    big = spark.range(0, 10_000_000, numPartitions=200)
+    sc.setJobGroup("bound-probe", "bound-probe")
+    assert lookups.more_rows_than(big, 1000)
+    st = sc.statusTracker()
+    tasks = sum(st.getStageInfo(s).numTasks for j in st.getJobIdsForGroup("bound-probe")
+                for s in st.getJobInfo(j).stageIds if st.getStageInfo(s))
+    sc.setJobGroup("after-probe", "after-probe")
+    assert tasks < 10     # far above the bound: a few partitions, not all 200
