@@ -392,3 +392,12 @@ def test_row_bound_is_exact_and_incremental(spark):
                 for s in st.getJobInfo(j).stageIds if st.getStageInfo(s))
     sc.setJobGroup("after-probe", "after-probe")
     assert tasks < 10     # far above the bound: a few partitions, not all 200
+
+
+def test_timestamp_conversion_with_format(spark):
+    df = spark.createDataFrame([("2024/01/02 03:04",), ("2024/13/02 03:04",)], "t string")
+    conv, rules = transforms.type_conversions(df, {"t": ("timestamp_ntz", "yyyy/MM/dd HH:mm")})
+    assert dict(conv.dtypes)["t"] == "timestamp_ntz"
+    valid, errors = routing.route_errors(conv, rules)
+    assert [r.t for r in valid.collect()] == [dt.datetime(2024, 1, 2, 3, 4)]
+    assert [r.error_rules for r in errors.collect()] == [["bad_t"]]
