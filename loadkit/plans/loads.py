@@ -66,11 +66,14 @@ def _limit(error_limit: int | None, error_fraction: float | None, rows: int) ->
 
 def _finish_routing(routed: Routed, audit: AuditTrail, *, pipeline: str, stage: str,
                     error_path: str | None, error_limit: int | None,
-                    error_fraction: float | None, load_ts) -> None:
+                    error_fraction: float | None, load_ts, total: int | None = None,
+                    drop: Sequence[str] = ()) -> None:
     audit.record_errors(stage, routed.error_rows)
-    enforce_error_limit(routed.error_rows, _limit(error_limit, error_fraction, routed.rows))
+    rows = routed.rows if total is None else total
+    enforce_error_limit(routed.error_rows, _limit(error_limit, error_fraction, rows))
     if error_path and routed.error_rows:
-        write_error_rows(routed.errors, error_path, pipeline, stage, audit.batch_id, load_ts)
+        write_error_rows(routed.errors.drop(*drop), error_path, pipeline, stage,
+                         audit.batch_id, load_ts)
 
 
 def _bounded(routed: Routed) -> bool:
@@ -244,17 +247,23 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
     by ``date_sk`` -> audit.
 
-    Read counts are observed on the scans inside the staging job; the
-    surrogate keys continue from the largest key already in ``path``.
+    The join runs as a left join with a marker on the primary side; detail
+    rows without a primary are staged as ``dropped`` (in neither output, as
+    an inner join would), so rows read, joined and dropped are all counted
+    by the staging write itself, exactly once.  The detail count assumes the
+    primary is unique on the join key.  Only the primary's row count is
+    observed on its scan.  Surrogate keys continue from the largest key
+    already in ``path``.
     """
     audit = audit or AuditTrail("fact_load")
 
     def body() -> LoadResult:
         offset = _max_existing(spark, path, key_column)
-        obs_d, obs_p = _observation("detail"), _observation("primary")
-        d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
-        p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows"))
-        joined = merge_join(d, p, on=join_on)
+        obs_p = _observation("primary")
+        marker = "_primary_hit"
+        p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows")).withColumn(
+            marker, F.lit(True))
+        joined = merge_join(detail, p, on=join_on, how="left")
         names = [spec["name"] for spec in lookups]
         if lookups:
             joined = multi_lookup(joined, lookups)
@@ -265,14 +274,17 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                                load_ts=load_ts)
         miss = [{"name": f"missing_{n}", "condition": ~all_hits([n]),
                  "message": f"no {n} dimension row"} for n in names]
-        routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route")
-        audit.record_read("detail", obs_d.get["rows"])
+        routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route",
+                                    drop_when=F.col(marker).isNull())
+        joined_rows = routed.rows - routed.dropped_rows
+        audit.record_read("detail", routed.rows)
         audit.record_read("primary", obs_p.get["rows"])
-        audit.record_read("joined", routed.rows, stage="join")
+        audit.record_read("joined", joined_rows, stage="join")
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts)
-        valid = routed.valid.drop(*[f"hit_{n}" for n in names])
+                        error_fraction=error_fraction, load_ts=load_ts, total=joined_rows,
+                        drop=[marker])
+        valid = routed.valid.drop(marker, *[f"hit_{n}" for n in names])
         keyed = assign_surrogate_keys(valid, key_column, offset=offset)
         obs_w = _observation("write")
         keyed = keyed.observe(obs_w, F.count(F.lit(1)).alias("rows"))
@@ -280,9 +292,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         audit.record_write("fact_table", obs_w.get["rows"])
         audit.complete()
         return LoadResult(audit, spark.read.parquet(path), path,
-                          {"detail": obs_d.get["rows"], "primary": obs_p.get["rows"],
-                           "joined": routed.rows, "errors": routed.error_rows,
-                           "written": obs_w.get["rows"]})
+                          {"detail": routed.rows, "primary": obs_p.get["rows"],
+                           "joined": joined_rows, "dropped": routed.dropped_rows,
+                           "errors": routed.error_rows, "written": obs_w.get["rows"]})
 
     return _run(spark, audit, body, audit_path)
 

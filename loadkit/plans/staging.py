@@ -50,19 +50,23 @@ class Routed:
     error_rows: int
     path_frame: DataFrame
     valid_bytes: int = 0
+    dropped_rows: int = 0
 
     @property
     def valid_rows(self) -> int:
-        return self.rows - self.error_rows
+        return self.rows - self.error_rows - self.dropped_rows
 
 
 def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                     pre_tagged: DataFrame | None = None,
+                    drop_when: Column | None = None,
                     extra_metrics: Sequence[Column] = ()) -> tuple[Routed, dict]:
     """Tag ``df`` with ``rules``, stage it, and split it into valid and error rows.
 
     ``pre_tagged``: rows already carrying error arrays (e.g. null-key rows
     routed before de-duplication) to stage together with ``df``.
+    ``drop_when``: rows that belong to neither output (e.g. detail rows an
+    inner join would drop); they are staged and counted, not returned.
     """
     columns = list(df.columns)
     if rules:
@@ -72,16 +76,20 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                                  ERROR_MESSAGES: F.array().cast("array<string>")})
     if pre_tagged is not None:
         tagged = tagged.unionByName(pre_tagged.select(*tagged.columns))
-    tagged = tagged.withColumn(
-        ROUTE, F.when(is_error_row(), F.lit("error")).otherwise(F.lit("valid")))
+    route = F.when(is_error_row(), F.lit("error")).otherwise(F.lit("valid"))
+    if drop_when is not None:
+        route = F.when(F.coalesce(drop_when, F.lit(False)), F.lit("dropped")).otherwise(route)
+    tagged = tagged.withColumn(ROUTE, route)
     valid_size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
     staged, metrics = stage(
         tagged, label, partition_by=[ROUTE],
         metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
+                 F.count_if(F.col(ROUTE) == "dropped").alias("dropped"),
                  F.sum(valid_size).alias("valid_bytes"), *extra_metrics])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)
     errors = staged.filter(F.col(ROUTE) == "error").drop(ROUTE)
     routed = Routed(valid=valid, errors=errors, rows=int(metrics["rows"]),
                     error_rows=int(metrics["errors"]), path_frame=staged,
-                    valid_bytes=int(metrics["valid_bytes"] or 0))
+                    valid_bytes=int(metrics["valid_bytes"] or 0),
+                    dropped_rows=int(metrics["dropped"]))
     return routed, metrics

@@ -323,8 +323,8 @@ def test_write_split_one_folder_per_output(spark, tmp_shared):
 
 
 def test_fact_load_routes_lookup_misses_to_error_sink(spark, tmp_shared):
-    detail = spark.createDataFrame([(1, 10, 5.0), (2, 10, 60.0), (3, 11, 1.0)],
-                                   "d long, o long, qty double")
+    detail = spark.createDataFrame([(1, 10, 5.0), (2, 10, 60.0), (3, 11, 1.0), (4, 12, 1.0)],
+                                   "d long, o long, qty double")   # order 12 has no primary
     primary = spark.createDataFrame([(10, 100, D(2024, 1, 1)), (11, 999, D(2024, 1, 2))],
                                     "o long, cust long, od date")
     dim = spark.createDataFrame([(100, 7, 1)], "customer_id long, customer_sk long, is_current int")
@@ -339,7 +339,9 @@ def test_fact_load_routes_lookup_misses_to_error_sink(spark, tmp_shared):
     got = {r.d: (r.error_rules, r.stage, r.batch_id) for r in err.collect()}
     assert got == {2: (["big_qty"], "validation", "b1"),
                    3: (["missing_customer"], "validation", "b1")}
-    assert res.metrics == {"detail": 3, "primary": 2, "joined": 3, "errors": 2, "written": 1}
+    assert res.metrics == {"detail": 4, "primary": 2, "joined": 3, "dropped": 1, "errors": 2,
+                           "written": 1}
+    assert "_primary_hit" not in err.columns
 
 
 def test_fits_broadcast_bounds_rows_and_bytes(spark):
