@@ -29,7 +29,7 @@ from loadkit.functions.columns import (
     any_changed,
     date_literal,
 )
-from loadkit.operators.lookups import DEFAULT_BROADCAST_ROWS, assert_unique, fits_broadcast
+from loadkit.operators.lookups import assert_unique, fits_broadcast
 
 EFFECTIVE = "effective_date"
 END = "end_date"
