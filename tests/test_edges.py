@@ -403,3 +403,14 @@ def test_timestamp_conversion_with_format(spark):
     valid, errors = routing.route_errors(conv, rules)
     assert [r.t for r in valid.collect()] == [dt.datetime(2024, 1, 2, 3, 4)]
     assert [r.error_rules for r in errors.collect()] == [["bad_t"]]
+
+
+def test_publish_new_version_keeps_old_readable(spark, tmp_shared):
+    name = "pub_" + tmp_shared.rsplit("-", 1)[-1]
+    v1 = sinks.publish_version(spark, spark.range(3).withColumnRenamed("id", "k"), name, tmp_shared)
+    old = spark.read.parquet(v1)
+    # the next version is computed from the current table, then published elsewhere
+    v2 = sinks.publish_version(spark, spark.table(name).union(spark.range(3, 7)), name, tmp_shared)
+    assert v1 != v2
+    assert spark.table(name).count() == 7
+    assert old.count() == 3 and spark.read.parquet(v1).count() == 3
