@@ -203,6 +203,7 @@ def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
     by null, except ``exclude_columns``, which keep the stored value.
     New keys: inserted with all source columns, excluded ones included.
     Keys only in the target: untouched.  Source-only columns are not added.
+    A null key in the source raises (route null keys first).
     """
     tcols = target.columns
     _require(keys, tcols, "target")
@@ -217,7 +218,10 @@ def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
     def pick(c: str) -> Column:
         if c in keys:
-            v = F.when(has_t, F.col(_t(c))).otherwise(F.col(_s(c)))
+            v = (F.when(has_t, F.col(_t(c)))
+                 .when(_null_key_guard(keys),
+                       F.raise_error(F.lit("SCD1 source has a null business key")))
+                 .otherwise(F.col(_s(c))))
         elif c not in scols:
             v = F.col(_t(c))
         elif c in exclude_columns:

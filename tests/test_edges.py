@@ -414,3 +414,11 @@ def test_publish_new_version_keeps_old_readable(spark, tmp_shared):
     assert v1 != v2
     assert spark.table(name).count() == 7
     assert old.count() == 3 and spark.read.parquet(v1).count() == 3
+
+
+def test_scd_null_source_key_raises(spark):
+    schema = "k long, v string"
+    target = spark.createDataFrame([(1, "a")], schema)
+    source = spark.createDataFrame([(None, "b")], schema)
+    with pytest.raises(Exception, match="null business key"):
+        scd.scd1_merge(target, source, ["k"]).collect()
