@@ -457,3 +457,21 @@ def q_restartable_ingest_routed(spark, sf):
             ingest_new_files(spark, f"{root}/incoming/*/*.csv", ORDERS_SCHEMA, **kw)
     ingest_new_files(spark, f"{root}/incoming/*/*.csv", ORDERS_SCHEMA, **kw)  # nothing new
     return spark.read.parquet(f"{root}/target").select(*ORDERS_SCHEMA.names)
+
+
+@query("fact_load_rejected", f"""
+WITH f AS ({FACT_JOINED_SQL})
+SELECT l_orderkey, l_linenumber,
+       concat_ws('|',
+         CASE WHEN NOT hit_customer THEN 'missing_customer' END,
+         CASE WHEN NOT hit_part THEN 'missing_part' END,
+         CASE WHEN NOT hit_supplier THEN 'missing_supplier' END,
+         CASE WHEN l_quantity > 48 THEN 'bulk_quantity' END) AS error_rules,
+       'validation' AS stage, '{I.BATCH_ID}' AS batch_id
+FROM f WHERE {FACT_ERROR_SQL}""")
+def q_fact_load_rejected(spark, sf):
+    result = run_fact_load(spark, sf)
+    errors_path = f"{result.location.rsplit('/', 1)[0]}/errors/pipeline=fact_load"
+    return spark.read.parquet(errors_path).select(
+        "l_orderkey", "l_linenumber", F.array_join(ERROR_RULES, "|").alias("error_rules"),
+        "stage", "batch_id")
