@@ -12,6 +12,7 @@ from loadkit.llm.llr_rules import quality_rules
 from loadkit.llm.minhash_dedup import near_duplicates
 from loadkit.llm.secrets import secret_report
 from loadkit.llm.tier_packing import pack_tiers
+from loadkit.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_fm_quality": op1_fm_quality,
     "op2_bfd_packing": op2_bfd_packing,
     "op3_source_mixing": op3_source_mixing,
+    "op4_toxicity_kernel": op4_toxicity_kernel,
     "op5_randomness_secrets": op5_randomness_secrets,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op7_ngram_llr": op7_ngram_llr,
