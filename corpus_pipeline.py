@@ -1,12 +1,79 @@
-"""Corpus pipeline: the stages are added as their operators are."""
+"""Corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes it
+as Parquet under the shared folder and reads it back for the next one.  All
+but the last return the columns of ``documents``.
+
+1. toxicity    documents whose score reaches the threshold go
+2. near_dedup  one document of each near-duplicate group stays (smallest id)
+3. secrets     every secret span is replaced by a mark; n_chars follows
+4. mixing      documents are repeated or left out to meet the sources' targets
+5. packing     what is left, as pieces in windows of several sizes
+
+A document without an id is told by its text.  Repeated rows count as copies
+of one document for stage 2.  Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loadkit.llm.graph import kept, some_ids
+from loadkit.llm.minhash_dedup import NO_ID, near_duplicates
+from loadkit.llm.mixing import mix
+from loadkit.llm.secrets import redact
+from loadkit.llm.tier_packing import pack_tiers
+from loadkit.llm.toxicity import THRESHOLD, toxicity_scores
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity_scores(docs, labels, keep_columns=True)
+    return scored.filter(F.col("__toxic_score") < THRESHOLD).drop("__toxic_score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    by_text = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    named = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    found = kept(near_duplicates(named, id_column="__node"), "pipeline-near")
+    gone = some_ids(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct())
+    left = named.join(gone, "__node", "left_anti")
+    several = found.filter("kept and row_count > 1").select(F.col("doc_id").alias("__node")).distinct()
+    if several.limit(1).count():
+        several = some_ids(several)
+        once = left.join(several, "__node", "left_semi").dropDuplicates(["__node"])
+        left = left.join(several, "__node", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_tiers(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: SQL cannot express the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("no stages yet")
+    """The rows of the last stage over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
