@@ -8,8 +8,8 @@
    with the smallest member of its buckets, so a large group of near copies
    costs one comparison per member and hangs together afterwards.  Then,
    only in buckets whose members still lie in different components, members
-   outside the smallest one's component are compared with all that their
-   size allows.  No pair within one component is looked at.
+   outside the smallest one's component are compared with the others: as
+   pairs in small buckets, in blocks in large ones.
 4. A comparison counts equal low bits by ``bit_count``, corrects for chance
    matches (2**-BITS), and drops pairs far below the similarity; the rest
    are confirmed on the full sets.
@@ -36,6 +36,8 @@ from loadkit.llm.graph import components, kept, some_ids
 BANDS, ROWS, BITS = 40, 5, 4
 SKETCHED = 192  # minima whose low bits the sketch keeps
 MARGIN = 0.17  # how far below the similarity a sketch may estimate a true link
+PAIRED = 16  # members of a bucket that are compared as rows of pairs; more are compared in blocks
+BLOCK = 1 << 21  # shingles in a block
 NO_ID = 1 << 62  # rows without an id are named by numbers from here on
 
 
@@ -155,16 +157,14 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
             .join(named, "class").select(F.col("node").alias("a"), F.col("first_id").alias("b")).distinct())
 
     low = F.lit(percent / 100 - MARGIN)
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     first = (near.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-             .join(a, "a").join(b, "b").filter(sized).withColumn("like", agreement("ka", "kb", SKETCHED, BITS))
+             .join(a, "a").join(b, "b").filter(_sized(percent)).withColumn("like", agreement("ka", "kb", SKETCHED, BITS))
              .filter(F.col("like") >= low).groupBy("b").agg(F.max_by("a", "like").alias("a")))
     links = kept(_confirmed(first, sets, percent).unionByName(same), "minhash-links")
 
-    pairs = _across(near, components(links), classes, percent, low)
-    more = _confirmed(pairs, sets, percent)
+    more = _across(near, components(links), classes, sets, percent, low)
     found = components(links.unionByName(more))
 
     linked = (rows.select("doc_id", "node", "n", "class").join(named, "class", "left")
@@ -187,26 +187,90 @@ def _one_a_text(sets: DataFrame, repeated: DataFrame) -> DataFrame:
     return sets.join(repeated, "node", "left_anti").union(twice).select("node", "shingles")
 
 
-def _across(near: DataFrame, found: DataFrame, classes: DataFrame, percent: int, low: Column) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components, near enough by size and sketch."""
+def _across(near: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
+            low: Column) -> DataFrame:
+    """Links (a, b) between bucket members that lie in different components of ``found``.
+
+    Members outside the component of their bucket's head are compared with
+    all members.  Small buckets: as pairs, by sketch, then on the full sets.
+    Others: in blocks, directly on the full sets, from which only the links
+    that join two components come out.
+    """
     head = found.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
     parts = (near.join(found, "node", "left").join(head, "head", "left")
              .withColumn("part", F.coalesce("component", "node"))
              .withColumn("head_part", F.coalesce("head_part", "head"))
              .select("key", "node", "n", "part", (F.col("part") != F.col("head_part")).alias("apart")))
-    open_keys = parts.filter("apart").select("key").distinct()
-    width = -1 / F.log(F.lit(percent / 100))  # sizes of linked sets lie in the same or neighbouring steps
-    members = (parts.join(open_keys, "key", "left_semi")
-               .join(classes.select("node", "sketch"), "node")
-               .withColumn("step", F.floor(F.log(F.col("n")) * width).cast("int")))
-    members = kept(members, "minhash-open")
-    left = members.filter("apart").select(
-        "key", F.col("node").alias("x"), F.col("n").alias("na"), F.col("part").alias("px"),
-        F.col("sketch").alias("ka"),
-        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    right = members.select("key", "step", F.col("node").alias("y"), F.col("n").alias("nb"),
-                           F.col("part").alias("py"), F.col("sketch").alias("kb"))
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = left.join(right, (left.key == right.key) & (left.step == right.step)
-                    & (F.col("px") != F.col("py")) & sized & (agreement("ka", "kb", SKETCHED, BITS) >= low))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_keys = (parts.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"),
+                                          F.max("apart").alias("open")).filter("open").drop("open"))
+    members = kept(parts.join(open_keys, "key"), "minhash-open")
+
+    few = (members.filter(F.col("members") <= PAIRED)
+           .join(classes.select("node", "sketch"), "node"))
+    left = few.filter("apart").select("key", F.col("node").alias("x"), F.col("n").alias("na"),
+                                      F.col("part").alias("px"), F.col("sketch").alias("ka"))
+    right = few.select("key", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("part").alias("py"),
+                       F.col("sketch").alias("kb"))
+    met = left.join(right, (left.key == right.key) & (F.col("px") != F.col("py")) & _sized(percent)
+                    & (agreement("ka", "kb", SKETCHED, BITS) >= low))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    many = (members.filter(F.col("members") > PAIRED).withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+            .join(sets, "node").select("key", "low", "high", "own", "node", "part", "apart", "shingles"))
+    linked = many.groupBy("key", "low", "high").applyInArrow(
+        lambda t: block_links(t, percent), "a long, b long")
+    return _confirmed(pairs, sets, percent).unionByName(linked)
+
+
+def _sized(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links of one block pair (or one block with itself) that join two of its components.
+
+    Compares every member that is apart with all members of the other block
+    whose size allows, by marking its shingles and counting the marks.
+    """
+    t = t.combine_chunks()
+    node, part, own = (t[c].to_numpy() for c in ("node", "part", "own"))
+    apart = t["apart"].to_numpy(zero_copy_only=False)
+    sizes = np.diff(t["shingles"].combine_chunks().offsets.to_numpy())
+    order = np.argsort(sizes, kind="stable")  # by size: what a size allows is one range
+    node, part, own, apart, sizes = (x[order] for x in (node, part, own, apart, sizes))
+    flat = t["shingles"].combine_chunks().take(pa.array(order)).values.to_numpy()
+    _, flat = np.unique(flat, return_inverse=True)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    marked = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+    names, group = np.unique(part, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    crossing = len(np.unique(own)) > 1
+    a, b = [], []
+    for x in np.flatnonzero(apart):
+        low = int(np.searchsorted(sizes, -(-percent * sizes[x] // 100)))
+        high = int(np.searchsorted(sizes, 100 * sizes[x] // percent, side="right"))
+        mine = flat[bounds[x]:bounds[x + 1]]
+        marked[mine] = 1
+        both = np.add.reduceat(marked[flat[bounds[low]:bounds[high]]], bounds[low:high] - bounds[low])
+        marked[mine] = 0
+        near = 100 * both >= percent * (sizes[x] + sizes[low:high] - both)
+        if crossing:
+            near &= own[low:high] != own[x]
+        for y in np.flatnonzero(near) + low:
+            p, q = root(group[x]), root(group[y])
+            if p != q:
+                parent[p] = q
+                a.append(node[x])
+                b.append(node[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
