@@ -83,7 +83,7 @@ def messages(events: DataFrame) -> DataFrame:
     since = F.array_max(F.transform("log", lambda x, i: F.when(resets(x), i + 1).otherwise(1)))
     standing = F.slice("log", since, F.size("log"))
     text = F.array_join(F.transform(standing, lambda x: F.when(x["kind"] == "regenerate", "").otherwise(x["text"])), "")
-    role = F.element_at(F.filter("log", lambda x: x["role"].isNotNull()), -1)["role"]
+    role = F.try_element_at(F.filter("log", lambda x: x["role"].isNotNull()), F.lit(-1))["role"]
     earlier = (Window.partitionBy("conv_id").orderBy("turn")
                .rowsBetween(Window.unboundedPreceding, -1))
     return (folded.withColumn("ended", F.max("cut").over(earlier))
