@@ -14,8 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadkit.llm import textbatch as tb
 from loadkit.llm.bbit import agreement
@@ -98,7 +101,7 @@ def _hex(x: str):
 def fingerprints(documents: DataFrame, *, text_column: str = "text", words: int = WORDS,
                  fingerprint_column: str = "fingerprint") -> DataFrame:
     """``documents`` (all columns) with each text's fingerprint: lowercase hex, empty without words."""
-    schema = documents.schema.add("__signature", "array<long>")
+    schema = T.StructType([*documents.schema, T.StructField("__signature", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -128,41 +131,84 @@ def followers(ids: DataFrame) -> DataFrame:
             .select("id", F.coalesce("next", "after")["id"].alias("next_id"), "need"))
 
 
+def _signed(documents: DataFrame, words: int) -> DataFrame:
+    """(id, n_chars, own signature, order, packed text) of rows (id, text): one pass over the texts.
+
+    Texts travel packed (zstd): a shuffle of them is half as large.
+    """
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = batch.column(1)
+            raw = [x.as_py().encode() for x in texts]
+            order = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pc.utf8_length(texts).cast(pa.int64()), _column(*text_signatures(texts, words)),
+                 pa.array(order, pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())],
+                names=["id", "n_chars", "own", "order", "packed"])
+
+    return documents.mapInArrow(run, "id long, n_chars long, own array<long>, order long, packed binary")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(previous, order, start) of rows (previous, need, order, packed, ...): packed first ``need`` characters."""
+    def run(batches):
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            made = [pack.compress(unpack.decompress(x.as_py()).decode()[:n].encode())
+                    for n, x in zip(batch.column(1).to_pylist(), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())],
+                                             names=["previous", "order", "start"])
+
+    return rows.mapInArrow(run, "previous long, order long, start binary")
+
+
 def edited_report(documents: DataFrame, *, words: int = WORDS) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is the next document's start.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  Null texts are empty.  Rows that share an id have
-    one next document; if that one's id has several rows, its smallest text
-    (for near_next: its smallest fingerprint) counts.  A null id is the
+    one next document; if that one's id has several rows, one of them counts,
+    the same on every run (smallest hash of the text).  A null id is the
     smallest id.  An empty table gives no rows; other columns are ignored.
+
+    The texts are shuffled once: the exchange by id serves both the join that
+    cuts the starts and the join that puts them to the documents before.
     """
-    docs = documents.select(documents["doc_id"].alias("id"), F.coalesce(documents["text"], F.lit("")).alias("text"))
+    docs = documents.select(documents["doc_id"].cast("long").alias("id"),
+                            F.coalesce(documents["text"], F.lit("")).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     follow = kept(followers(docs.select("id", quarter.alias("need"))), "follow")
 
-    starts = (docs.join(follow.withColumnRenamed("id", "previous"), F.col("id").eqNullSafe(F.col("next_id")))
-              .select("previous", F.substr("text", F.lit(1), "need").alias("start"))
-              .groupBy("previous").agg(F.min("start").alias("start")))
-    edited = F.concat(F.substr("text", F.lit(1), F.char_length("text") - quarter),
-                      F.substr("start", F.lit(1), quarter))
-    both = (docs.join(starts, F.col("id").eqNullSafe(F.col("previous")), "left")
-            .select("id", F.char_length("text").cast("long").alias("n_chars"), "text",
-                    F.coalesce(edited, "text").alias("edited")))
+    # Keys are structs: as such, null ids are equal, and one partitioning serves groups and joins.
+    signed = _signed(docs, words).withColumn("key", F.struct("id"))
+    after = follow.select(F.col("id").alias("previous"), "need", F.struct(F.col("next_id").alias("id")).alias("key"))
+    # Both joins take the same columns of ``signed``, so that Spark reuses its exchange.
+    starts = (_starts(signed.join(after, "key").select("previous", "need", "order", "packed", "id", "n_chars", "own"))
+              .groupBy(F.struct(F.col("previous").alias("id")).alias("key"))
+              .agg(F.min_by("start", "order").alias("start")))
+    both = signed.join(starts, "key", "left").select("id", "n_chars", "own", "order", "packed", "start")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts, changed = batch.column(2), batch.column(3)
-            sha = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in changed]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sha), _column(*text_signatures(texts, words)),
-                 _column(*text_signatures(changed, words))], names=["id", "n_chars", "edited_sha256", "own", "new"])
-
-    made = kept(both.mapInArrow(run, "id long, n_chars long, edited_sha256 string, own array<long>, new array<long>"),
-                "fingerprints")
-    following = follow.join(made.select(F.col("id").alias("i"), "own"), F.col("next_id").eqNullSafe(F.col("i")))
-    following = following.groupBy(F.col("id").alias("of")).agg(F.min("own").alias("next_own"))
-    out = made.join(following, F.col("id").eqNullSafe(F.col("of")), "left")
+            edited = []
+            for n, text, start in zip(batch.column(1).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                start = start.as_py()
+                text = unpack.decompress(text.as_py()).decode()
+                start = unpack.decompress(start).decode()[:n // 4] if start is not None else text[n - n // 4:]
+                edited.append(text[:n - n // 4] + start)
+            sha = [hashlib.sha256(x.encode()).hexdigest() for x in edited]
+            new = _column(*text_signatures(pa.array(edited, pa.large_string()), words))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(sha), new],
+                                             names=["id", "n_chars", "own", "order", "edited_sha256", "new"])
+
+    made = kept(both.mapInArrow(run, "id long, n_chars long, own array<long>, order long, edited_sha256 string, "
+                                     "new array<long>"), "fingerprints").withColumn("key", F.struct("id"))
+    following = (made.select("key", "order", F.col("own").alias("next_own")).join(after, "key")
+                 .groupBy(F.struct(F.col("previous").alias("id")).alias("key"))
+                 .agg(F.min_by("next_own", "order").alias("next_own")))
+    out = made.join(following, "key", "left")
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _hex("own").alias("fingerprint"),
                       _hex("new").alias("edited_fingerprint"), _likeness("own", "new").alias("near_edited"),
                       _likeness("own", "next_own").alias("near_next"))
