@@ -35,7 +35,9 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="loadkit-bench-")
     spark = build_session(
         "loadkit-bench", master=f"local[{cpus}]", shuffle_partitions=2 * cpus,
-        extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": scratch})
+        extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": scratch,
+               # Small tables: let even a small shuffle spread over the cores.
+               "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB"})
     spark.sparkContext.setLogLevel("ERROR")
 
     first: dict[str, float] = {}

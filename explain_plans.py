@@ -28,11 +28,11 @@ SHOWN = ["merge_join", "multi_dimension_lookup", "lookup_matched", "dedup_keep_l
 def tree(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain()
+        df.explain("formatted")
     text = buf.getvalue().strip()
     text = re.sub(r"file:[^\],]*/testdata/", "…/", text)
     text = re.sub(r"#\d+L?", "", text)
-    return "\n".join(line[:180] for line in text.splitlines())
+    return text
 
 
 def main() -> None:

@@ -79,8 +79,10 @@ SELECT *, {I.LOAD_TS_SQL} AS load_timestamp, 'SOURCE_DB' AS source_system,
        'supplier.parquet' AS source_file
 FROM supplier""")
 def q_lineage_columns(spark, sf):
-    return transforms.lineage_columns(table(spark, sf, "supplier"), source_system="SOURCE_DB",
-                                      load_ts=I.LOAD_TS, source_file=True)
+    out = transforms.lineage_columns(table(spark, sf, "supplier"), source_system="SOURCE_DB",
+                                     load_ts=I.LOAD_TS, source_file=True)
+    # The full path depends on where the tables lie; SQL knows its last part.
+    return out.withColumn("source_file", F.regexp_extract("source_file", r"^file:.*/([^/]+)$", 1))
 
 
 @query("date_key", """

@@ -2,7 +2,8 @@
 
 A job written against those names runs unchanged by importing them from
 here.  Each function only adapts arguments and delegates; the work is in
-the operators.
+the operators.  Where such a call names no folder, it is the one in the
+session setting ``spark.loadkit.root``, or ``tables`` in the shared folder.
 
 Fixed values: the names and argument names below are the interface such
 jobs call, kept as they are so existing jobs need no edits.
@@ -17,10 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from loadkit.operators import checks, lookups, routing, scd, transforms
 from loadkit.plans.audit import AuditTrail
+from loadkit.session import shared_dir
 from loadkit.sinks import tables as sinks
 from loadkit.sources import readers
 
 
+ROOT_SETTING = "spark.loadkit.root"
+
+
+def table_root(spark: SparkSession) -> str:
+    """Folder of the published tables and error rows."""
+    return (spark.conf.get(ROOT_SETTING, None) or f"{shared_dir(spark)}/tables").rstrip("/")
+
+
 def get_jdbc_connection(spark: SparkSession, conn: Mapping[str, str], table_or_query: str,
                         num_partitions: int | None = None, partition_column: str | None = None,
                         lower_bound: int | None = None, upper_bound: int | None = None
@@ -84,17 +94,22 @@ def route_errors(df: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, DataF
 
 
 def write_error_rows(df_errors: DataFrame, pipeline_name: str, stage: str, batch_id: str, *,
-                     path: str) -> None:
-    sinks.write_error_rows(df_errors, path, pipeline_name, stage, batch_id)
+                     path: str | None = None) -> None:
+    sinks.write_error_rows(df_errors, path or f"{table_root(df_errors.sparkSession)}/error_rows",
+                           pipeline_name, stage, batch_id)
 
 
 def write_delta(df: DataFrame, path: str, mode: str = "append",
                 partition_by: Sequence[str] | None = None, fmt: str = "parquet") -> None:
-    """Append (or replace the written partitions with ``mode="overwrite"``)."""
+    """Append; ``mode="overwrite"`` replaces the written partitions, or all
+    of an unpartitioned table."""
     if mode not in ("append", "overwrite"):
         raise ValueError("mode must be 'append' or 'overwrite'")
-    sinks.append(df, path, fmt=fmt, partition_by=partition_by,
-                 replace_partitions=(mode == "overwrite" and bool(partition_by)))
+    if mode == "overwrite" and not partition_by:
+        sinks.replace(df, path, fmt=fmt)
+    else:
+        sinks.append(df, path, fmt=fmt, partition_by=partition_by,
+                     replace_partitions=(mode == "overwrite"))
 
 
 def write_jdbc(df: DataFrame, conn: Mapping[str, str], table: str, mode: str = "append",
@@ -117,18 +132,18 @@ def check_duplicates(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
 
 def scd_type2_merge(spark: SparkSession, df: DataFrame, target_table: str,
                     business_keys: Sequence[str], tracked_columns: Sequence[str], *,
-                    root: str, as_of: dt.date | None = None) -> str:
+                    root: str | None = None, as_of: dt.date | None = None) -> str:
     """Merge into catalog table ``target_table`` and publish a new version under ``root``."""
     merged = scd.scd2_merge(spark.table(target_table), df, business_keys, tracked_columns,
                             as_of or dt.date.today())
-    return sinks.publish_version(spark, merged, target_table, root)
+    return sinks.publish_version(spark, merged, target_table, root or table_root(spark))
 
 
 def scd_type1_merge(spark: SparkSession, df: DataFrame, target_table: str,
                     business_keys: Sequence[str], exclude_columns: Sequence[str] = (), *,
-                    root: str) -> str:
+                    root: str | None = None) -> str:
     merged = scd.scd1_merge(spark.table(target_table), df, business_keys, exclude_columns)
-    return sinks.publish_version(spark, merged, target_table, root)
+    return sinks.publish_version(spark, merged, target_table, root or table_root(spark))
 
 
 class AuditTracker(AuditTrail):
@@ -141,5 +156,5 @@ class AuditTracker(AuditTrail):
 
     def start(self) -> None:
         super().start()
-        self.records[-1] = (*self.records[-1][:8], f"environment={self.environment}")
+        self.records[-1] = (*self.records[-1][:9], f"environment={self.environment}")
 

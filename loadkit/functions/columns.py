@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators.  All built-in, all codegen."""
+"""Column expressions shared by the operators, from built-in functions."""
 
 from __future__ import annotations
 
@@ -63,12 +63,22 @@ def is_true(cond: Column) -> Column:
 
 def failed_names(rules: Sequence[dict], field: str = "name") -> Column:
     """``array<string>`` of the rule ``field`` for every rule whose condition holds."""
+    none = F.array().cast("array<string>")
     if not rules:
-        return F.array().cast("array<string>")
-    return F.filter(
-        F.array(*[F.when(is_true(r["condition"]), F.lit(r[field])) for r in rules]),
-        lambda x: x.isNotNull(),
-    )
+        return none
+    return F.concat(*[F.when(r["condition"], F.array(F.lit(r[field]))).otherwise(none) for r in rules])
+
+
+def any_failed(rules: Sequence[dict]) -> Column:
+    """Whether a rule's condition holds: null or true.
+
+    A plain OR, so that a filter on it can reach the scan; wrap it in
+    ``is_true`` to negate it.
+    """
+    out = F.lit(False)
+    for r in rules:
+        out = out | r["condition"]
+    return out
 
 
 def file_name(path_col: Column) -> Column:

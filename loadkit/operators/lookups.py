@@ -104,6 +104,12 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side"
     return int(stats["rows"] or 0), int(stats["bytes"] or 0)
 
 
+def within_broadcast(size: tuple[int, int], max_rows: int = DEFAULT_BROADCAST_ROWS,
+                     max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """Whether a measured (rows, bytes) is within the broadcast bounds."""
+    return size[0] <= max_rows and size[1] <= max_bytes
+
+
 def _pairs(on: Sequence[str] | dict[str, str]) -> list[tuple[str, str]]:
     if isinstance(on, dict):
         return list(on.items())
@@ -126,7 +132,7 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
                     broadcast: bool | None = None,
                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                    check_unique: bool = True,
+                    check_unique: bool = True, budget: list[int] | None = None,
                     hit_column: str = _HIT) -> DataFrame:
     """Left join ``df`` to the projected ``dim``; adds ``columns`` and a hit flag.
 
@@ -134,6 +140,8 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     ``columns``: dim columns to return, or {dim column: output name}.
     ``broadcast``: True / False to force, None to decide by the measured
     size of the projected side (rows and bytes).
+    ``budget``: one number, the bytes several lookups may broadcast together;
+    a broadcast side's measured size is taken off it.
     A null key never matches.
     """
     pairs = _pairs(on)
@@ -152,10 +160,13 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     if check_unique:
         size = assert_unique(side, list(key_alias.values()), "lookup dimension")
     if broadcast is None:
-        if size is not None:
-            broadcast = size[0] <= max_broadcast_rows and size[1] <= max_broadcast_bytes
-        else:
-            broadcast = fits_broadcast(side, max_broadcast_rows, max_broadcast_bytes)
+        if budget is not None:
+            max_broadcast_bytes = min(max_broadcast_bytes, budget[0])
+        if size is None and rows_at_most(side, max_broadcast_rows):
+            size = (0, int(side.agg(F.sum(row_bytes(side))).first()[0] or 0))
+        broadcast = size is not None and within_broadcast(size, max_broadcast_rows, max_broadcast_bytes)
+        if broadcast and budget is not None:
+            budget[0] -= size[1]
     if broadcast:
         side = F.broadcast(side)
     cond = [df[fk] == side[key_alias[dk]] for fk, dk in pairs]
@@ -189,9 +200,12 @@ def multi_lookup(df: DataFrame, lookups: Sequence[dict], *, hit_prefix: str = "h
     """Chain several lookups; each adds its columns and ``hit_<name>``.
 
     ``lookups``: dicts with ``name``, ``dim``, ``on``, ``columns`` and optional
-    ``current_only`` / ``broadcast``.  Broadcast lookups pipeline in one stage.
+    ``current_only`` / ``broadcast``.  Broadcast lookups pipeline in one stage;
+    together they ship ``DEFAULT_BROADCAST_BYTES`` at most, in the given order,
+    the rest are shuffle joins.
     """
     out = df
+    budget = [DEFAULT_BROADCAST_BYTES]
     for spec in lookups:
         dim = spec["dim"]
         if spec.get("current_only"):
@@ -200,7 +214,7 @@ def multi_lookup(df: DataFrame, lookups: Sequence[dict], *, hit_prefix: str = "h
                               broadcast=spec.get("broadcast"),
                               max_broadcast_rows=spec.get("max_broadcast_rows",
                                                           DEFAULT_BROADCAST_ROWS),
-                              check_unique=spec.get("check_unique", True),
+                              check_unique=spec.get("check_unique", True), budget=budget,
                               hit_column=f"{hit_prefix}{spec['name']}")
     return out
 

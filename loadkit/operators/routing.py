@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadkit.functions.columns import failed_names, is_true
+from loadkit.functions.columns import any_failed, failed_names, is_true
 
 ERROR_RULES = "error_rules"
 ERROR_MESSAGES = "error_messages"
@@ -33,9 +33,10 @@ def tag_errors(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
     """
     _check_rules(rules)
     rules = [{**r, "message": r.get("message", r["name"])} for r in rules]
+    failed, none = any_failed(rules), F.array().cast("array<string>")
     return df.withColumns({
-        ERROR_RULES: failed_names(rules, "name"),
-        ERROR_MESSAGES: failed_names(rules, "message"),
+        ERROR_RULES: F.when(failed, failed_names(rules, "name")).otherwise(none),
+        ERROR_MESSAGES: F.when(failed, failed_names(rules, "message")).otherwise(none),
     })
 
 
@@ -43,24 +44,23 @@ def is_error_row() -> Column:
     return F.size(F.col(ERROR_RULES)) > 0
 
 
-def split_tagged(tagged: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    valid = tagged.filter(~is_error_row()).select(*columns)
-    errors = tagged.filter(is_error_row())
-    return valid, errors
-
-
 def route_errors(df: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, DataFrame]:
     """(valid, errors).  Valid keeps exactly the input columns; errors add the
     two arrays.  Every input row lands in exactly one output.  An empty rule
     list passes every row.
+
+    The errors are filtered by the conditions themselves, which the scan can
+    use; only error rows build the arrays.
     """
+    _check_rules(rules)
     if not rules:
         empty = df.filter(F.lit(False)).withColumns({
             ERROR_RULES: F.array().cast("array<string>"),
             ERROR_MESSAGES: F.array().cast("array<string>"),
         })
         return df, empty
-    return split_tagged(tag_errors(df, rules), df.columns)
+    failed = any_failed(rules)
+    return df.filter(~is_true(failed)), tag_errors(df.filter(failed), rules)
 
 
 # --------------------------------------------------------------------------- RTE1

@@ -29,7 +29,7 @@ from loadkit.functions.columns import (
     any_changed,
     date_literal,
 )
-from loadkit.operators.lookups import assert_unique, fits_broadcast
+from loadkit.operators.lookups import assert_unique, fits_broadcast, within_broadcast
 
 EFFECTIVE = "effective_date"
 END = "end_date"
@@ -77,7 +77,8 @@ def _full_join(target: DataFrame, tcols, source: DataFrame, scols, keys,
     skeys = F.broadcast(source.select(*[F.col(k).alias(_s(k)) for k in keys]))
     tkeys = target.select(*[F.col(k).alias(_t(k)) for k in keys])
     matched = tkeys.join(skeys, on=[tkeys[_t(k)] == skeys[_s(k)] for k in keys], how="left_semi")
-    mk = F.broadcast(matched)
+    # Distinct: a target that repeats keys must not make this larger than the source.
+    mk = F.broadcast(matched.distinct())
     only_source = s.join(mk, on=[s[_s(k)] == mk[_t(k)] for k in keys], how="left_anti")
     types = {f.name: f.dataType for f in t.schema.fields}
     only_source = only_source.select(
@@ -124,7 +125,7 @@ def change_detection(source: DataFrame, target: DataFrame, keys: Sequence[str],
 def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
                tracked: Sequence[str], as_of: dt.date | str, *,
                effective: str = EFFECTIVE, end: str = END, flag: str = FLAG,
-               check_source_unique: bool = True,
+               check_source_unique: bool = True, check_target_unique: bool = True,
                broadcast_source: bool | None = None) -> DataFrame:
     """Next version of a type-2 dimension.
 
@@ -134,21 +135,29 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
     * key new, or with closed versions only: new current row
       (``effective = as_of``, ``end = 9999-12-31``, ``flag = 1``).
     Closed rows pass through.  ``as_of`` earlier than the current row's
-    ``effective`` raises, as does a null key in the source.  Columns of the
+    ``effective`` raises, as does a null key in the source, a key twice in
+    the source, or two current rows for a key in the target.  Columns of the
     target that the source lacks carry over from the current version.
+
+    The source is read more than once (checks, then the join); stage one
+    that is dear to recompute.
     """
     meta = [effective, end, flag]
     tcols = target.columns
     _require([*keys, *meta, *tracked], tcols, "target")
     _require([*keys, *tracked], source.columns, "source")
     if check_source_unique:
-        assert_unique(source, keys, "SCD2 source")
+        size = assert_unique(source, keys, "SCD2 source")
+        if broadcast_source is None:
+            broadcast_source = within_broadcast(size)
     attrs = [c for c in tcols if c not in keys and c not in meta]
     scols = [*keys, *[a for a in attrs if a in source.columns]]
     types = {f.name: f.dataType for f in target.schema.fields}
 
     current = target.filter(F.col(flag) == CURRENT)
     closed = target.filter(F.col(flag).isNull() | (F.col(flag) != CURRENT))
+    if check_target_unique:
+        assert_unique(current.select(*keys), keys, "current version of the SCD2 target")
 
     j = _full_join(current, tcols, source, scols, keys, broadcast_source)
     has_t = F.col("_t_hit").isNotNull()
@@ -209,7 +218,9 @@ def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str],
     _require(keys, tcols, "target")
     _require(keys, source.columns, "source")
     if check_source_unique:
-        assert_unique(source, keys, "SCD1 source")
+        size = assert_unique(source, keys, "SCD1 source")
+        if broadcast_source is None:
+            broadcast_source = within_broadcast(size)
     scols = [c for c in source.columns if c in tcols]
     types = {f.name: f.dataType for f in target.schema.fields}
     j = _full_join(target, tcols, source, scols, keys, broadcast_source)

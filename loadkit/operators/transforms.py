@@ -1,7 +1,7 @@
 """Row-level projections, de-duplication, union and surrogate keys.
 
 Every function maps DataFrame -> DataFrame and runs no action, except
-``assign_surrogate_keys`` (it needs per-partition counts).
+``assign_surrogate_keys`` with an order (it stages the sorted ranges).
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ def derived_columns(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 def lineage_columns(df: DataFrame, *, source_system: str | None = None,
                     load_ts: dt.datetime | str | None = None,
                     source_file: bool = False,
-                    file_name_only: bool = True) -> DataFrame:
+                    file_name_only: bool = False) -> DataFrame:
     """``load_timestamp`` always; ``source_system`` and ``source_file`` when asked.
 
-    ``source_file`` comes from the scan's hidden ``_metadata`` column, so the
-    frame must still be a direct file scan.
+    ``source_file`` is the file's full path (its last part with
+    ``file_name_only``).  It comes from the scan's hidden ``_metadata`` column,
+    so the frame must still be a direct file scan.
     """
     cols: dict[str, Column] = {"load_timestamp": ts_literal(load_ts)}
     if source_system is not None:
@@ -141,21 +142,14 @@ def _orderable(dtype: T.DataType) -> bool:
 
 
 def deduplicate(df: DataFrame, key_columns: Sequence[str], order_columns: Sequence[str],
-                keep: str = "last", count_column: str | None = None) -> DataFrame:
+                keep: str = "last") -> DataFrame:
     """One row per key: greatest (``last``) or least (``first``) ``order_columns``.
 
     Nulls rank lowest either way.  Ties are broken by every remaining
     orderable column so the choice repeats run to run.
 
-    Default plan: ``row_number() = 1``, which Spark runs with a partial
-    ``WindowGroupLimit`` before the shuffle, so a hot key reaches the
-    exchange as one row per map task.
-
-    With ``count_column`` the result also carries each key's row count.
-    That needs an aggregate instead (``max_by`` / ``min_by`` of the row,
-    ordered by a struct of the order and tie-break columns), which is just
-    as skew-safe through partial aggregation, and whose counts come out of
-    the final, exactly-once stage.
+    ``row_number() = 1`` runs with a partial ``WindowGroupLimit`` before the
+    shuffle, so a hot key reaches the exchange as one row per map task.
     """
     if keep not in ("last", "first"):
         raise ValueError("keep must be 'last' or 'first'")
@@ -163,13 +157,6 @@ def deduplicate(df: DataFrame, key_columns: Sequence[str], order_columns: Sequen
     used = set(keys) | set(order_columns)
     tie = [f.name for f in df.schema.fields if f.name not in used and _orderable(f.dataType)]
     ordering = [*order_columns, *tie]
-    if count_column:
-        others = [c for c in df.columns if c not in keys]
-        pick = F.max_by if keep == "last" else F.min_by
-        row = pick(F.struct(*others), F.struct(*ordering)).alias("_dedup_row")
-        agg = df.groupBy(*keys).agg(row, F.count(F.lit(1)).alias(count_column))
-        return agg.select(*keys, *[F.col("_dedup_row")[c].alias(c) for c in others],
-                          count_column).select(*df.columns, count_column)
     if keep == "last":
         sort = [F.col(c).desc_nulls_last() for c in ordering]
     else:
@@ -200,6 +187,15 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- PRJ3
 _POS_MASK = (1 << 33) - 1
+RANGE_BYTES = 128 * 1024 * 1024
+
+
+def _ranges(df: DataFrame) -> int:
+    """Ranges for a sort of ``df``: by its estimated size, at least the session's shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An unknown size is estimated as huge; then the session's setting is the better guess.
+    return least if size >= 1 << 62 else max(least, -(-size // RANGE_BYTES))
 
 
 def assign_surrogate_keys(df: DataFrame, key: str, *, order_by: Sequence[str] | None = None,
@@ -208,41 +204,35 @@ def assign_surrogate_keys(df: DataFrame, key: str, *, order_by: Sequence[str] |
     """Dense keys ``offset + 1 .. offset + n``.
 
     With ``order_by`` the key follows that (total) order: the frame is
-    range-partitioned and sorted within partitions -- never one global
-    task -- then checkpointed to the shared folder so the count pass and
-    the numbering pass see the same partitions, even after a lost executor.
+    range-partitioned and sorted within partitions -- never one global task --
+    and staged as parquet with each row's range and place in it, so the count
+    and the numbering see the same rows even after a lost executor.
     Without ``order_by`` the frame must already be deterministic (e.g. a
     staged table read back) and numbering follows its partitions.
 
-    Each partition's first key is the sum of the row counts of the
-    partitions before it.  Those counts are one row per partition (bounded
-    by the partition count, not the data); their running sums go back to
-    the executors as a broadcast table joined on ``spark_partition_id``,
-    which leaves every data row in its partition.
+    Each range's first key is the sum of the row counts of the ranges before
+    it: one row per range (bounded by the number of partitions, not the data),
+    summed up in Spark and joined back as a broadcast table.
     """
-    spark = df.sparkSession
+    pid, pos, first, n = "_sk_pid", "_sk_pos", "_sk_first", "_sk_rows"
+
+    def numbered(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({
+            pid: F.spark_partition_id(),
+            pos: F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
+        })
+
     if order_by:
-        from loadkit.session import shared_dir
-        shared_dir(spark)
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = (df.repartitionByRange(n, *order_by)
+        from loadkit.plans.staging import stage
+        ranged = (df.repartitionByRange(num_partitions or _ranges(df), *order_by)
                   .sortWithinPartitions(*order_by))
-        df = ranged.checkpoint(eager=True)
-    pid, pos, first = "_sk_pid", "_sk_pos", "_sk_first"
-    counts = (df.groupBy(F.spark_partition_id().alias(pid)).count()
-              .orderBy(pid).collect())
-    starts, running = [], 0
-    for row in counts:
-        starts.append((row[pid], running))
-        running += row["count"]
-    schema = T.StructType([T.StructField(pid, T.IntegerType()),
-                           T.StructField(first, T.LongType())])
-    start_table = F.broadcast(spark.createDataFrame(starts, schema))
-    numbered = df.withColumns({
-        pid: F.spark_partition_id(),
-        pos: F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
-    })
+        rows, _ = stage(numbered(ranged), "surrogate-ranges")
+    else:
+        rows = numbered(df)
+    counts = rows.groupBy(pid).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(pid, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
     base = offset if isinstance(offset, Column) else F.lit(offset).cast("long")
-    return (numbered.join(start_table, on=pid, how="inner")
+    return (rows.join(F.broadcast(starts), on=pid, how="inner")
             .withColumn(key, base + F.col(first) + F.col(pos) + F.lit(1).cast("long"))
             .drop(pid, pos, first))

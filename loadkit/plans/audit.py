@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 AUDIT_SCHEMA = T.StructType([
+    T.StructField("ts", T.TimestampType()),
     T.StructField("batch_id", T.StringType()),
     T.StructField("pipeline", T.StringType()),
     T.StructField("seq", T.IntegerType()),
@@ -34,15 +35,13 @@ class AuditTrail:
     batch_id: str = field(default_factory=lambda: f"batch-{uuid.uuid4().hex[:16]}")
     records: list[tuple] = field(default_factory=list)
     status: str = "created"
-    started_at: dt.datetime | None = None
 
     def _add(self, stage, obj, kind, rows, status, message=None):
-        self.records.append((self.batch_id, self.pipeline, len(self.records) + 1, stage, obj,
+        self.records.append((dt.datetime.now(dt.timezone.utc), self.batch_id, self.pipeline, len(self.records) + 1, stage, obj,
                              kind, None if rows is None else int(rows), status, message))
 
     def start(self) -> None:
         self.status = "running"
-        self.started_at = dt.datetime.now(dt.timezone.utc)
         self._add("run", self.pipeline, "start", None, "running")
 
     def record_read(self, obj: str, rows: int, stage: str = "read") -> None:
@@ -63,11 +62,11 @@ class AuditTrail:
 
     def fail(self, message: str) -> None:
         self.status = "failed"
-        self._add("run", self.pipeline, "end", None, "failed", message[:2000])
+        self._add("run", self.pipeline, "end", None, "failed", message)
 
     def count(self, kind: str, obj: str | None = None) -> int:
-        return sum(r[6] or 0 for r in self.records
-                   if r[5] == kind and (obj is None or r[4] == obj))
+        return sum(r[7] or 0 for r in self.records
+                   if r[6] == kind and (obj is None or r[5] == obj))
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.records, AUDIT_SCHEMA)

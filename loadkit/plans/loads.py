@@ -13,8 +13,10 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadkit.functions.columns import date_key
 from loadkit.operators.lookups import (
@@ -36,10 +38,16 @@ from loadkit.operators.transforms import (
     type_conversions,
 )
 from loadkit.plans.audit import AuditTrail
-from loadkit.plans.staging import Routed, route_and_stage
-from loadkit.session import apply_load_defaults, path_exists
+from loadkit.plans.staging import Routed, observed, route_and_stage
+from loadkit.session import path_exists
 from loadkit.sinks.tables import append, publish_version, write_error_rows
-from loadkit.sources.readers import CORRUPT, corrupt_rule, read_delimited
+from loadkit.sources.readers import (
+    CORRUPT,
+    corrupt_rule,
+    fixed_width_length_rule,
+    read_delimited,
+    read_fixed_width,
+)
 
 
 @dataclass
@@ -48,6 +56,13 @@ class LoadResult:
     output: DataFrame | None = None
     location: str | None = None
     metrics: dict = field(default_factory=dict)
+    #: Staged tables under the shared folder; ``output`` never reads them, so they can go.
+    staged: list[str] = field(default_factory=list)
+
+
+EMPTY_SOURCE = "the source had no rows"
+#: Names of the source system a load records unless told otherwise.
+DIMENSION_SYSTEM, FACT_SYSTEM = "SOURCE_DB", "OLTP"
 
 
 def _observation(label: str) -> Observation:
@@ -87,7 +102,7 @@ def _null_key_rule(keys: Sequence[str]) -> dict:
     cond = F.lit(False)
     for k in keys:
         cond = cond | F.col(k).isNull()
-    return {"name": "null_key", "condition": cond, "message": "Business key cannot be null"}
+    return {"name": "null_key", "condition": cond, "message": "a key column is null"}
 
 
 def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived, defaults,
@@ -95,10 +110,9 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     """Null keys routed first (they skip the shuffle), then de-duplicate, then rules.
 
     Rejecting a bad latest row before de-duplication would load an older
-    version of it, so the other rules run on the survivors.  Every count
-    comes from the staging write itself: the de-duplication carries each
-    key's row count, so rows read and duplicates dropped are exact even
-    when a stage is retried.
+    version of it, so the other rules run on the survivors.  A null-key row
+    is tagged with every rule it fails.  Rows read are counted by one
+    aggregate over the key columns, before the de-duplication's shuffle.
     """
     df = lineage_columns(source, source_system=source_system, load_ts=load_ts)
     if derived:
@@ -106,22 +120,11 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     if defaults:
         df = null_defaults(df, defaults)
     nk = _null_key_rule(keys)
-    per_key = "_key_rows"
-    deduped = deduplicate(df.filter(~nk["condition"]), keys, order_columns, keep="last",
-                          count_column=per_key)
-    null_keyed = tag_errors(df.filter(nk["condition"]), [nk]).withColumn(
-        per_key, F.lit(0).cast("long"))
-    routed, metrics = route_and_stage(
-        deduped, rules, label, pre_tagged=null_keyed,
-        extra_metrics=[F.count_if(F.array_contains("error_rules", "null_key")).alias("null_keys"),
-                       F.sum(per_key).alias("keyed_rows")])
-    routed.valid = routed.valid.drop(per_key)
-    routed.errors = routed.errors.drop(per_key)
-    keyed_rows = int(metrics["keyed_rows"] or 0)
-    null_keys = int(metrics["null_keys"])
-    read = keyed_rows + null_keys
-    dropped = keyed_rows - (routed.rows - null_keys)
-    return routed, read, dropped
+    read = source.select(*keys).count()
+    deduped = deduplicate(df.filter(~nk["condition"]), keys, order_columns, keep="last")
+    null_keyed = tag_errors(df.filter(nk["condition"]), [nk, *rules])
+    routed, _ = route_and_stage(deduped, rules, label, pre_tagged=null_keyed, measure=True)
+    return routed, read, read - routed.rows
 
 
 def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[], LoadResult],
@@ -147,7 +150,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
                         order_columns: Sequence[str], as_of: dt.date | str,
                         rules: Sequence[dict] = (), derived: Mapping[str, Column] | None = None,
                         defaults: Mapping[str, object] | None = None,
-                        source_system: str = "SOURCE_DB", load_ts=None,
+                        source_system: str = DIMENSION_SYSTEM, load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
                         audit: AuditTrail | None = None,
@@ -162,7 +165,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
     def body() -> LoadResult:
         if source.isEmpty():
             audit.record_read("source", 0)
-            audit.complete("No new/changed records")
+            audit.complete(EMPTY_SOURCE)
             return LoadResult(audit, spark.table(table))
         routed, read, dropped = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived,
@@ -180,9 +183,10 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.read.parquet(location), location,
+        return LoadResult(audit, spark.table(table), location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]})
+                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]},
+                          [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
@@ -192,15 +196,20 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
                         keys: Sequence[str], order_columns: Sequence[str],
                         exclude_columns: Sequence[str] = ("created_date",),
                         rules: Sequence[dict] = (), derived: Mapping[str, Column] | None = None,
-                        source_system: str = "SOURCE_DB", load_ts=None,
+                        source_system: str = DIMENSION_SYSTEM, load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
                         audit: AuditTrail | None = None,
                         audit_path: str | None = None) -> LoadResult:
-    """Read -> derive -> route null keys -> de-duplicate -> rules -> SCD1 -> publish -> audit."""
+    """Read -> exit if empty -> derive -> route null keys -> de-duplicate -> rules -> SCD1 ->
+    publish -> audit."""
     audit = audit or AuditTrail("dimension_scd1")
 
     def body() -> LoadResult:
+        if source.isEmpty():
+            audit.record_read("source", 0)
+            audit.complete(EMPTY_SOURCE)
+            return LoadResult(audit, spark.table(table))
         routed, read, dropped = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived, defaults=None,
             source_system=source_system, load_ts=load_ts, rules=rules,
@@ -217,53 +226,86 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
         location = publish_version(spark, merged, table, root, observation=obs)
         audit.record_write(table, routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.read.parquet(location), location,
+        return LoadResult(audit, spark.table(table), location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]})
+                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]},
+                          [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP3
-def _max_existing(spark: SparkSession, path: str, key: str) -> int:
-    """Largest key already written; with parquet aggregate pushdown this
-    reads file footers only."""
-    apply_load_defaults(spark)
+KEY_STATE = "_key_state"
+_KEY_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("last_key", T.LongType())])
+
+
+def _last_key(spark: SparkSession, path: str, key: str) -> int:
+    """The last surrogate key given out for the table at ``path``.
+
+    Read from the small state table in the table's own folder (readers skip
+    names with an underscore).  A table without it, written before there was
+    one, is scanned once.
+    """
+    if path_exists(spark, f"{path}/{KEY_STATE}"):
+        state = spark.read.schema(_KEY_SCHEMA).parquet(f"{path}/{KEY_STATE}")
+        return int(state.agg(F.max("last_key")).first()[0] or 0)
     if not path_exists(spark, path):
         return 0
-    top = spark.read.parquet(path).agg(F.max(key)).first()[0]
-    return int(top or 0)
+    return int(spark.read.parquet(path).agg(F.max(key)).first()[0] or 0)
+
+
+def _reserve_keys(spark: SparkSession, path: str, batch_id: str, last_key: int) -> None:
+    """Record the batch's last key before its rows are written: a failed
+    write leaves a gap, never a key given out twice."""
+    row = spark.createDataFrame([(batch_id, last_key)], _KEY_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/{KEY_STATE}")
+
+
+def _read_target(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
+    """The target read back; one that no batch has written to yet is an empty frame."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], written.schema)
+
+
+def _append_valid(spark: SparkSession, valid: DataFrame, routed: Routed, path: str,
+                  partition_by: Sequence[str] | None, replace_partitions: bool = False) -> DataFrame:
+    """Append the valid rows, if there are any, and read the target back."""
+    if routed.valid_rows:
+        append(valid, path, partition_by=partition_by, replace_partitions=replace_partitions)
+    return _read_target(spark, path, valid)
 
 
 def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
               join_on: Sequence[str] | str, path: str, lookups: Sequence[dict] = (),
               date_column: str | None = None, derived: Mapping[str, Column] | None = None,
               rules: Sequence[dict] = (), key_column: str = "fact_sk",
-              source_system: str = "OLTP", load_ts=None, error_path: str | None = None,
+              source_system: str = FACT_SYSTEM, load_ts=None, error_path: str | None = None,
               error_limit: int | None = None, error_fraction: float | None = None,
-              audit: AuditTrail | None = None,
+              replace_partitions: bool = False, audit: AuditTrail | None = None,
               audit_path: str | None = None) -> LoadResult:
     """Two reads -> inner join -> dimension lookups -> derive (+ ``date_sk``) ->
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
     by ``date_sk`` -> audit.
 
     The join runs as a left join with a marker on the primary side; detail
-    rows without a primary are staged as ``dropped`` (in neither output, as
-    an inner join would), so rows read, joined and dropped are all counted
-    by the staging write itself, exactly once.  The detail count assumes the
-    primary is unique on the join key.  Only the primary's row count is
-    observed on its scan.  Surrogate keys continue from the largest key
-    already in ``path``.
+    rows without a primary are counted by the staging write (in neither
+    output, as in an inner join) and recorded as dropped.  The two reads are
+    counted on their scans, so a primary that repeats keys does not change
+    the detail count.  Surrogate keys continue from the last one given out
+    for ``path``.  ``replace_partitions`` overwrites the date partitions the
+    batch has rows for, so that a repeated batch does not double them.
     """
     audit = audit or AuditTrail("fact_load")
 
     def body() -> LoadResult:
-        offset = _max_existing(spark, path, key_column)
-        obs_p = _observation("primary")
+        obs_d, obs_p = _observation("detail"), _observation("primary")
         marker = "_primary_hit"
+        d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
         p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows")).withColumn(
             marker, F.lit(True))
-        joined = merge_join(detail, p, on=join_on, how="left")
+        joined = merge_join(d, p, on=join_on, how="left")
         names = [spec["name"] for spec in lookups]
         if lookups:
             joined = multi_lookup(joined, lookups)
@@ -277,31 +319,44 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route",
                                     drop_when=F.col(marker).isNull())
         joined_rows = routed.rows - routed.dropped_rows
-        audit.record_read("detail", routed.rows)
-        audit.record_read("primary", obs_p.get["rows"])
+        read = {"detail": _observed(obs_d, detail), "primary": _observed(obs_p, primary)}
+        for name, rows in read.items():
+            audit.record_read(name, rows)
         audit.record_read("joined", joined_rows, stage="join")
+        audit.record_dropped("join", routed.dropped_rows, "detail_without_primary")
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts, total=joined_rows,
                         drop=[marker])
         valid = routed.valid.drop(marker, *[f"hit_{n}" for n in names])
+        offset = _last_key(spark, path, key_column)
+        if routed.valid_rows:
+            _reserve_keys(spark, path, audit.batch_id, offset + routed.valid_rows)
         keyed = assign_surrogate_keys(valid, key_column, offset=offset)
-        obs_w = _observation("write")
-        keyed = keyed.observe(obs_w, F.count(F.lit(1)).alias("rows"))
-        append(keyed, path, partition_by=["date_sk"] if date_column else None)
-        audit.record_write("fact_table", obs_w.get["rows"])
+        out = _append_valid(spark, keyed, routed, path, ["date_sk"] if date_column else None,
+                            replace_partitions)
+        audit.record_write("fact_table", routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.read.parquet(path), path,
-                          {"detail": routed.rows, "primary": obs_p.get["rows"],
-                           "joined": joined_rows, "dropped": routed.dropped_rows,
-                           "errors": routed.error_rows, "written": obs_w.get["rows"]})
+        return LoadResult(audit, out, path,
+                          {**read, "joined": joined_rows, "dropped": routed.dropped_rows,
+                           "errors": routed.error_rows, "written": routed.valid_rows},
+                          [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
 
+def _observed(obs: Observation, df: DataFrame) -> int:
+    """Rows counted on a scan; a scan that the plan left out (an empty other
+    side makes it needless) is counted by itself."""
+    found = observed(obs)
+    return int(found["rows"]) if found else df.count()
+
+
 # --------------------------------------------------------------------------- PIP4
-def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Sequence[str], *,
+def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Sequence[str] = (), *,
                    path: str, conversions: Mapping[str, str | tuple[str, str]],
+                   fixed_width: Sequence[tuple[str, int]] | None = None,
+                   skip_pattern: str | None = None,
                    rules: Sequence[dict] = (), delimiter: str = ",", header: bool = True,
                    encoding: str = "UTF-8", load_ts=None, error_path: str | None = None,
                    error_limit: int | None = 50, error_fraction: float | None = None,
@@ -311,31 +366,37 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
     conversion failures, user rules) -> error limit -> append -> audit.
 
-    The default limit of 50 bad rows is the file job's skip limit; pass
-    ``error_limit=None`` and/or ``error_fraction`` to change it.
+    Delimited files with ``columns``, or fixed-width ones with ``fixed_width``
+    (name, width; ``skip_pattern`` drops header lines).  The default limit of
+    50 bad rows is the file job's skip limit; pass ``error_limit=None`` and/or
+    ``error_fraction`` to change it.
     """
     audit = audit or AuditTrail("flat_file_ingest")
 
     def body() -> LoadResult:
-        raw = read_delimited(spark, files, columns, delimiter=delimiter, header=header,
-                             encoding=encoding)
-        raw = lineage_columns(raw, load_ts=load_ts, source_file=True)
+        if fixed_width:
+            raw = read_fixed_width(spark, files, fixed_width, encoding=encoding, skip_pattern=skip_pattern,
+                                   source_file=True)
+            raw = lineage_columns(raw, load_ts=load_ts)
+            layout, extra = fixed_width_length_rule(fixed_width), "_record_length"
+        else:
+            raw = read_delimited(spark, files, columns, delimiter=delimiter, header=header,
+                                 encoding=encoding)
+            raw = lineage_columns(raw, load_ts=load_ts, source_file=True)
+            layout, extra = corrupt_rule(), CORRUPT
         conv, conv_rules = type_conversions(raw, conversions)
-        routed, _ = route_and_stage(conv, [corrupt_rule(), *conv_rules, *rules],
-                                    f"{audit.pipeline}-route")
+        routed, _ = route_and_stage(conv, [layout, *conv_rules, *rules], f"{audit.pipeline}-route")
         audit.record_read("file", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
-        valid = drop_raw_columns(routed.valid).drop(CORRUPT)
-        obs_w = _observation("write")
-        append(valid.observe(obs_w, F.count(F.lit(1)).alias("rows")), path,
-               partition_by=partition_by)
-        audit.record_write("target", obs_w.get["rows"])
+        valid = drop_raw_columns(routed.valid).drop(extra)
+        out = _append_valid(spark, valid, routed, path, partition_by)
+        audit.record_write("target", routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.read.parquet(path), path,
+        return LoadResult(audit, out, path,
                           {"read": routed.rows, "errors": routed.error_rows,
-                           "written": obs_w.get["rows"]})
+                           "written": routed.valid_rows}, [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
@@ -361,13 +422,11 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
-        obs_w = _observation("write")
-        append(routed.valid.observe(obs_w, F.count(F.lit(1)).alias("rows")), path,
-               partition_by=partition_by)
-        audit.record_write("target", obs_w.get["rows"])
+        out = _append_valid(spark, routed.valid, routed, path, partition_by)
+        audit.record_write("target", routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.read.parquet(path), path,
+        return LoadResult(audit, out, path,
                           {"read": routed.rows, "errors": routed.error_rows,
-                           "written": obs_w.get["rows"]})
+                           "written": routed.valid_rows}, [routed.path])
 
     return _run(spark, audit, body, audit_path)

@@ -6,7 +6,7 @@ upstream plan (joins, de-duplication) for each of those would repeat its
 shuffles, and caching a large frame in executor memory does not survive a
 lost executor.  So the routed frame is written once to the shared folder,
 partitioned by its route, with an ``Observation`` collecting the counts
-(and the valid rows' byte size, which decides later broadcasts) on that
+(and, if asked, the valid rows' byte size, which decides later broadcasts) on that
 same write; the outputs are partition-pruned reads of it.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -25,21 +27,37 @@ from loadkit.session import scratch_path
 ROUTE = "load_route"
 
 
+def observed(obs: Observation) -> dict | None:
+    """The metrics of a finished run; None if the plan had no place for them
+    (an empty input is optimised away, and its counters with it)."""
+    try:
+        return dict(obs.get)
+    except (Py4JError, PySparkException):
+        return None
+
+
 def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = None,
-          metrics: Sequence[Column] = ()) -> tuple[DataFrame, dict]:
+          metrics: Sequence[Column] = (), keep: Column | None = None) -> tuple[DataFrame, dict]:
     """Write ``df`` under the shared folder and read it back.
 
-    Returns (frame, metrics) where metrics were observed on the write itself.
+    Returns (frame, metrics) where metrics were observed on the write itself,
+    ``path`` among them.  Rows outside ``keep`` are counted but not written.
     """
     spark = df.sparkSession
+    schema = df.schema  # a write of no rows may leave no file to take it from
     path = scratch_path(spark, f"stage-{label}")
     obs = Observation(f"{label}_{path.rsplit('-', 1)[-1]}")
     out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *metrics)
+    if keep is not None:
+        out = out.filter(keep)
     w = out.write.mode("error").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    return spark.read.parquet(path), dict(obs.get)
+    found = observed(obs)
+    if found is None:
+        found = df.agg(F.count(F.lit(1)).alias("rows"), *metrics).first().asDict()
+    return spark.read.schema(schema).parquet(path), {**found, "path": path}
 
 
 @dataclass
@@ -51,6 +69,7 @@ class Routed:
     path_frame: DataFrame
     valid_bytes: int = 0
     dropped_rows: int = 0
+    path: str = ""
 
     @property
     def valid_rows(self) -> int:
@@ -60,13 +79,15 @@ class Routed:
 def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                     pre_tagged: DataFrame | None = None,
                     drop_when: Column | None = None,
-                    extra_metrics: Sequence[Column] = ()) -> tuple[Routed, dict]:
+                    extra_metrics: Sequence[Column] = (),
+                    measure: bool = False) -> tuple[Routed, dict]:
     """Tag ``df`` with ``rules``, stage it, and split it into valid and error rows.
 
     ``pre_tagged``: rows already carrying error arrays (e.g. null-key rows
     routed before de-duplication) to stage together with ``df``.
     ``drop_when``: rows that belong to neither output (e.g. detail rows an
-    inner join would drop); they are staged and counted, not returned.
+    inner join would drop); they are counted, not staged.
+    ``measure``: also sum the valid rows' bytes (for a later broadcast).
     """
     columns = list(df.columns)
     if rules:
@@ -80,16 +101,18 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
     if drop_when is not None:
         route = F.when(F.coalesce(drop_when, F.lit(False)), F.lit("dropped")).otherwise(route)
     tagged = tagged.withColumn(ROUTE, route)
-    valid_size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
+    extra = list(extra_metrics)
+    if measure:
+        size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
+        extra.append(F.sum(size).alias("valid_bytes"))
     staged, metrics = stage(
-        tagged, label, partition_by=[ROUTE],
+        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped",
         metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
-                 F.count_if(F.col(ROUTE) == "dropped").alias("dropped"),
-                 F.sum(valid_size).alias("valid_bytes"), *extra_metrics])
+                 F.count_if(F.col(ROUTE) == "dropped").alias("dropped"), *extra])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)
     errors = staged.filter(F.col(ROUTE) == "error").drop(ROUTE)
     routed = Routed(valid=valid, errors=errors, rows=int(metrics["rows"]),
                     error_rows=int(metrics["errors"]), path_frame=staged,
-                    valid_bytes=int(metrics["valid_bytes"] or 0),
-                    dropped_rows=int(metrics["dropped"]))
+                    valid_bytes=int(metrics.get("valid_bytes") or 0),
+                    dropped_rows=int(metrics["dropped"]), path=metrics["path"])
     return routed, metrics

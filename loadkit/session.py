@@ -1,13 +1,18 @@
 """Session construction and the shared folder used for staging and checkpoints.
 
 On a cluster the shared folder is whatever ``spark.checkpoint.dir`` (or an
-earlier ``setCheckpointDir``) names.  Only when neither is set -- local runs
-and tests -- do we create one ourselves.
+earlier ``setCheckpointDir``) names.  Only when neither is set and the master
+is ``local`` do we create one ourselves.
+
+Loads leave their staged tables under ``<shared folder>/loadkit``; each load
+returns the paths (``LoadResult.staged``).  They must stay as long as a frame
+read from them is in use and can be deleted after the load has returned.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,39 +42,18 @@ def build_session(app: str = "loadkit", master: str | None = None,
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(LOAD_DEFAULTS)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
-# Settings for loads that write partitioned tables, applied only where the
-# session leaves them unset.
-LOAD_DEFAULTS = {
-    # Reading a date-partitioned table lists thousands of folders; a few
-    # dozen listing tasks beat one task per folder.
-    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
-    # Let AQE spread even a small shuffle over the cores, so one task does
-    # not write every partition folder alone.  Large shuffles are unaffected:
-    # their target size stays the advisory partition size.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
-    # MIN/MAX/COUNT over parquet answered from file footers: continuing a
-    # fact table's surrogate keys reads statistics, not the key column.
-    "spark.sql.parquet.aggregatePushdown": "true",
-}
-
-
-def apply_load_defaults(spark: SparkSession) -> None:
-    for key, value in LOAD_DEFAULTS.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and staged tables.
 
-    Read from the session; set a local one only when the session has none.
+    Read from the session.  A session without one gets a folder of its own
+    only when everything runs in this process (``local``); on a cluster other
+    nodes could not see that folder, so there the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -77,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         conf_dir = tempfile.mkdtemp(prefix="loadkit-shared-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir().rstrip("/")

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadkit.functions.columns import ts_literal
-from loadkit.session import apply_load_defaults
 
 # Files above this many rows are split; keeps files an even size at any scale.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -36,7 +35,6 @@ def append(df: DataFrame, path: str, *, fmt: str = "parquet",
     a batch does not duplicate it.
     """
     if partition_by:
-        apply_load_defaults(df.sparkSession)
         df = df.hint("rebalance", *partition_by)
     mode = "overwrite" if replace_partitions else "append"
     w = _writer(df, fmt, mode, partition_by)
@@ -47,6 +45,12 @@ def append(df: DataFrame, path: str, *, fmt: str = "parquet",
     w.save(path)
 
 
+def replace(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
+    """Write ``df`` in place of what ``path`` holds.  Spark refuses a frame
+    that reads from ``path``; publish a version for that."""
+    _writer(df, fmt, "overwrite", None).save(path)
+
+
 def write_split(df: DataFrame, cases, path: str, *, default: str = "default",
                 label: str = "split_output", fmt: str = "parquet") -> None:
     """Write every output of a conditional split in one job.

@@ -86,7 +86,8 @@ def corrupt_rule() -> dict:
 # --------------------------------------------------------------------------- SRC5
 def read_fixed_width(spark: SparkSession, path: str | Sequence[str],
                      fields: Sequence[tuple[str, int]], *, trim: bool = True,
-                     encoding: str = "UTF-8", skip_pattern: str | None = None) -> DataFrame:
+                     encoding: str = "UTF-8", skip_pattern: str | None = None,
+                     source_file: bool = False) -> DataFrame:
     """Fixed-width text: ``fields`` is an ordered list of (name, width).
 
     All strings (convert with ``type_conversions``).  A line shorter than the
@@ -94,7 +95,7 @@ def read_fixed_width(spark: SparkSession, path: str | Sequence[str],
     the line length so a rule can reject wrong lengths.  Lines matching
     ``skip_pattern`` (a regex: header, trailer, comment lines) are dropped
     before parsing; lines carry no position once a file is split, so headers
-    are recognised by content.
+    are recognised by content.  ``source_file`` adds the file's full path.
     """
     text = (spark.read.option("encoding", encoding).text(path))
     if skip_pattern:
@@ -107,6 +108,8 @@ def read_fixed_width(spark: SparkSession, path: str | Sequence[str],
         v = F.rtrim(F.ltrim(raw)) if trim else raw
         cols.append(F.when(v == "", F.lit(None)).otherwise(v).alias(name))
         pos += width
+    if source_file:
+        cols.append(F.col("_metadata.file_path").alias("source_file"))
     return text.select(*cols, F.length(line).alias("_record_length"))
 
 

@@ -1,11 +1,11 @@
 """Restartable file ingest with Structured Streaming.
 
 A re-run continues after the last completed input: the file source records
-every file it has taken in the checkpoint, and the file sink commits each
-micro-batch atomically in its ``_spark_metadata`` log, so a run that died
-halfway is redone from the last committed batch and files are never taken
-twice.  ``trigger(availableNow=True)`` turns that into a batch job: take
-everything new, in bounded micro-batches, then stop.
+every file it has taken in the checkpoint.  ``trigger(availableNow=True)``
+turns that into a batch job: take everything new, in bounded micro-batches,
+then stop.  Each micro-batch is routed and written to its own partition
+``ingest_batch=<n>``, replacing what a run that died halfway left there, so
+every batch lands exactly once.
 """
 
 from __future__ import annotations
@@ -17,37 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadkit.functions.columns import file_name, ts_literal
-from loadkit.operators.routing import is_error_row, tag_errors
+from loadkit.functions.columns import ts_literal
+from loadkit.operators.routing import enforce_error_limit
+from loadkit.operators.transforms import drop_raw_columns, type_conversions
+from loadkit.plans.staging import route_and_stage
+from loadkit.session import path_exists
+from loadkit.sources.readers import CORRUPT, corrupt_rule, string_schema
 
 BATCH_COLUMN = "ingest_batch"
+TEXT_FORMATS = ("csv", "json")
 
 
-def _routed_batch_writer(rules, target: str, error_path: str | None, fmt: str,
-                         partition_by: Sequence[str] | None):
-    """foreachBatch body: split a micro-batch by ``rules`` and write both outputs.
+class _Writer:
+    """foreachBatch body: convert, route, check the limit, write; counts per batch.
 
-    Each output goes to the partition ``ingest_batch=<epoch>`` with dynamic
-    overwrite.  A batch that is re-run after a crash replaces its own
-    partial output, so every batch lands exactly once.
+    The batch is staged once in the shared folder (``route_and_stage``), not
+    kept in executor memory; its counts come from that write.
     """
-    parts = [BATCH_COLUMN, *(partition_by or [])]
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        tagged = tag_errors(batch, rules).withColumn(BATCH_COLUMN, F.lit(epoch).cast("long"))
-        tagged = tagged.persist()        # one micro-batch, read twice below
-        try:
-            valid = tagged.filter(~is_error_row()).drop("error_rules", "error_messages")
-            (valid.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(*parts).save(target))
-            if error_path:
-                (tagged.filter(is_error_row()).write.format(fmt).mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN)
-                 .save(error_path))
-        finally:
-            tagged.unpersist()
+    def __init__(self, target, error_path, partition_by, rules, conversions, error_limit, label):
+        self.target, self.error_path, self.label = target, error_path, label
+        self.parts = [BATCH_COLUMN, *(partition_by or [])]
+        self.rules, self.conversions, self.error_limit = rules, conversions, error_limit
+        self.read: dict[int, int] = {}
+        self.errors: dict[int, int] = {}
 
-    return write
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        rules = list(self.rules)
+        if self.conversions:
+            batch, bad = type_conversions(batch, self.conversions)
+            rules = [corrupt_rule(), *bad, *rules]
+        routed, _ = route_and_stage(batch, rules, f"{self.label}-{epoch}")
+        self.read[epoch], self.errors[epoch] = routed.rows, routed.error_rows
+        enforce_error_limit(sum(self.errors.values()), self.error_limit)
+        number = F.lit(epoch).cast("long")
+        valid = drop_raw_columns(routed.valid).drop(CORRUPT).withColumn(BATCH_COLUMN, number)
+        self.write(valid, self.target, self.parts)
+        if self.error_path:
+            self.write(routed.errors.withColumn(BATCH_COLUMN, number), self.error_path, [BATCH_COLUMN])
+
+    @staticmethod
+    def write(df: DataFrame, path: str, parts: Sequence[str]) -> None:
+        (df.write.format("parquet").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*parts).save(path))
 
 
 def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType, *,
@@ -57,51 +69,65 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
                      max_files_per_trigger: int | None = 1000,
                      partition_by: Sequence[str] | None = None,
                      rules: Sequence[dict] | None = None,
-                     error_path: str | None = None,
-                     audit=None) -> dict:
+                     error_path: str | None = None, error_limit: int | None = None,
+                     audit=None, audit_path: str | None = None) -> dict:
     """Append every not-yet-ingested file under ``source_glob`` to ``target``.
 
-    Adds ``source_file`` (base name) and ``load_timestamp``.  Without
-    ``rules`` the parquet file sink commits each micro-batch atomically.
-    With ``rules`` each micro-batch is routed (valid rows to ``target``,
-    error rows with their reasons to ``error_path``) by an idempotent
-    ``foreachBatch`` writer, both outputs partitioned by ``ingest_batch``.
-    Returns the number of rows taken in and the number of micro-batches;
-    with an ``AuditTrail`` the run is also recorded there.
+    Text formats are read as strings and converted to ``schema``: a malformed
+    line (rule ``malformed_line``), a value that does not convert
+    (``bad_<column>``) and a row that fails one of ``rules`` go to
+    ``error_path`` with their reasons, never to the target as a null.  Without
+    ``error_path`` such a row stops the run, unless ``error_limit`` says how
+    many of a run's error rows may be left out.  A batch over the limit is not
+    written and is taken again by the next run.  Both outputs are partitioned
+    by ``ingest_batch``; rows carry ``source_file`` (full path) and
+    ``load_timestamp``.
+
+    Returns rows read, error rows, rows written and micro-batches of this run,
+    counted by the batches' own writes.  With an ``AuditTrail`` the run is
+    recorded there, failures included, and appended to ``audit_path``.
     """
-    if audit is not None:
-        audit.start()
-    reader = spark.readStream.format(fmt).schema(schema)
+    if path_exists(spark, f"{target.rstrip('/')}/_spark_metadata"):
+        raise ValueError(f"{target} is kept by a streaming file sink, whose log would hide these rows; "
+                         "ingest into a new folder")
+    if error_limit is None and not error_path:
+        error_limit = 0
+    text = fmt in TEXT_FORMATS
+    conversions = {f.name: f.dataType.simpleString() for f in schema} if text else {}
+    reader = spark.readStream.format(fmt).schema(string_schema(schema.names, True) if text else schema)
+    if text:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream: DataFrame = reader.load(source_glob)
-    stream = stream.withColumns({
-        "source_file": file_name(F.col("_metadata.file_path")),
+    stream: DataFrame = reader.load(source_glob).withColumns({
+        "source_file": F.col("_metadata.file_path"),
         "load_timestamp": ts_literal(load_ts),
     })
-    writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-              .trigger(availableNow=True))
-    if rules:
-        q = writer.foreachBatch(_routed_batch_writer(rules, target, error_path, "parquet",
-                                                     partition_by)).start()
-    else:
-        writer = writer.format("parquet").outputMode("append")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        q = writer.start(target)
-    q.awaitTermination()
-    if q.exception():
+    write = _Writer(target, error_path, partition_by, rules or [], conversions, error_limit,
+                    audit.pipeline if audit is not None else "ingest")
+    if audit is not None:
+        audit.start()
+    try:
+        query = (stream.writeStream.option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).foreachBatch(write).start())
+        query.awaitTermination()
+    except Exception as e:
         if audit is not None:
-            audit.fail(str(q.exception()))
-        raise q.exception()
-    progress = q.recentProgress
-    rows = sum(int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows)
-               for p in progress)
-    batches = sum(1 for p in progress
-                  if int(p["numInputRows"] if isinstance(p, dict) else p.numInputRows) > 0)
+            audit.record_read("new_files", sum(write.read.values()))
+            audit.record_errors("ingest", sum(write.errors.values()))
+            audit.fail(f"{type(e).__name__}: {e}")
+            if audit_path:
+                audit.write(spark, audit_path)
+        raise
+    rows, errors = sum(write.read.values()), sum(write.errors.values())
+    batches = sum(1 for n in write.read.values() if n)
     if audit is not None:
         audit.record_read("new_files", rows)
+        audit.record_errors("ingest", errors)
+        audit.record_write("target", rows - errors)
         audit.complete(f"{batches} micro-batches")
-    return {"rows": rows, "batches": batches}
+        if audit_path:
+            audit.write(spark, audit_path)
+    return {"rows": rows, "errors": errors, "written": rows - errors, "batches": batches}

@@ -22,16 +22,15 @@ def test_dimension_job_with_compat_names(spark, tmp_shared):
     df = C.deduplicate(df, ["business_key"], ["modified_date"], "last")
     valid, errors = C.route_errors(df, [{"name": "null_key",
                                          "condition": F.col("business_key").isNull(),
-                                         "message": "Business key cannot be null"}])
+                                         "message": "key missing"}])
     audit.record_errors("validation", errors.count())
-    C.scd_type2_merge(spark, valid, name, ["business_key"], I.SCD2_TRACKED, root=tmp_shared,
-                      as_of=I.AS_OF)
+    C.scd_type2_merge(spark, valid, name, ["business_key"], I.SCD2_TRACKED, as_of=I.AS_OF)
     audit.complete()
     want = scd.scd2_merge(I.scd2_target(spark, SF_SMALL), I.scd2_source(spark, SF_SMALL),
                           ["business_key"], I.SCD2_TRACKED, I.AS_OF)
     got = spark.table(name)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    assert audit.records[0][8] == "environment=qa" and audit.status == "complete"
+    assert audit.records[0][9] == "environment=qa" and audit.status == "complete"
 
 
 def test_flat_file_job_with_compat_names(spark, tmp_shared):

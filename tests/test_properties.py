@@ -104,16 +104,6 @@ def test_scd2_one_current_row_per_key_on_tables(spark):
     assert again.exceptAll(out).count() == 0 and out.exceptAll(again).count() == 0
 
 
-def test_dedup_paths_agree_on_lineitem(spark):
-    li = I.table(spark, SF_SMALL, "lineitem")
-    for keep in ("last", "first"):
-        a = transforms.deduplicate(li, ["l_orderkey", "l_linenumber"], ["l_shipdate"], keep)
-        b = transforms.deduplicate(li, ["l_orderkey", "l_linenumber"], ["l_shipdate"], keep,
-                                   count_column="n")
-        assert a.exceptAll(b.drop("n")).count() == 0 and b.drop("n").exceptAll(a).count() == 0
-        assert b.agg(F.sum("n")).first()[0] == li.count()
-
-
 def test_dimension_load_audit_counts_exact(spark):
     from loadkit.catalog.load_queries import SCD2_LOAD_SOURCE_SQL, run_scd2_load
     from tests.oracle import duck
