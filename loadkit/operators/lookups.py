@@ -1,9 +1,8 @@
 """Merge join and dimension lookups.
 
 Broadcast is used only behind a proven size bound: ``fits_broadcast``
-checks the row count with an incremental take that stops at row n + 1
-(so a side that turns out large costs a few partitions), then sums the
-bytes of a side known to be small.  Beyond the bound the lookup is an
+measures rows and bytes by one aggregate, unless the size estimate already
+rules the side out.  Beyond the bound the lookup is an
 ordinary shuffle join; AQE then splits skewed fact partitions
 (``spark.sql.adaptive.skewJoin``), so a key holding a third of the fact
 rows is spread over many tasks instead of one.
@@ -23,6 +22,9 @@ from loadkit.functions.columns import CURRENT
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
+# A side that reads this many times the byte bound is taken to exceed it.
+HOPELESS = 64
+
 _HIT = "_lookup_hit"
 
 
@@ -74,17 +76,29 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return not more_rows_than(df, n)
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Size of what ``df`` reads, by the optimizer's statistics of its scans; None if one is unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(n >= 1 << 62 for n in sizes) else sum(sizes)
+
+
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, payload bytes), by one aggregate."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return int(row["rows"]), int(row["bytes"] or 0)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    The row bound is checked first (incrementally, see ``more_rows_than``);
-    only a side already known to be small is then summed for its bytes.
+    A side that reads more than ``HOPELESS`` times the bound is not measured
+    at all; any other is, by one aggregate of its rows and bytes.
     """
-    if more_rows_than(df, max_rows):
+    if (estimated_bytes(df) or 0) > HOPELESS * max_bytes:
         return False
-    size = df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"]
-    return (size or 0) <= max_bytes
+    return within_broadcast(measured_size(df), max_rows, max_bytes)
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup side"
@@ -162,8 +176,8 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     if broadcast is None:
         if budget is not None:
             max_broadcast_bytes = min(max_broadcast_bytes, budget[0])
-        if size is None and rows_at_most(side, max_broadcast_rows):
-            size = (0, int(side.agg(F.sum(row_bytes(side))).first()[0] or 0))
+        if size is None and (estimated_bytes(side) or 0) <= HOPELESS * max_broadcast_bytes:
+            size = measured_size(side)
         broadcast = size is not None and within_broadcast(size, max_broadcast_rows, max_broadcast_bytes)
         if broadcast and budget is not None:
             budget[0] -= size[1]

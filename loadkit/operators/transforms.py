@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadkit.functions.columns import date_key, file_name, ts_literal
+from loadkit.operators.lookups import estimated_bytes
 
 
 # --------------------------------------------------------------------------- PRJ1
@@ -191,11 +192,10 @@ RANGE_BYTES = 128 * 1024 * 1024
 
 
 def _ranges(df: DataFrame) -> int:
-    """Ranges for a sort of ``df``: by its estimated size, at least the session's shuffle partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Ranges for a sort of ``df``: by the size of what it reads, at least the session's shuffle partitions."""
+    size = estimated_bytes(df)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # An unknown size is estimated as huge; then the session's setting is the better guess.
-    return least if size >= 1 << 62 else max(least, -(-size // RANGE_BYTES))
+    return max(least, -(-(size or 0) // RANGE_BYTES))
 
 
 def assign_surrogate_keys(df: DataFrame, key: str, *, order_by: Sequence[str] | None = None,
