@@ -1,10 +1,10 @@
 """Toxicity by a subsequence string-kernel machine with Nyström landmarks (operator 4).
 
 Strings are units of a sentence: words, with runs of single letters
-("m o r o n") joined to one.  Letters are 32 symbols: a-z, five classes of
-bytes beyond ASCII, the unit's start and end; anything else is a character
-that matches nothing, so an insult with inserted marks still shares most of
-its subsequences.  The kernel counts common subsequences of four to eight
+("m o r o n") joined to one.  Letters are symbols: a-z, three classes of
+bytes beyond ASCII, the unit's start and end; any other character inside a
+unit is skipped, so marks put into an insult change nothing, and letters put
+in or left out leave most of its subsequences.  The kernel counts common subsequences of four to eight
 symbols within a few places, each gap costing a factor ``GAP``, normalised by
 the unit's own weight.
 
@@ -25,7 +25,7 @@ curve fitted on labelled documents kept aside turns that into 0 to 1.
 from __future__ import annotations
 
 import io
-from itertools import combinations
+from itertools import combinations, tee
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ from loadkit.llm.learning import PER_CLASS, fit_in_one_task, held_out, labelled_
 GAP = 0.7
 LANDMARKS = 384
 CLEAN_UNITS = 8_000  # distinct units of clean sample documents the machine is fitted on
+RUN = 1 << 17  # symbols scored together
 FEW = 0.005  # share of the toxic documents a run of symbols must be in to tell
 ROUNDS = 3
 RIDGE = 1e-5
@@ -46,14 +47,14 @@ THRESHOLD = 0.3
 NORM = 1.0  # power of a unit's own weight its counts are divided by: 1 would let long words hide a part
 START_SYMBOL, END_SYMBOL = 30, 31
 TABLE = 1 << 20  # numbers of subsequences
-#: Places of the symbols counted: four within six places, six within eight, and runs of eight.
-PATTERNS = [*((0, *p) for p in combinations(range(1, 6), 3)), *((0, *p) for p in combinations(range(1, 8), 5)),
+#: Places of the symbols counted: four within six places, six within seven, and runs of eight.
+PATTERNS = [*((0, *p) for p in combinations(range(1, 6), 3)), *((0, *p) for p in combinations(range(1, 7), 5)),
             tuple(range(8))]
 RUNS = [tuple(range(n)) for n in (4, 6, 8)]
 
 
 def symbols() -> np.ndarray:
-    """Symbol of each byte: a-z 1 to 26, bytes beyond ASCII 27 to 29 and 25 more folded in, else 0."""
+    """Symbol of each byte: a-z 1 to 26, bytes beyond ASCII 27 to 29, else 0."""
     table = np.zeros(256, np.int64)
     table[97:123] = np.arange(1, 27)
     table[65:91] = np.arange(1, 27)
@@ -94,39 +95,80 @@ def unit_symbols(s: tb.TextSlice, w: tb.Words, first: np.ndarray, end: np.ndarra
     inside = np.ones(len(out), bool)
     inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
     out[inside] = symbols()[s.data[at]]
-    return out, bounds
+    known = out > 0
+    return out[known], np.concatenate(([0], np.cumsum(known)))[bounds]
 
 
 def subsequences(code: np.ndarray, bounds: np.ndarray, patterns=PATTERNS):
-    """For each pattern of places: (subsequence number, whether it counts, weight), by first place.
+    """For each pattern of places: (subsequence number, whether it is in one unit, weight), by first place.
 
-    A subsequence is numbered by a hash of its symbols into ``TABLE``.
+    A subsequence is numbered by a hash of its symbols into ``TABLE``.  The
+    patterns have even lengths; symbols are packed in pairs first.
     """
     wide = code.astype(np.uint64)
     owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
-    solid = code > 0
+    steps = {b - a for p in patterns for a, b in zip(p[::2], p[1::2], strict=True)}
+    pairs = {d: (wide[:-d] << np.uint64(5)) | wide[d:] for d in steps if len(wide) > d}
+    alone = {last: owner[:-last] == owner[last:] for last in {p[-1] for p in patterns} if len(owner) > last}
     for p in patterns:
         n = len(code) - p[-1]
         if n <= 0:
             continue
-        ok = owner[:n] == owner[p[-1]:]
         number = np.full(n, len(p), np.uint64)
-        for k in p:
-            ok &= solid[k:k + n]
-            number = (number << np.uint64(5)) | wide[k:k + n]
-        number = (number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE.bit_length() + 1)
-        yield number.astype(np.int64), ok, GAP ** (p[-1] + 1 - len(p))
+        for a, b in zip(p[::2], p[1::2], strict=True):
+            number <<= np.uint64(10)
+            number |= pairs[b - a][a:a + n]
+        number *= np.uint64(0x9E3779B97F4A7C15)
+        number >>= np.uint64(64 - TABLE.bit_length() + 1)
+        yield number.view(np.int64), alone[p[-1]], GAP ** (p[-1] + 1 - len(p))
 
 
 def table_scores(code: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Each unit's subsequence weights in ``table``, over the unit's norm; 0 without subsequences."""
-    total, energy = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
-    for number, ok, weight in subsequences(code, bounds):
-        total[:len(number)] += np.float32(weight) * table[number] * ok
-        energy[:len(number)] += np.float32(weight * weight) * ok
-    # Units have at least their start and end, so no range is empty.
-    own = np.maximum(np.add.reduceat(energy, bounds[:-1]), 1e-12)
-    return np.add.reduceat(total, bounds[:-1]) / own ** (NORM / 2)
+    """Each unit's subsequence weights in ``table``, over the unit's norm; 0 without subsequences.
+
+    Done in runs of units of about ``RUN`` symbols, whose arrays stay in the processor's cache.
+    """
+    cuts = np.unique(np.append(np.searchsorted(bounds[:-1], np.arange(0, bounds[-1], RUN)), len(bounds) - 1))
+    out = [np.zeros(0)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = bounds[a:b + 1] - bounds[a]
+        some = code[bounds[a]:bounds[b]]
+        total, energy = np.zeros(len(some), np.float32), np.zeros(len(some), np.float32)
+        for number, ok, weight in subsequences(some, own):
+            found = table[number]
+            found *= ok
+            found *= np.float32(weight)
+            total[:len(number)] += found
+            energy[:len(number)] += ok * np.float32(weight * weight)
+        # Units have at least their start and end, so no range is empty.
+        norm = np.maximum(np.add.reduceat(energy, own[:-1]), 1e-12) ** (NORM / 2)
+        out.append(np.add.reduceat(total, own[:-1]) / norm)
+    return np.concatenate(out)
+
+
+class Margins:
+    """Margins of units under a model; units already seen by this task are looked up by their hash."""
+
+    def __init__(self, model, most: int = 1 << 20):
+        self.table, self.bias, self.most = model[0], model[1], most
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, s: tb.TextSlice, w: tb.Words, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        names, one, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, names)
+        at[at == len(self.hashes)] = 0
+        known = self.hashes[at] == names if len(self.hashes) else np.zeros(len(names), bool)
+        margins = np.empty(len(names))
+        margins[known] = self.values[at[known]]
+        new = ~known
+        if new.any():
+            margins[new] = table_scores(*unit_symbols(s, w, first[one[new]], end[one[new]]), self.table) + self.bias
+            if len(self.hashes) + new.sum() > self.most:
+                self.hashes, self.values = names[:0], margins[:0]
+            every = np.concatenate([self.hashes, names[new]])
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.values = every[order], np.concatenate([self.values, margins[new]])[order]
+        return margins[place]
 
 
 class Strings:
@@ -167,9 +209,14 @@ class Strings:
         return np.bincount(self.owner, weights=self.value * table[self.number], minlength=self.n)
 
 
-def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray, count: int) -> list[int]:
-    """Pivoted Cholesky: each pick has the most worth that the picks so far don't explain."""
+def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray,
+                   count: int) -> tuple[list[int], list[np.ndarray]]:
+    """Pivoted Cholesky: each pick has the most worth that the picks so far don't explain.
+
+    Returns the picks and their kernel with all units.
+    """
     picked: list[int] = []
+    kernels: list[np.ndarray] = []
     rest = strings.own()[among]
     worth = worth / rest
     factors = np.zeros((0, len(among)))
@@ -177,13 +224,14 @@ def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray, count
         k = int(np.argmax(rest * worth))
         if rest[k] * worth[k] < 1e-3 * worth.max():
             break
-        column = strings.against(int(among[k]))[among]
+        kernels.append(strings.against(int(among[k])))
+        column = kernels[-1][among]
         column = (column - factors[:, k] @ factors) / np.sqrt(rest[k])
         factors = np.vstack([factors, column])
         rest = np.maximum(rest - column * column, 0)
         rest[k] = 0
         picked.append(int(among[k]))
-    return picked
+    return picked, kernels
 
 
 def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -285,11 +333,10 @@ def fit_kernel_machine(bags: list[list[bytes]], labels: np.ndarray, weight: np.n
         def at(which, used=used):
             return np.searchsorted(used, which)
 
-        marks = pick_landmarks(strings, at(speak), telling[speak] + 1e-9, landmarks * 5 // 8)
-        marks += pick_landmarks(strings, at(np.setdiff1d(np.concatenate([hard, common]), used[marks])),
-                                np.ones(len(np.setdiff1d(np.concatenate([hard, common]), used[marks]))),
-                                landmarks - len(marks))
-        kernel = np.stack([strings.against(m) for m in marks], axis=1)
+        marks, columns = pick_landmarks(strings, at(speak), telling[speak] + 1e-9, landmarks * 5 // 8)
+        plain = at(np.setdiff1d(np.concatenate([hard, common]), used[marks]))
+        more = pick_landmarks(strings, plain, np.ones(len(plain)), landmarks - len(marks))
+        marks, kernel = marks + more[0], np.stack(columns + more[1], axis=1)
         values, vectors = np.linalg.eigh(kernel[marks])
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
@@ -364,16 +411,15 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
     return fit_in_one_task(rows.mapInArrow(bags, "order long, label int, weight double, units array<binary>"), fit)
 
 
-def strongest(s: tb.TextSlice, model) -> tuple[np.ndarray, np.ndarray]:
+def strongest(s: tb.TextSlice, margins: Margins) -> tuple[np.ndarray, np.ndarray]:
     """(strongest unit's margin, number of units with a positive margin) of each row; -1 without words."""
-    table, bias = model[0], model[1]
     w = tb.words(s, lower=True)
     top, hits = np.full(s.n, -1.0), np.zeros(s.n, np.int64)
     if len(w.starts):
         hashes, first, end, row = units(s, w)
-        _, one, place = np.unique(hashes, return_index=True, return_inverse=True)
-        margin = (table_scores(*unit_symbols(s, w, first[one], end[one]), table) + bias)[place]
-        np.maximum.at(top, row, margin)
+        margin = margins.of(s, w, hashes, first, end)
+        full = np.unique(row, return_index=True)
+        top[full[0]] = np.maximum.reduceat(margin, full[1])
         hits = np.bincount(row[margin > 0], minlength=s.n)
     return top, hits
 
@@ -392,30 +438,36 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, *, label: str = "to
     """
     packed = train(documents, labels, label=label, id_column=id_column, text_column=text_column, per_class=per_class)
 
-    def scored(column):
+    def scored(columns):
+        """For each column of texts in turn: its slices with scores and hits."""
         model = unpack_model(packed) if packed else None
-        for s in tb.slices(column):
-            if model is None:
-                yield s, np.zeros(s.n), np.zeros(s.n, np.int64)
-                continue
-            top, hits = strongest(s, model)
-            yield s, 1 / (1 + np.exp(-np.clip(model[2] * top + model[3], -30, 30))), hits
+        margins = Margins(model) if model else None
+        for column in columns:
+            own = []
+            for s in tb.slices(column):
+                if model is None:
+                    own.append((s, np.zeros(s.n), np.zeros(s.n, np.int64)))
+                    continue
+                top, hits = strongest(s, margins)
+                own.append((s, 1 / (1 + np.exp(-np.clip(model[2] * top + model[3], -30, 30))), hits))
+            yield own
 
     if keep_columns:
         at = documents.columns.index(text_column)
 
         def add(batches):
-            for batch in batches:
-                p = [x for _, x, _ in scored(batch.column(at))]
-                p = np.concatenate(p) if p else np.zeros(0)
+            batches, again = tee(batches)
+            for batch, own in zip(batches, scored(b.column(at) for b in again), strict=True):
+                p = np.concatenate([np.zeros(0), *[x for _, x, _ in own]])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)],
                                                  names=[*batch.schema.names, "__toxic_score"])
 
         return documents.mapInArrow(add, T.StructType([*documents.schema, T.StructField("__toxic_score", T.DoubleType())]))
 
     def run(batches):
-        for batch in batches:
-            for s, p, hits in scored(batch.column(1)):
+        batches, again = tee(batches)
+        for batch, own in zip(batches, scored(b.column(1) for b in again), strict=True):
+            for s, p, hits in own:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(p), pa.array(hits)],
                                                  names=["doc_id", "score", "toxic_units"])
 
