@@ -177,9 +177,9 @@ def _with_meta(stats: np.ndarray, batch: pa.RecordBatch, columns: range, s: tb.T
 def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str, text_column: str,
           metadata: tuple[str, ...], per_class: int) -> Machine | None:
     """None without labelled documents of both classes."""
-    sample = labelled_sample(documents, labels, label, id_column=id_column, per_class=per_class)
-    rows = sample.select("__order", F.col("__label"), "__weight", text_column,
-                         *[F.col(c).cast("double") for c in metadata])
+    columns = [documents[text_column].alias("text"),
+               *[documents[c].cast("double").alias(f"meta_{k}") for k, c in enumerate(metadata)]]
+    rows = labelled_sample(documents, labels, label, columns, id_column=id_column, per_class=per_class)
 
     def features(batches):
         for batch in batches:

@@ -8,7 +8,7 @@ only the finished model, of fixed size, comes to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,13 +22,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, id_column: str = "doc_id",
-                    per_class: int = PER_CLASS) -> DataFrame:
-    """``documents``' rows in the sample, with ``__order`` long, ``__label`` int, ``__weight`` double.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, columns: Sequence[Column], *,
+                    id_column: str = "doc_id", per_class: int = PER_CLASS) -> DataFrame:
+    """The sample: ``__order`` long, ``__label`` int, ``__weight`` double, then ``columns`` of ``documents``.
 
     ``__weight`` is the class's size over its sampled size.  Rows of
     ``labels`` with a null id or label, and held-out ones, are left out; an id
-    labelled twice has its largest label.
+    labelled twice has its largest label.  An id with several documents has
+    the smallest of them, so the sample is bounded whatever repeats.
     """
     known = (labels.select(labels["doc_id"].alias("__id"), labels[label].cast("int").alias("__label"))
              .filter(F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__id")))
@@ -42,7 +43,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, id_c
     for p in parts[1:]:
         picked = picked.union(p)
     # At most per_class rows a class: small enough to send everywhere.
-    return documents.join(F.broadcast(picked), documents[id_column] == picked["__id"]).drop("__id")
+    named = documents.select(documents[id_column].alias("__of"), F.struct(*columns).alias("__row"))
+    return (named.join(F.broadcast(picked), F.col("__of") == F.col("__id"))
+            .groupBy("__order", "__id", "__label", "__weight").agg(F.min("__row").alias("__row"))
+            .select("__order", "__label", "__weight", "__row.*"))
 
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], bytes | None]) -> bytes | None:

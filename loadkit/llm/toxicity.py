@@ -382,8 +382,8 @@ def unpack_model(data: bytes):
 def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str, text_column: str,
           per_class: int) -> bytes | None:
     """The packed model; None without labelled documents of both classes."""
-    sample = labelled_sample(documents, labels, label, id_column=id_column, per_class=per_class)
-    rows = sample.select("__order", "__label", "__weight", text_column)
+    rows = labelled_sample(documents, labels, label, [documents[text_column].alias("text")], id_column=id_column,
+                           per_class=per_class)
 
     def bags(batches):
         for batch in batches:

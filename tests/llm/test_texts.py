@@ -213,3 +213,15 @@ def test_rules_and_report_of_nothing(spark, no_docs):
     trusted = spark.createDataFrame([], "doc_id long")
     assert llr_rules.quality_rules(no_docs, trusted).count() == 0
     assert fp.edited_report(no_docs).count() == 0
+
+
+def test_sample_is_bounded_when_an_id_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from loadkit.llm.learning import labelled_sample
+
+    df = spark.createDataFrame([(k % 5, f"t{k}", k) for k in range(400)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    got = labelled_sample(df, labels, "quality", [F.col("text")], per_class=10)
+    assert got.columns == ["__order", "__label", "__weight", "text"]
+    assert got.count() == got.select("__order").distinct().count() <= 5
