@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadkit.llm import chat, mixing
+from loadkit.llm import chat, minhash_dedup, mixing
 from loadkit.llm.bfd_packing import pack_best_fit
 from loadkit.llm.fingerprints import edited_report
 from loadkit.llm.fm_quality import quality_scores
@@ -75,5 +75,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_bbit_minhash": minhash_dedup.SQL,
     "op9_chat_events": chat.SQL,
 }
