@@ -151,16 +151,20 @@ def _signed(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """(previous, order, start) of rows (previous, need, order, packed, ...): packed first ``need`` characters."""
+    """(previous, order, start, next_own) of rows (previous, need, order, packed, own, ...).
+
+    ``start`` is the packed first ``need`` characters.
+    """
     def run(batches):
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             made = [pack.compress(unpack.decompress(x.as_py()).decode()[:n].encode())
                     for n, x in zip(batch.column(1).to_pylist(), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())],
-                                             names=["previous", "order", "start"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(made, pa.binary()), batch.column(4)],
+                names=["previous", "order", "start", "next_own"])
 
-    return rows.mapInArrow(run, "previous long, order long, start binary")
+    return rows.mapInArrow(run, "previous long, order long, start binary, next_own array<long>")
 
 
 def edited_report(documents: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -184,10 +188,11 @@ def edited_report(documents: DataFrame, *, words: int = WORDS) -> DataFrame:
     signed = _signed(docs, words).withColumn("key", F.struct("id"))
     after = follow.select(F.col("id").alias("previous"), "need", F.struct(F.col("next_id").alias("id")).alias("key"))
     # Both joins take the same columns of ``signed``, so that Spark reuses its exchange.
-    starts = (_starts(signed.join(after, "key").select("previous", "need", "order", "packed", "id", "n_chars", "own"))
+    starts = (_starts(signed.join(after, "key").select("previous", "need", "order", "packed", "own", "id", "n_chars"))
               .groupBy(F.struct(F.col("previous").alias("id")).alias("key"))
-              .agg(F.min_by("start", "order").alias("start")))
-    both = signed.join(starts, "key", "left").select("id", "n_chars", "own", "order", "packed", "start")
+              .agg(F.min_by(F.struct("start", "next_own"), "order").alias("next")))
+    both = signed.join(starts, "key", "left").select("id", "n_chars", "own", "order", "packed", "next.start",
+                                                     "next.next_own")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -200,15 +205,11 @@ def edited_report(documents: DataFrame, *, words: int = WORDS) -> DataFrame:
                 edited.append(text[:n - n // 4] + start)
             sha = [hashlib.sha256(x.encode()).hexdigest() for x in edited]
             new = _column(*text_signatures(pa.array(edited, pa.large_string()), words))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(sha), new],
-                                             names=["id", "n_chars", "own", "order", "edited_sha256", "new"])
-
-    made = kept(both.mapInArrow(run, "id long, n_chars long, own array<long>, order long, edited_sha256 string, "
-                                     "new array<long>"), "fingerprints").withColumn("key", F.struct("id"))
-    following = (made.select("key", "order", F.col("own").alias("next_own")).join(after, "key")
-                 .groupBy(F.struct(F.col("previous").alias("id")).alias("key"))
-                 .agg(F.min_by("next_own", "order").alias("next_own")))
-    out = made.join(following, "key", "left")
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(sha), new, batch.column(6)],
+                                             names=["id", "n_chars", "own", "edited_sha256", "new", "next_own"])
+
+    out = both.mapInArrow(run, "id long, n_chars long, own array<long>, edited_sha256 string, new array<long>, "
+                               "next_own array<long>")
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _hex("own").alias("fingerprint"),
                       _hex("new").alias("edited_fingerprint"), _likeness("own", "new").alias("near_edited"),
                       _likeness("own", "next_own").alias("near_next"))
