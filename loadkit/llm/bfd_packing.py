@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from loadkit.llm.lean import lean
 from loadkit.llm.tokens import VOCABULARY, encode, encoder
 
 WIDTH = 2048
@@ -125,6 +126,7 @@ def pack_best_fit(documents: DataFrame, *, id_column: str = "doc_id", text_colum
     id_kind = "<u2" if max(vocabulary_size - 1, end_id, pad_id) < 1 << 16 else "<u4"
     place_kind = "<u2" if width <= 1 << 16 else "<u4"
 
+    @lean
     def pack(batches):
         count = TaskContext.get().partitionId() << 32
         ramp = np.arange(width, dtype=place_kind)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from loadkit.llm import textbatch as tb
 from loadkit.llm.bbit import agreement
 from loadkit.llm.graph import kept
+from loadkit.llm.lean import lean
 
 BINS, BITS = 256, 4
 WORDS = 5
@@ -103,6 +104,7 @@ def fingerprints(documents: DataFrame, *, text_column: str = "text", words: int
     """``documents`` (all columns) with each text's fingerprint: lowercase hex, empty without words."""
     schema = T.StructType([*documents.schema, T.StructField("__signature", T.ArrayType(T.LongType()))])
 
+    @lean
     def run(batches):
         for batch in batches:
             sigs, sizes = text_signatures(batch.column(batch.schema.names.index(text_column)), words)
@@ -136,6 +138,7 @@ def _signed(documents: DataFrame, words: int) -> DataFrame:
 
     Texts travel packed (zstd): a shuffle of them is half as large.
     """
+    @lean
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -155,6 +158,7 @@ def _starts(rows: DataFrame) -> DataFrame:
 
     ``start`` is the packed first ``need`` characters.
     """
+    @lean
     def run(batches):
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
@@ -194,6 +198,7 @@ def edited_report(documents: DataFrame, *, words: int = WORDS) -> DataFrame:
     both = signed.join(starts, "key", "left").select("id", "n_chars", "own", "order", "packed", "next.start",
                                                      "next.next_own")
 
+    @lean
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadkit.llm import textbatch as tb
+from loadkit.llm.lean import lean
 from loadkit.llm.learning import PER_CLASS, fit_in_one_task, held_out, labelled_sample
 
 BUCKETS = 1 << 14
@@ -181,6 +182,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
                *[documents[c].cast("double").alias(f"meta_{k}") for k, c in enumerate(metadata)]]
     rows = labelled_sample(documents, labels, label, columns, id_column=id_column, per_class=per_class)
 
+    @lean
     def features(batches):
         for batch in batches:
             for s in tb.slices(batch.column(3)):
@@ -226,6 +228,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, label: str = "qua
                             *[documents[c].cast("double").alias(f"meta_{k}") for k, c in enumerate(metadata)])
     packed = m.dump() if m else None
 
+    @lean
     def run(batches):
         machine = Machine.load(packed) if packed else None
         for batch in batches:

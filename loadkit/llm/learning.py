@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadkit.llm.lean import lean
+
 PER_CLASS = 3000
 
 
@@ -51,10 +53,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, columns
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], bytes | None]) -> bytes | None:
     """``fit`` of all of ``rows`` (a bounded sample) in one task, sorted by its first column."""
+    @lean
     def run(batches):
         batches = list(batches)
         if batches:
-            made = fit(pa.Table.from_batches(batches))
+            rows = [pa.Table.from_batches(batches)]
+            batches.clear()
+            made = fit(rows.pop())
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loadkit.llm import textbatch as tb
 from loadkit.llm.graph import some_ids
+from loadkit.llm.lean import lean
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2)
@@ -49,6 +50,7 @@ def bucket_counts(documents: DataFrame, trusted: DataFrame, id_column: str, text
     rows = documents.select(documents[id_column].alias("__of"), documents[text_column].alias("text"))
     marked = rows.join(ids, F.col("__of") == F.col("__id"), "left").select("text", F.col("__id").isNotNull())
 
+    @lean
     def count(batches):
         totals = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
@@ -137,6 +139,7 @@ def quality_rules(documents: DataFrame, trusted: DataFrame, *, id_column: str =
     """
     ratios = log_ratios(bucket_counts(documents, trusted, id_column, text_column))
 
+    @lean
     def score(batches):
         for batch in batches:
             for s in tb.slices(batch.column(1)):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from loadkit.llm import textbatch as tb
 from loadkit.llm.bbit import agreement
 from loadkit.llm.graph import components, kept, some_ids
+from loadkit.llm.lean import lean
 
 BANDS, ROWS, BITS = 40, 5, 4
 SKETCHED = 192  # minima whose low bits the sketch keeps
@@ -68,6 +69,7 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     n_hash = BANDS * ROWS
     per_word = 64 // BITS
 
+    @lean
     def run(batches):
         a = (tb.constants(n_hash, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         b = (tb.constants(n_hash, 12) >> np.uint64(32)).astype(np.uint32)
@@ -98,6 +100,7 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
 
 def shingle_table(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the rows of ``documents`` (id, text) that ``nodes`` (node) names."""
+    @lean
     def run(batches):
         for batch in batches:
             for ids, flat, bounds, keys in _sets(batch, k):

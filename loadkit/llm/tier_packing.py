@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loadkit.llm.bfd_packing import BLOCK, blocks
+from loadkit.llm.lean import lean
 from loadkit.llm.tokens import VOCABULARY
 
 TIERS = (256, 512, 1024, 2048)
@@ -121,6 +122,7 @@ def pack_tiers(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     """
     tiers = tuple(sorted(tiers))
 
+    @lean
     def pack(batches):
         sequence = step = TaskContext.get().partitionId() << 32
         for docs, ids in blocks(batches, vocabulary, end_id, block):

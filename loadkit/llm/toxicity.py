@@ -25,15 +25,16 @@ curve fitted on labelled documents kept aside turns that into 0 to 1.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from itertools import combinations, tee
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loadkit.llm import textbatch as tb
+from loadkit.llm.lean import give_back, lean
 from loadkit.llm.learning import PER_CLASS, fit_in_one_task, held_out, labelled_sample
 
 GAP = 0.7
@@ -176,18 +177,18 @@ class Strings:
 
     def __init__(self, code: np.ndarray, bounds: np.ndarray):
         self.n = len(bounds) - 1
-        unit = np.repeat(np.arange(self.n), np.diff(bounds))
+        unit = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(bounds))
         owners, numbers, weights = [], [], []
         for number, ok, weight in subsequences(code, bounds):
             at = np.flatnonzero(ok)
             owners.append(unit[at])
-            numbers.append(number[at])
-            weights.append(np.full(len(at), weight))
+            numbers.append(number[at].astype(np.int32))
+            weights.append(np.full(len(at), weight, np.float32))
         owner, number, weight = (np.concatenate(x) if x else np.zeros(0, np.int64)
                                  for x in (owners, numbers, weights))
         norm = np.maximum(np.bincount(owner, weights=weight * weight, minlength=self.n), 1e-12) ** (NORM / 2)
         order = np.argsort(owner, kind="stable")
-        self.number, self.value = number[order], (weight / norm[owner])[order]
+        self.number, self.value = number[order], (weight / norm[owner])[order].astype(np.float32)
         self.starts = np.searchsorted(owner[order], np.arange(self.n + 1))
         self.owner = owner[order]
 
@@ -224,8 +225,9 @@ def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray,
         k = int(np.argmax(rest * worth))
         if rest[k] * worth[k] < 1e-3 * worth.max():
             break
-        kernels.append(strings.against(int(among[k])))
-        column = kernels[-1][among]
+        column = strings.against(int(among[k]))
+        kernels.append(column.astype(np.float32))
+        column = column[among]
         column = (column - factors[:, k] @ factors) / np.sqrt(rest[k])
         factors = np.vstack([factors, column])
         rest = np.maximum(rest - column * column, 0)
@@ -236,14 +238,14 @@ def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray,
 
 def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Linear machine with squared hinge loss and a bias (last weight), by Newton steps on the violators."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     weight = weight / weight.sum()
-    keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-9])
+    keep = np.diag([ridge] * x.shape[1] + [1e-9])
     for _ in range(30):
-        bad = y * (x @ w) < 1
-        xb = x[bad] * weight[bad, None]
-        new = np.linalg.solve(xb.T @ x[bad] + keep, xb.T @ y[bad])
+        bad = y * (x @ w[:-1] + w[-1]) < 1
+        own = np.column_stack([x[bad], np.ones(bad.sum())]).astype(float)
+        pull = own * weight[bad, None]
+        new = np.linalg.solve(pull.T @ own + keep, pull.T @ y[bad])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -272,48 +274,60 @@ def first_guess(code: np.ndarray, bounds: np.ndarray, toxic: list[np.ndarray], c
     A run tells by its log odds between toxic and clean documents, times the
     root of the number of toxic documents it is in.
     """
-    found = []
+    n = len(bounds) - 1
+    out = np.zeros(n)
     for number, ok, _ in subsequences(code, bounds, RUNS):
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:len(number)]
-        found.append((owner[ok], number[ok]))
-    owner, number = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(owner, kind="stable")
-    owner, number = owner[order], number[order]
-    cut = np.searchsorted(owner, np.arange(len(bounds)))
-
-    def spread(docs: list[np.ndarray]) -> np.ndarray:
-        seen = np.zeros(TABLE)
-        for ids in docs:
-            if len(ids):
-                seen[np.unique(np.concatenate([number[cut[i]:cut[i + 1]] for i in ids]))] += 1
-        return seen
-
-    in_toxic, in_clean = spread(toxic), spread(clean)
-    odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_clean + 0.5) / (len(clean) + 1))
-    tells = np.maximum(odds, 0) * np.sqrt(in_toxic)
-    tells[in_toxic < max(3, FEW * len(toxic))] = 0
-    out = np.zeros(len(bounds) - 1)
-    np.maximum.at(out, owner, tells[number])
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))[:len(number)][ok]
+        number = number[ok].astype(np.int32)
+        cut = np.searchsorted(owner, np.arange(n + 1))
+
+        def spread(docs: list[np.ndarray], number=number, cut=cut) -> np.ndarray:
+            seen = np.zeros(TABLE)
+            for ids in docs:
+                if len(ids):
+                    seen[np.unique(np.concatenate([number[cut[i]:cut[i + 1]] for i in ids]))] += 1
+            return seen
+
+        in_toxic, in_clean = spread(toxic), spread(clean)
+        odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_clean + 0.5) / (len(clean) + 1))
+        tells = np.maximum(odds, 0) * np.sqrt(in_toxic)
+        tells[in_toxic < max(3, FEW * len(toxic))] = 0
+        np.maximum.at(out, owner, tells[number])
     return out
 
 
-def fit_kernel_machine(bags: list[list[bytes]], labels: np.ndarray, weight: np.ndarray,
+def coded_units(names: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, bounds) of units stored as bytes, straight from the array's buffers."""
+    if not len(names):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = names.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[names.offset:names.offset + len(names) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def unit_ids(bags: pa.ListArray) -> tuple[pa.BinaryArray, list[np.ndarray]]:
+    """(the distinct units, each document's own ones by number) of documents as lists of units."""
+    known = bags.flatten().dictionary_encode()
+    ends = np.cumsum(np.diff(bags.offsets.to_numpy()))
+    return known.dictionary, [np.unique(own) for own in np.split(known.indices.to_numpy(), ends[:-1])]
+
+
+def fit_kernel_machine(names: pa.BinaryArray, ids: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
                        landmarks: int = LANDMARKS) -> tuple[np.ndarray, float, float, float]:
-    """(table, bias, slope, offset) from documents as lists of units (symbols as bytes)."""
-    aside = np.arange(len(bags)) % 4 == 3
-    index: dict[bytes, int] = {}
-    ids = [np.unique([index.setdefault(u, len(index)) for u in bag]).astype(np.int64) for bag in bags]
-    names = np.array(list(index), dtype=object)
+    """(table, bias, slope, offset) from units (symbols as bytes) and each document's units by number."""
+    aside = np.arange(len(ids)) % 4 == 3
 
     def coded(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = names[which]
-        return (np.frombuffer(b"".join(own), np.uint8).astype(np.int64),
-                np.concatenate(([0], np.cumsum([len(u) for u in own]))))
+        return coded_units(names.take(pa.array(which)))
 
-    learn = [k for k in range(len(bags)) if not aside[k] and len(ids[k])]
+    learn = [k for k in range(len(ids)) if not aside[k] and len(ids[k])]
     toxic, clean = [k for k in learn if labels[k]], [k for k in learn if not labels[k]]
     in_clean = np.bincount(np.concatenate([ids[k] for k in clean]), minlength=len(names))
     telling = first_guess(*coded(np.arange(len(names))), [ids[k] for k in toxic], [ids[k] for k in clean])
+    # A run can be telling while a common word that has it is not: the word's own odds decide.
+    in_toxic = np.bincount(np.concatenate([ids[k] for k in toxic]), minlength=len(names))
+    odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_clean + 0.5) / (len(clean) + 1))
+    telling[odds < 1] = 0
     speak = np.argsort(-telling, kind="stable")[:1500]
     # A toxic document without any telling unit (labels have noise) is no example.
     toxic = [k for k in toxic if telling[ids[k]].max() > 0]
@@ -337,17 +351,19 @@ def fit_kernel_machine(bags: list[list[bytes]], labels: np.ndarray, weight: np.n
         plain = at(np.setdiff1d(np.concatenate([hard, common]), used[marks]))
         more = pick_landmarks(strings, plain, np.ones(len(plain)), landmarks - len(marks))
         marks, kernel = marks + more[0], np.stack(columns + more[1], axis=1)
-        values, vectors = np.linalg.eigh(kernel[marks])
+        del columns, more
+        values, vectors = np.linalg.eigh(kernel[marks].astype(float))
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        space = kernel @ whiten
+        space = kernel @ whiten.astype(np.float32)
+        del kernel
         strength = telling[used] if not w[:-1].any() else table_scores(*coded(used), table) + w[-1]
         best = np.array([x[np.argmax(strength[at(x)])] for x in witnesses])
         rows = np.concatenate([at(best), at(negative)])
         y = np.concatenate([np.ones(len(best)), -np.ones(len(negative))])
-        # The ordinary units that look most toxic weigh as much as all others: one of them spoils a document.
-        tough = np.isin(negative, hard)
-        each = np.where(tough, 2 / max(tough.sum(), 1), 1 / max((~tough).sum(), 1))
+        # An ordinary unit weighs by the clean documents it would spoil, twice if it looks toxic.
+        each = in_clean[negative] * np.where(np.isin(negative, hard), 2.0, 1.0) + 1.0
+        each = 3 * each / each.sum()
         w = hinge_machine(space[rows], y, np.concatenate([np.full(len(best), 1 / len(best)), each]))
         table = np.zeros(TABLE)
         for m, a in zip(marks, whiten @ w[:-1], strict=True):
@@ -359,7 +375,7 @@ def fit_kernel_machine(bags: list[list[bytes]], labels: np.ndarray, weight: np.n
 
     everything = table_scores(*coded(np.arange(len(names))), table) + w[-1]
     top = np.array([everything[i].max() if len(i) else -1.0 for i in ids])
-    judge = aside if len(set(labels[aside])) == 2 else np.ones(len(bags), bool)
+    judge = aside if len(set(labels[aside])) == 2 else np.ones(len(ids), bool)
     slope, offset = logistic_curve(top[judge], labels[judge], weight[judge])
     return table.astype(np.float32), float(w[-1]), slope, offset
 
@@ -385,6 +401,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
     rows = labelled_sample(documents, labels, label, [documents[text_column].alias("text")], id_column=id_column,
                            per_class=per_class)
 
+    @lean
     def bags(batches):
         for batch in batches:
             for s in tb.slices(batch.column(3)):
@@ -402,11 +419,13 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
                               pa.list_(pa.binary()))], names=["order", "label", "weight", "units"])
 
     def fit(t: pa.Table) -> bytes | None:
-        y = t["label"].to_numpy()
-        own = t["units"].to_pylist()
-        if not {0, 1} <= set(y[[k for k in range(len(own)) if own[k] and k % 4 != 3]].tolist()):
+        y, weight = t["label"].to_numpy(), t["weight"].to_numpy()
+        names, ids = unit_ids(t["units"].combine_chunks())
+        del t
+        give_back()
+        if not {0, 1} <= {int(y[k]) for k in range(len(ids)) if len(ids[k]) and k % 4 != 3}:
             return None
-        return pack_model(fit_kernel_machine(own, y, t["weight"].to_numpy()))
+        return pack_model(fit_kernel_machine(names, ids, y, weight))
 
     return fit_in_one_task(rows.mapInArrow(bags, "order long, label int, weight double, units array<binary>"), fit)
 
@@ -453,17 +472,18 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, *, label: str = "to
             yield own
 
     if keep_columns:
-        at = documents.columns.index(text_column)
-
-        def add(batches):
-            batches, again = tee(batches)
-            for batch, own in zip(batches, scored(b.column(at) for b in again), strict=True):
-                p = np.concatenate([np.zeros(0), *[x for _, x, _ in own]])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)],
-                                                 names=[*batch.schema.names, "__toxic_score"])
-
-        return documents.mapInArrow(add, T.StructType([*documents.schema, T.StructField("__toxic_score", T.DoubleType())]))
-
+        # Only the texts go to Python, and only the scores come back.
+        @F.arrow_udf("double")
+        def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            try:
+                for own in scored(columns):
+                    yield pa.array(np.concatenate([np.zeros(0), *[x for _, x, _ in own]]))
+            finally:
+                give_back()
+
+        return documents.withColumn("__toxic_score", score(documents[text_column]))
+
+    @lean
     def run(batches):
         batches, again = tee(batches)
         for batch, own in zip(batches, scored(b.column(1) for b in again), strict=True):
