@@ -425,7 +425,7 @@ def q_flat_file_load(spark, sf):
 
 
 @query("header_only_file_load", """
-SELECT 'file' AS object, 0 AS "rows", 'ok' AS status UNION ALL SELECT 'error_rows', 0, 'ok'
+SELECT 'file' AS object, CAST(0 AS BIGINT) AS "rows", 'ok' AS status UNION ALL SELECT 'error_rows', 0, 'ok'
 UNION ALL SELECT 'target', 0, 'ok' UNION ALL SELECT 'flat_file_ingest', NULL, 'complete'""")
 def q_header_only_file_load(spark, sf):
     root = scratch_path(spark, "header-only")
