@@ -11,14 +11,24 @@ symbols; a string of digits alone is no key) and tested three ways:
 - serial correlation: does a symbol tell anything of the next?
 
 The three p-values are joined by Fisher's rule; a token must not be rejected
-as random at ``ALPHA``.  It must also be told from running text: the chi-squared
-statistic of text grows with the token's length, by the excess coincidence of
-letters, which gives the chance that text would look this even.  Those
-p-values are cut by the Benjamini-Hochberg rule at ``FALSE_SHARE`` within each
-stratum of encoding and length (powers of two), over all tokens of the table:
-short tokens, which tell little, need more evidence than long ones.  The counts
-are a histogram of ``log p`` in fixed bins, so that the rule needs a few
-numbers per stratum, however many tokens there are.
+as random at ``ALPHA``.  It must also be told from running text, by the null
+model of its encoding (``p_null``):
+
+- 64: the chi-squared statistic of text grows with the token's length, by the
+  excess coincidence of letters, which gives the chance that text would look
+  this even (``p_text``).
+- 32 and 36: words stay inside the alphabet but seldom change between letters
+  and digits; the chance of that many changes is joined to ``p_text``.
+- 16: the chance that text stays inside the alphabet, a number counting as one
+  character.
+
+Those p-values are cut by the Benjamini-Hochberg rule at ``FALSE_SHARE`` within
+each stratum of encoding and length (powers of two), over all tokens of the
+table: short tokens, which tell little, need more evidence than long ones.
+Tokens of any encoding count as tested against 16, as text outside the alphabet
+is what that null model expects.  The counts are a histogram of ``log p`` in
+fixed bins, so that the rule needs a few numbers per stratum, however many
+tokens there are.
 """
 
 from __future__ import annotations
@@ -38,6 +48,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN
 ALPHA = 0.01
 FALSE_SHARE = 0.01
 TEXT_COINCIDENCE = 0.0655  # chance that two letters of running text are equal
+TEXT_IN_HEX = 0.35  # chance that a letter of running text is one of a-f
+TEXT_CHANGE = 0.05  # chance that text changes between letters and digits from one character to the next
 BINS_PER_DECADE = 10
 LAST_BIN = 400
 
@@ -98,7 +110,7 @@ def let(value: Column, body) -> Column:
 
 
 def _tests(token: Column, k: Column, symbols: Column) -> Column:
-    """struct(k, p_random, p_text) of a token whose characters are the first ``k`` symbols' indices."""
+    """struct(k, p_random, p_text, p_null) of a token whose characters are the first ``k`` symbols' indices."""
     def sums(t: Column) -> Column:
         letters = F.filter(F.split(symbols, ""), lambda c: c != "")
         squares = F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.pow(
@@ -128,6 +140,15 @@ def _tests(token: Column, k: Column, symbols: Column) -> Column:
         return F.struct((-(F.ln(even) + F.ln(runs) + F.ln(serial))).alias("fisher"),
                         _normal((x["chi"] - free - excess) / F.sqrt(2 * free + 4 * excess)).alias("p_text"))
 
+    def null(p_text: Column) -> Column:
+        stays = F.pow(F.lit(TEXT_IN_HEX), F.char_length(F.regexp_replace(token, "[0-9]+", "0")))
+        changes = F.regexp_count(token, F.lit("(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])"))
+        usual = (F.char_length(token) - 1) * TEXT_CHANGE
+        # Chernoff's bound of the Poisson tail; Fisher's rule joins it to the evenness.
+        mixed = F.when(changes > usual, F.exp(changes - usual) * F.pow(usual / changes, changes)).otherwise(1.0)
+        return (F.when(k == 16, stays).when(k == 64, p_text)
+                .otherwise(let(p_text * mixed, lambda both: both * (1 - F.ln(both)))))
+
     halves = F.call_function("translate", token, symbols,
                              F.concat(F.repeat(F.lit("0"), (k / 2).cast("int")), F.repeat(F.lit("1"), (k / 2).cast("int"))))
     values = F.transform(F.filter(F.split(token, ""), lambda c: c != ""),
@@ -135,11 +156,11 @@ def _tests(token: Column, k: Column, symbols: Column) -> Column:
     start = F.struct(F.char_length(token).cast("double").alias("n"), halves.alias("halves"), values.alias("v"))
     return let(let(let(start, sums), chances), lambda c: F.struct(
         k.alias("k"), (F.exp(-c["fisher"]) * (1 + c["fisher"] + c["fisher"] * c["fisher"] / 2)).alias("p_random"),
-        c["p_text"].alias("p_text")))
+        c["p_text"].alias("p_text"), null(c["p_text"]).alias("p_null")))
 
 
 def battery(token: Column) -> Column:
-    """struct(k, p_random, p_text) of a token; null if it is no candidate.
+    """struct(k, p_random, p_text, p_null) of a token; null if it is no candidate.
 
     Encoding: one-case hexadecimal, upper-case base 32, lower-case base 36,
     else base 64 (the URL alphabet is read as the plain one).
@@ -163,7 +184,7 @@ def _stratum(scored: Column, token: Column) -> Column:
 
 
 def _bin(scored: Column) -> Column:
-    return F.least(F.lit(LAST_BIN), F.floor(-BINS_PER_DECADE * F.log10(scored["p_text"]))).cast("int")
+    return F.least(F.lit(LAST_BIN), F.floor(-BINS_PER_DECADE * F.log10(scored["p_null"]))).cast("int")
 
 
 def thresholds(texts: DataFrame, column: str) -> dict[str, int]:
@@ -180,8 +201,10 @@ def thresholds(texts: DataFrame, column: str) -> dict[str, int]:
                             _bin(F.col("scored")).alias("bin")).count()
     down = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
     upper = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
+    encoding, length = (F.split("stratum", ":")[i] for i in (0, 1))
+    tested = F.when(encoding == "16", F.sum("count").over(Window.partitionBy(length)))
     passing = (counts.withColumn("below", F.sum("count").over(down))
-               .withColumn("all", F.sum("count").over(Window.partitionBy("stratum")))
+               .withColumn("all", F.coalesce(tested, F.sum("count").over(Window.partitionBy("stratum"))))
                .filter(upper <= FALSE_SHARE * F.col("below") / F.col("all")))
     return {r["stratum"]: r["bin"] for r in passing.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 

@@ -68,6 +68,30 @@ def test_battery_agrees_with_plain_arithmetic(spark):
     assert got[0].b.p_random > 0.01 > got[1].b.p_random
 
 
+def test_each_encoding_is_told_from_text_by_its_own_null(spark):
+    """Recall per encoding and length, with as many words beside the keys; no word counts."""
+    draw = random.Random(3)
+    alphabets = {"HEX": "0123456789ABCDEF", "hex": secrets.HEX16, "b32": secrets.BASE32, "b36": secrets.BASE36}
+    wanted = [("HEX", n, .9) for n in (32, 40, 64)] + [("HEX", 20, .9), ("hex", 20, .9), ("hex", 23, .9)]
+    wanted += [(kind, n, least) for n, least in ((20, .5), (24, .6), (31, .8)) for kind in ("b32", "b36")]
+    keys = [(kind, "".join(draw.choices(alphabets[kind], k=n))) for kind, n, _ in wanted for _ in range(100)]
+    words = "interest nation order under ship regular account detail final request pack quick deposit".split()
+    plain = []
+    for n in range(1200):
+        token = "".join(draw.choices(words, k=4))[:draw.randint(20, 40)]
+        plain.append([token, token.upper(), f"{token}{draw.randint(1, 2030)}", f"A{draw.randint(1, 9999):023d}"][n % 4])
+    rows = [(f"{k}{len(t)}", t) for k, t in keys] + [("plain", t) for t in plain]
+    df = spark.createDataFrame([(n, f"see {t} now") for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found, all_of = {}, {}
+    for r in secrets.secret_report(df).collect():
+        name, token = rows[r.doc_id]
+        all_of[name] = all_of.get(name, 0) + 1
+        found[name] = found.get(name, 0) + (f"random:4:{4 + len(token)}" in (r.spans or ""))
+    assert found["plain"] == 0
+    assert not {(kind, n): found[f"{kind}{n}"] for kind, n, least in wanted
+                if found[f"{kind}{n}"] < least * all_of[f"{kind}{n}"]}
+
+
 def test_redaction(spark):
     df = table(spark).selectExpr("doc_id", "text", "cast(length(text) as bigint) as n_chars", "'x' as secret_spans",
                                  "1 as base")
