@@ -12,7 +12,7 @@ import pytest
 from loadkit.llm import fingerprints as fp
 from loadkit.llm import llr_rules, textbatch
 from loadkit.llm.fm_quality import Machine, chance, fit_machine, quality_scores, raw_scores
-from loadkit.llm.toxicity import table_scores, toxicity_scores, unit_symbols, units
+from loadkit.llm.toxicity import PATTERNS, subsequences, table_scores, toxicity_scores, unit_symbols, units
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,6 +190,24 @@ def test_spaced_insult_is_one_unit():
         assert len(table_scores(code, bounds, np.ones(1 << 20, np.float32))) == 3
 
 
+def coded(texts):
+    """(symbols, bounds) of the texts' units."""
+    (s,) = textbatch.slices(pa.array(texts))
+    w = textbatch.words(s, lower=True)
+    _, first, end, _ = units(s, w)
+    return unit_symbols(s, w, first, end)
+
+
+def test_six_symbols_count_with_two_letters_put_in_or_left_out():
+    """Six of moron's symbols, its start among them, are still counted in moxryon; so are those of a longer word."""
+    def sixes(word):
+        return {int(n) for p in PATTERNS if len(p) == 6
+                for number, ok, _ in subsequences(*coded([word]), [p]) for n in number[ok]}
+
+    assert sixes("moron") & sixes("moxryon") and sixes("moron") & sixes("moxron")
+    assert sixes("frumpkin") & sixes("fruxmpykin") and sixes("frumpkin") & sixes("frumkn")
+
+
 def test_quality_learns_structure(spark):
     def bad(rng):
         return " ".join("|" + w for w in prose(rng, 40).split())
