@@ -17,7 +17,10 @@ highest-scoring sentence unit, all units of clean documents are negative,
 and the machine is fitted again.
 
 The decision function is linear in the subsequence counts, so landmarks and
-weights fold into one table of a weight per subsequence.  A sentence scores
+weights fold into one table of a weight per subsequence.  A long unit, in
+which an insult would be lost, is learned from and scored as overlapping
+windows, and a unit with marks inside also as the parts between them; the best
+one counts.  A sentence scores
 as its strongest unit, a document as its strongest sentence; a logistic
 curve fitted on labelled documents kept aside turns that into 0 to 1.
 """
@@ -48,6 +51,9 @@ THRESHOLD = 0.3
 NORM = 1.0  # power of a unit's own weight its counts are divided by: 1 would let long words hide a part
 START_SYMBOL, END_SYMBOL = 30, 31
 TABLE = 1 << 20  # numbers of subsequences
+LONG = 24  # symbols; a longer unit is scored by its best window
+WINDOW, STRIDE = 8, 2  # in a window of 24 symbols an insult of 5 to 10 is still lost
+PART = 3  # letters a part of a unit between other characters must have to be scored by itself
 #: Places of the symbols counted: four within six places, six within eight, and runs of eight.
 PATTERNS = [*((0, *p) for p in combinations(range(1, 6), 3)), *((0, *p) for p in combinations(range(1, 8), 5)),
             tuple(range(8))]
@@ -80,8 +86,8 @@ def units(s: tb.TextSlice, w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.where(several, run, w.hashes[first]), first, end, row[first]
 
 
-def unit_symbols(s: tb.TextSlice, w: tb.Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols with start and end marks, bounds) of the units from word ``first`` to before ``end``."""
+def marked_symbols(s: tb.TextSlice, w: tb.Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with start and end marks, bounds) of the units from word ``first`` to before ``end``; 0: no symbol."""
     lens = w.ends - w.starts
     total = np.concatenate(([0], np.cumsum(lens)))
     size = total[end] - total[first] + 2
@@ -96,10 +102,59 @@ def unit_symbols(s: tb.TextSlice, w: tb.Words, first: np.ndarray, end: np.ndarra
     inside = np.ones(len(out), bool)
     inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
     out[inside] = symbols()[s.data[at]]
+    return out, bounds
+
+
+def unit_symbols(s: tb.TextSlice, w: tb.Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with start and end marks, bounds) of the units from word ``first`` to before ``end``."""
+    out, bounds = marked_symbols(s, w, first, end)
     known = out > 0
     return out[known], np.concatenate(([0], np.cumsum(known)))[bounds]
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of the ranges, one range after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def pieces(s: tb.TextSlice, w: tb.Words, first: np.ndarray,
+           end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the units from word ``first`` to before ``end`` are scored by: (symbols, starts in them, sizes, units).
+
+    A unit itself; where other characters part its letters, also the parts of
+    ``PART`` letters or more, with start and end marks.  Of these, those of
+    more than ``LONG`` symbols are told by their windows of ``WINDOW`` symbols.
+    """
+    out, bounds = marked_symbols(s, w, first, end)
+    n = len(first)
+    inside = out > 0
+    letter = inside.copy()
+    letter[bounds[:-1]] = letter[bounds[1:] - 1] = False
+    edge = np.diff(letter.astype(np.int8), prepend=0)
+    at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    unit = np.searchsorted(bounds, at, side="right") - 1
+    some = (np.bincount(unit, minlength=n)[unit] > 1) & (to - at >= PART)
+    at, size, unit = at[some], (to - at)[some], unit[some]
+    parts = np.empty(int((size + 2).sum()), np.uint8)
+    ends = np.cumsum(size + 2)
+    mine = np.ones(len(parts), bool)
+    mine[ends - size - 2] = mine[ends - 1] = False
+    parts[ends - size - 2], parts[ends - 1] = START_SYMBOL, END_SYMBOL
+    parts[mine] = out[ranges(at, size)]
+    code = np.concatenate([out[inside].astype(np.uint8), parts])
+    own = np.concatenate(([0], np.cumsum(inside)))[bounds]
+    starts = np.concatenate([own[:-1], own[-1] + ends - size - 2])
+    sizes = np.concatenate([np.diff(own), size + 2])
+    owner = np.concatenate([np.arange(n), unit])
+    count = np.where(sizes > LONG, -(-(sizes - WINDOW) // STRIDE) + 1, 1)
+    item = np.repeat(np.arange(len(sizes)), count)
+    length = np.where(sizes > LONG, WINDOW, sizes)[item]
+    # The last window ends where its piece ends.
+    begin = starts[item] + np.minimum(ranges(np.zeros(len(count), np.int64), count) * STRIDE, sizes[item] - length)
+    order = np.argsort(owner[item], kind="stable")
+    return code, begin[order], length[order], owner[item][order]
+
+
 def subsequences(code: np.ndarray, bounds: np.ndarray, patterns=PATTERNS):
     """For each pattern of places: (subsequence number, whether it is in one unit, weight), by first place.
 
@@ -147,6 +202,17 @@ def table_scores(code: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.
     return np.concatenate(out)
 
 
+def piece_scores(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table_scores`` of pieces; their symbols are copied for about ``RUN`` symbols at a time."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], RUN)), len(ends)))
+    out = [np.zeros(0)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = sizes[a:b]
+        out.append(table_scores(code[ranges(starts[a:b], own)], np.concatenate(([0], np.cumsum(own))), table))
+    return np.concatenate(out)
+
+
 class Margins:
     """Margins of units under a model; units already seen by this task are looked up by their hash."""
 
@@ -163,7 +229,9 @@ class Margins:
         margins[known] = self.values[at[known]]
         new = ~known
         if new.any():
-            margins[new] = table_scores(*unit_symbols(s, w, first[one[new]], end[one[new]]), self.table) + self.bias
+            *own, unit = pieces(s, w, first[one[new]], end[one[new]])
+            best = np.maximum.reduceat(piece_scores(*own, self.table), np.unique(unit, return_index=True)[1])
+            margins[new] = best + self.bias
             if len(self.hashes) + new.sum() > self.most:
                 self.hashes, self.values = names[:0], margins[:0]
             every = np.concatenate([self.hashes, names[new]])
@@ -409,10 +477,10 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
                 hashes, first, end, row = units(s, w)
                 _, own = np.unique(tb.mix(hashes + row.astype(np.uint64)), return_index=True)
                 own.sort()
-                code, bounds = unit_symbols(s, w, first[own], end[own])
-                raw = code.astype(np.uint8).tobytes()
-                made = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                cut = np.searchsorted(row[own], np.arange(s.n + 1))
+                code, starts, sizes, unit = pieces(s, w, first[own], end[own])
+                raw = code.tobytes()
+                made = [raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+                cut = np.searchsorted(row[own][unit], np.arange(s.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).slice(s.first, s.n) for k in range(3)],
                      pa.array([made[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)],

@@ -208,6 +208,29 @@ def test_six_symbols_count_with_two_letters_put_in_or_left_out():
     assert sixes("frumpkin") & sixes("fruxmpykin") and sixes("frumpkin") & sixes("frumkn")
 
 
+def test_insult_glued_into_long_units_is_found(spark):
+    insults = ["blorgface", "quazzit", "frumpkin"]
+    df, labels, _ = labelled(spark, 300, lambda rng: rng.choice(insults))
+    rng = random.Random(12)
+    rows, names = [], []
+    for n in (50, 1000):
+        for mark in ("", "_"):
+            for toxic in (0, 1):
+                for _ in range(40):
+                    words, insult = prose(rng, n).split(), rng.choice(insults)
+                    at = rng.randrange(n // 4)
+                    glued = mark.join([*words[:at], *[insult] * toxic, *words[at:]])
+                    start = max(0, glued.index(insult) - n // 2) if toxic else 0
+                    rows.append((1000 + len(rows), glued[start:start + n], n))
+                    names.append((n, mark, toxic))
+    more = df.union(spark.createDataFrame(rows, df.schema))
+    found = dict.fromkeys(names, 0)
+    for r in toxicity_scores(more, labels).filter("doc_id >= 1000").collect():
+        found[names[r.doc_id - 1000]] += r.predicted
+    for (_, mark, toxic), hits in found.items():
+        assert hits >= (38 if mark else 20) if toxic else hits <= 2
+
+
 def test_quality_learns_structure(spark):
     def bad(rng):
         return " ".join("|" + w for w in prose(rng, 40).split())
