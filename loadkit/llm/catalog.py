@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadkit.llm import chat, minhash_dedup, mixing
+from loadkit.llm import chat, minhash_dedup, mixing, vector_codes
 from loadkit.llm.bfd_packing import pack_best_fit
+from loadkit.llm.bpe import encoding_report
 from loadkit.llm.fingerprints import edited_report
 from loadkit.llm.fm_quality import quality_scores
 from loadkit.llm.llr_rules import quality_rules
 from loadkit.llm.minhash_dedup import near_duplicates
+from loadkit.llm.periodic import run_report
 from loadkit.llm.secrets import secret_report
 from loadkit.llm.tier_packing import pack_tiers
 from loadkit.llm.toxicity import toxicity_scores
@@ -61,6 +63,18 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tiers(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fm_quality": op1_fm_quality,
     "op2_bfd_packing": op2_bfd_packing,
@@ -72,9 +86,13 @@ QUERIES = {
     "op8_oph_fingerprints": op8_oph_fingerprints,
     "op9_chat_events": op9_chat_events,
     "op10_tier_packing": op10_tier_packing,
+    "op11_bpe_backtracking": op11_bpe_backtracking,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_resident_lloyd": op13_resident_lloyd,
 }
 
 ORACLE: dict[str, str] = {
     "op6_bbit_minhash": minhash_dedup.SQL,
     "op9_chat_events": chat.SQL,
+    "op13_resident_lloyd": vector_codes.SQL,
 }
