@@ -87,7 +87,7 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
                 bands = (least.reshape(BANDS, ROWS, -1).astype(np.uint64) * join[:, None]).sum(axis=1)
                 bands = tb.mix(bands + salt[:, None]).T
                 low = (least[:SKETCHED] & np.uint32((1 << BITS) - 1)).astype(np.uint64)
-                sketch = (low.reshape(-1, per_word, len(full)) << shifts[:, None]).sum(axis=1).T
+                sketch = (low.reshape(SKETCHED // per_word, per_word, len(full)) << shifts[:, None]).sum(axis=1).T
                 filled = np.concatenate(([0], np.cumsum(sizes > 0)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(_named(ids, keys), pa.int64()),
