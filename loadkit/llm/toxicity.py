@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from itertools import combinations, tee
+from itertools import combinations, islice, tee
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ GAP = 0.7
 LANDMARKS = 384
 CLEAN_UNITS = 8_000  # distinct units of clean sample documents the machine is fitted on
 RUN = 1 << 17  # symbols scored together
+BUILT = 1 << 14  # symbols whose subsequences are listed together; each is in some thirty
+ROWS = 1 << 11  # rows of the fit that are added up together
 FEW = 0.005  # share of the toxic documents a run of symbols must be in to tell
 ROUNDS = 3
 RIDGE = 1e-5
@@ -179,14 +181,20 @@ def subsequences(code: np.ndarray, bounds: np.ndarray, patterns=PATTERNS):
         yield number.view(np.int64), alone[p[-1]], GAP ** (p[-1] + 1 - len(p))
 
 
+def unit_blocks(bounds: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of units of about ``size`` symbols (``BUILT`` by default)."""
+    starts = np.arange(0, bounds[-1], size or BUILT)
+    cuts = np.unique(np.append(np.searchsorted(bounds[:-1], starts), len(bounds) - 1)).tolist()
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def table_scores(code: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Each unit's subsequence weights in ``table``, over the unit's norm; 0 without subsequences.
 
     Done in runs of units of about ``RUN`` symbols, whose arrays stay in the processor's cache.
     """
-    cuts = np.unique(np.append(np.searchsorted(bounds[:-1], np.arange(0, bounds[-1], RUN)), len(bounds) - 1))
     out = [np.zeros(0)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    for a, b in unit_blocks(bounds, RUN):
         own = bounds[a:b + 1] - bounds[a]
         some = code[bounds[a]:bounds[b]]
         total, energy = np.zeros(len(some), np.float32), np.zeros(len(some), np.float32)
@@ -241,24 +249,35 @@ class Margins:
 
 
 class Strings:
-    """Units' normalised subsequence counts, as sparse rows."""
+    """Units' normalised subsequence counts, as sparse rows; made and multiplied for about ``BUILT`` symbols at a time."""
 
     def __init__(self, code: np.ndarray, bounds: np.ndarray):
         self.n = len(bounds) - 1
-        unit = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(bounds))
-        owners, numbers, weights = [], [], []
+        self.blocks = list(unit_blocks(bounds))
+        made = [self._rows(code[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a]) for a, b in self.blocks]
+        counts, numbers, values = ([x[k] for x in made] for k in range(3))
+        del made
+        self.starts = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))))
+        self.number = np.concatenate([np.zeros(0, np.int32), *numbers])
+        del numbers
+        self.value = np.concatenate([np.zeros(0, np.float32), *values])
+
+    @staticmethod
+    def _rows(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries of each unit, their numbers, their values), unit by unit."""
+        n = len(bounds) - 1
+        unit = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        owners, numbers, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
         for number, ok, weight in subsequences(code, bounds):
             at = np.flatnonzero(ok)
             owners.append(unit[at])
             numbers.append(number[at].astype(np.int32))
             weights.append(np.full(len(at), weight, np.float32))
-        owner, number, weight = (np.concatenate(x) if x else np.zeros(0, np.int64)
-                                 for x in (owners, numbers, weights))
-        norm = np.maximum(np.bincount(owner, weights=weight * weight, minlength=self.n), 1e-12) ** (NORM / 2)
+        owner, number, weight = (np.concatenate(x) for x in (owners, numbers, weights))
+        del owners, numbers, weights
+        norm = np.maximum(np.bincount(owner, weights=weight * weight, minlength=n), 1e-12) ** (NORM / 2)
         order = np.argsort(owner, kind="stable")
-        self.number, self.value = number[order], (weight / norm[owner])[order].astype(np.float32)
-        self.starts = np.searchsorted(owner[order], np.arange(self.n + 1))
-        self.owner = owner[order]
+        return np.bincount(owner, minlength=n), number[order], (weight / norm[owner])[order].astype(np.float32)
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.starts[i], self.starts[i + 1]
@@ -272,10 +291,20 @@ class Strings:
 
     def own(self) -> np.ndarray:
         """Upper bound of each unit's kernel with itself (its counts' squares, repeats apart)."""
-        return np.maximum(np.bincount(self.owner, weights=self.value ** 2, minlength=self.n), 1e-12)
+        return np.maximum(self._summed(lambda number, value: value ** 2), 1e-12)
 
     def times(self, table: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights=self.value * table[self.number], minlength=self.n)
+        return self._summed(lambda number, value: value * table[number])
+
+    def _summed(self, of) -> np.ndarray:
+        """The sum of ``of(numbers, values)`` over each unit's entries."""
+        out = np.zeros(self.n)
+        for a, b in self.blocks:
+            own = self.starts[a:b + 1]
+            owner = np.repeat(np.arange(b - a), np.diff(own))
+            entries = of(self.number[own[0]:own[-1]], self.value[own[0]:own[-1]])
+            out[a:b] = np.bincount(owner, weights=entries, minlength=b - a)
+        return out
 
 
 def pick_landmarks(strings: Strings, among: np.ndarray, worth: np.ndarray,
@@ -310,10 +339,15 @@ def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     weight = weight / weight.sum()
     keep = np.diag([ridge] * x.shape[1] + [1e-9])
     for _ in range(30):
-        bad = y * (x @ w[:-1] + w[-1]) < 1
-        own = np.column_stack([x[bad], np.ones(bad.sum())]).astype(float)
-        pull = own * weight[bad, None]
-        new = np.linalg.solve(pull.T @ own + keep, pull.T @ y[bad])
+        bad = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = keep.copy(), np.zeros(len(w))
+        for a in range(0, len(bad), ROWS):
+            at = bad[a:a + ROWS]
+            own = np.column_stack([x[at], np.ones(len(at))]).astype(float)
+            pull = own * weight[at, None]
+            left += pull.T @ own
+            right += pull.T @ y[at]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -344,10 +378,18 @@ def first_guess(code: np.ndarray, bounds: np.ndarray, toxic: list[np.ndarray], c
     """
     n = len(bounds) - 1
     out = np.zeros(n)
-    for number, ok, _ in subsequences(code, bounds, RUNS):
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))[:len(number)][ok]
-        number = number[ok].astype(np.int32)
-        cut = np.searchsorted(owner, np.arange(n + 1))
+    for run in RUNS:
+        numbers, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a, b in unit_blocks(bounds, RUN):
+            own = bounds[a:b + 1] - bounds[a]
+            inside = np.zeros(0, np.int64)
+            for number, ok, _ in subsequences(code[bounds[a]:bounds[b]], own, [run]):
+                numbers.append(number[ok].astype(np.int32))
+                inside = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(own))[:len(number)][ok]
+            counts.append(np.bincount(inside, minlength=b - a))
+        number = np.concatenate(numbers)
+        cut = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut))
 
         def spread(docs: list[np.ndarray], number=number, cut=cut) -> np.ndarray:
             seen = np.zeros(TABLE)
@@ -479,11 +521,11 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str, id_column: str
                 own.sort()
                 code, starts, sizes, unit = pieces(s, w, first[own], end[own])
                 raw = code.tobytes()
-                made = [raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+                made = (raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
                 cut = np.searchsorted(row[own][unit], np.arange(s.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).slice(s.first, s.n) for k in range(3)],
-                     pa.array([made[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)],
+                     pa.array([list(dict.fromkeys(islice(made, k))) for k in np.diff(cut).tolist()],
                               pa.list_(pa.binary()))], names=["order", "label", "weight", "units"])
 
     def fit(t: pa.Table) -> bytes | None:
