@@ -45,21 +45,37 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def streamed(text: Column, pieces: int) -> Column:
+    """``text`` as an array of ``pieces`` deltas."""
+    step = F.greatest(F.lit(1), F.ceil(F.char_length(text) / pieces)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)),
+                       lambda i: event("delta", F.substr(text, i * step + 1, step)))
+
+
+def event(kind: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+
 def to_events(conversations: DataFrame, pieces: int = 4) -> DataFrame:
-    """The log of finished conversations: rows (conv_id, turn, role, text) as opens and streamed deltas.
+    """A log whose fold gives the conversations: rows (conv_id, turn, role, text).
 
+    By a hash of conversation and turn a third of the messages each is
+    streamed at once; streamed as a draft (half of the text, backwards) and
+    then edited; or streamed as a draft, regenerated and streamed again.
     Rows are ordered by turn, then role and text; repeated turns are turns of
     their own.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = (conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
                 .withColumn("turn", F.row_number().over(order).cast("long")))
-    step = F.greatest(F.lit(1), F.ceil(F.char_length("text") / pieces)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)),
-                        lambda i: F.struct(F.lit("delta").alias("kind"),
-                                           F.substr("text", i * step + 1, step).alias("text")))
-    opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("text")))
-    rows = numbered.select("conv_id", "turn", "role", F.posexplode(F.concat(opened, parts)).alias("at", "event"))
+    text = F.col("text")
+    opened, none = F.array(event("open", F.lit(""))), F.lit("")
+    draft = streamed(F.reverse(F.left(text, F.ceil(F.char_length(text) / 2).cast("int"))), 2)
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    log = (F.when(way == 0, F.concat(opened, streamed(text, pieces)))
+           .when(way == 1, F.concat(opened, draft, F.array(event("edit", text))))
+           .otherwise(F.concat(opened, draft, F.array(event("regenerate", none)), streamed(text, pieces))))
+    rows = numbered.select("conv_id", "turn", "role", F.posexplode(log).alias("at", "event"))
     return rows.select("conv_id", (F.shiftleft("turn", 16) + F.col("at")).alias("seq"),
                        F.col("event.kind").alias("kind"), "turn", "role", F.col("event.text").alias("text"))
 

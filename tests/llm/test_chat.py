@@ -84,3 +84,15 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_events(chat.to_events(empty)).count() == 0
     assert [r.conv_id for r in chat.chat_digest(empty).collect()] == [-7]
+
+
+def test_log_has_drafts_edits_and_regenerations(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} é😀" * (t % 4)) for c in range(30) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.to_events(table)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["open"] == 180 and min(kinds["edit"], kinds["regenerate"]) > 30
+    assert kinds["delta"] > 4 * (180 - kinds["edit"])
+    # Without the fold of drafts the texts would differ: a plain concatenation is longer.
+    said = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.messages(log).collect()}
+    assert said == {(c, t + 1): (role, text) for c, t, role, text in rows}
