@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -42,8 +44,56 @@ def test_odd_documents_pass(spark, docs, doc_rows):
     assert ids.count(7) == 1 and {300, 301, 302} <= set(ids) and not {201, 209} & set(ids)
 
 
-@pytest.mark.parametrize("empty", [True])
-def test_empty_documents(spark, no_docs, empty):
+def test_different_texts_under_one_id_stay(spark):
+    from tests.llm.conftest import DOCS, prose
+
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, near), (2, near), (None, None), (None, None), (None, " "), (None, " "), (None, c),
+            (None, c), (3, None), (3, ""), (4, "\n"), (4, "\n")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, table, SF_SMALL).collect()), key=repr)
+    blank = [r for r in rows if not (r[1] or "").strip()]
+    assert [r for r in got if not (r[1] or "").strip()] == sorted(blank, key=repr)
+    worded = [r for r in got if (r[1] or "").strip()]
+    assert len(worded) == 3 and {t for _, t in worded} - {a, near} == {b, c}
+
+
+WORDLESS = [(1, None), (2, ""), (3, " \n\t"), (None, None), (None, ""), (4, " "), (4, " ")]
+
+
+@pytest.fixture(scope="module")
+def wordless_dir(spark, tmp_path_factory):
+    """Tables whose documents have no word; the others as given."""
+    from tests.llm.conftest import DOCS
+
+    path = str(tmp_path_factory.mktemp("wordless"))
+    (spark.createDataFrame([(i, t, None, "s", None) for i, t in WORDLESS], DOCS).coalesce(2)
+     .write.parquet(f"{path}/documents.parquet"))
+    for name in ("labels", "conversations", "embeddings"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op9_chat_events", "op13_resident_lloyd"}))
+def test_tables_without_a_word(spark, wordless_dir, name):
+    got = [r.doc_id for r in QUERIES[name](spark, wordless_dir).collect() if "doc_id" in r]
+    if name not in ("op2_bfd_packing", "op10_tier_packing"):
+        assert sorted(got, key=repr) == sorted((i for i, _ in WORDLESS), key=repr)
+
+
+def test_stages_without_a_word(spark, wordless_dir):
+    got = spark.read.parquet(f"{wordless_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, wordless_dir)
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(WORDLESS, key=repr)
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        got = stage(spark, got, wordless_dir)
+    got.collect()
+
+
+def test_empty_documents(spark, no_docs):
     got = no_docs
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, got, SF_SMALL)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from loadkit.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -114,3 +116,34 @@ def test_redaction(spark):
 def test_empty_table(no_docs):
     assert secrets.secret_report(no_docs).count() == 0
     assert secrets.redact(no_docs).count() == 0
+
+
+def test_positions_and_cuts_of_many_spans(spark):
+    """Running sums, overlaps and redaction in blocks, against plain loops."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        n = rng.choice([0, 1, 2, 3, 9, 10, 50, 200])
+        text = "".join(rng.choices("ab é😀\n", k=n * 7 + 3))
+        spans = sorted({(a, rng.randrange(4), min(len(text), a + rng.randint(1, 9)))
+                        for a in (rng.randrange(len(text)) for _ in range(n))})
+        rows.append((k, text, spans))
+    table = spark.createDataFrame(rows, "k long, text string, s array<struct<start: int, kind: int, end: int>>")
+    ranges = F.transform(F.filter("s", lambda x, i: i % 20 == 0), lambda x: F.struct(x["start"], x["end"]))
+    got = table.select("k", secrets.let(F.col("s"), secrets.without_overlaps).alias("apart"),
+                       secrets.running(F.transform("s", lambda x: x["end"]), F.lit(0), lambda a, b: a + b).alias("sums"),
+                       secrets.cut_out(F.col("text"), ranges).alias("cut")).collect()
+    for r, (k, text, spans) in zip(sorted(got), rows, strict=True):
+        base = [x for x in spans if x[1] < 3]
+        assert [tuple(x) for x in r.apart] == [x for x in spans if x[1] < 3 or not any(
+            b[0] < x[2] and x[0] < b[2] for b in base)]
+        assert r.sums == [sum(x[2] for x in spans[:i]) for i in range(len(spans))]
+        assert r.cut == [text[x[0]:x[2]] for x in spans[::20]]
+
+
+def test_a_text_of_many_secrets(spark):
+    lines = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(3000)]
+    table = spark.createDataFrame([(1, "\n".join(lines), 1)], "doc_id long, text string, n_chars long")
+    row = secrets.secret_report(table).first()
+    assert row.n_hex == 3000 and row.spans.split(",")[-1] == f"hex:{41 * 2999}:{41 * 2999 + 40}"
+    assert secrets.redact(table).first().text == "\n".join(["[SECRET]"] * 3000)

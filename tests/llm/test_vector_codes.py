@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def vectors(seed: int, n: int, size: int) -> list[tuple]:
 @pytest.mark.parametrize("size,n", [(32, 300), (16, 40), (20, 90)])
 def test_codes_as_by_brute_force(spark, monkeypatch, size, n):
     monkeypatch.setattr(vector_codes, "MEMBERS", 64)  # several salts
-    rows = [(i, None if v is None else [None if x is None else float(__import__("numpy").float32(x)) for x in v], l)
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], l)
             for i, v, l in vectors(size, n, size)]
     table = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumns(
         {c: F.lit("extra") for c in ("pos", "entry", "salt", "whole", "code", "of", "moved")})
@@ -66,8 +67,6 @@ def test_codes_as_by_brute_force(spark, monkeypatch, size, n):
 
 def test_only_members_that_change_move(spark):
     rows = [([[0.0] * 16, [1.0] * 16][k % 2],) for k in range(40)]
-    import numpy as np
-
     whole = spark.createDataFrame([([int(256 * x) for x in v], 0) for v, in rows], "whole array<int>, salt int")
     books = np.stack([np.array([[0], [100], [256]])] * 16)
     owners = vector_codes.arrived(vector_codes.first_owners(whole, books, 1), "owners-test")
