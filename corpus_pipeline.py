@@ -10,8 +10,9 @@ but the last return the columns of ``documents``.
 4. mixing      documents are repeated or left out to meet the sources' targets
 5. packing     what is left, as pieces in windows of several sizes
 
-A document without an id is told by its text.  Repeated rows count as copies
-of one document for stage 2.  Empty tables pass through.
+Stage 2 tells documents by id and text: different texts under one id, or
+without an id, are documents of their own; equal rows are copies of one.
+Rows without words are never duplicates.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -33,13 +34,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("__toxic_score") < THRESHOLD).drop("__toxic_score")
 
 
+def text_nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__node``: its id; for rows without an id, and ids with several texts, a number of id and text.
+
+    So rows are one node only if id and text are equal.
+    """
+    named = docs.withColumns({"__id": F.col("doc_id").cast("long"),
+                              "__text": F.xxhash64("text", F.col("text").isNull())})
+    several = some_ids(named.groupBy("__id").agg(F.min("__text").alias("low"), F.max("__text").alias("high"))
+                       .filter("low < high and __id is not null").select("__id", F.lit(True).alias("__several")))
+    own = F.xxhash64("__id", "__text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    node = F.when(F.col("__id").isNull() | F.col("__several"), own).otherwise(F.col("__id"))
+    return named.join(several, "__id", "left").withColumn("__node", node).select("__node", *docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    by_text = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
-    named = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    named = text_nodes(docs)
     found = kept(near_duplicates(named, id_column="__node"), "pipeline-near")
     gone = some_ids(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct())
     left = named.join(gone, "__node", "left_anti")
-    several = found.filter("kept and row_count > 1").select(F.col("doc_id").alias("__node")).distinct()
+    several = (found.filter("kept and row_count > 1 and n_shingles > 0")
+               .select(F.col("doc_id").alias("__node")).distinct())
     if several.limit(1).count():
         several = some_ids(several)
         once = left.join(several, "__node", "left_semi").dropDuplicates(["__node"])
