@@ -8,6 +8,7 @@ returns what the load wrote, read back.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +16,12 @@ from pyspark.sql import types as T
 from loadkit.catalog import inputs as I
 from loadkit.catalog.inputs import table
 from loadkit.catalog.queries import PART_CONVERSIONS, PART_TEXT_SQL, part_as_text, query
-from loadkit.operators import routing, transforms
+from loadkit.operators import routing, scd, transforms
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES
 from loadkit.plans import loads
 from loadkit.plans.audit import AuditTrail
 from loadkit.session import scratch_path
+from loadkit.sinks import batches, buckets
 from loadkit.sinks import tables as sinks
 from loadkit.sources import readers
 from loadkit.streaming.ingest import ingest_new_files
@@ -100,6 +102,19 @@ def q_partitioned_append(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("append_batches_rerun", "SELECT * FROM customer")
+def q_append_batches_rerun(spark, sf):
+    """Two batches; the first dies after its write and runs again, then both run again: each row once."""
+    path = scratch_path(spark, "append-once")
+    c = table(spark, sf, "customer")
+    halves = {"low": c.filter(F.col("c_acctbal") < 0), "rest": c.filter("c_acctbal is null or c_acctbal >= 0")}
+    batches.write_batch(halves["low"], path)  # killed before its manifest entry
+    for _ in range(2):
+        for name, rows in halves.items():
+            batches.append_batch(rows, path, name)
+    return batches.read_batches(spark, path, c.schema)
+
+
 ORDER_RULES_SQL = [
     ("low_value", "o_totalprice < 5000", "order value below 5000"),
     ("urgent_pending", "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'",
@@ -179,10 +194,13 @@ def bad_segment_rule() -> dict:
             "message": "segment code BAD"}
 
 
-def run_scd2_load(spark, sf, source=None):
+def run_scd2_load(spark, sf, source=None, bucketed=False):
     root = scratch_path(spark, "dim-scd2")
-    name = _table_name("dim_customer")
-    sinks.publish_version(spark, I.scd2_target(spark, sf), name, root)
+    if bucketed:
+        name = buckets.create_bucketed(I.scd2_target(spark, sf), f"{root}/dimension", ["business_key"], 8)
+    else:
+        name = _table_name("dim_customer")
+        sinks.publish_version(spark, I.scd2_target(spark, sf), name, root)
     return loads.load_dimension_scd2(
         spark, scd2_load_source(spark, sf) if source is None else source,
         table=name, root=root, keys=["business_key"], tracked=I.SCD2_TRACKED,
@@ -196,6 +214,27 @@ def q_dimension_scd2_load(spark, sf):
     return run_scd2_load(spark, sf).output
 
 
+@query("dimension_scd2_load_bucketed", I.scd2_merge_sql(I.SCD2_TARGET_SQL, SCD2_LOAD_VALID_SQL))
+def q_dimension_scd2_load_bucketed(spark, sf):
+    return run_scd2_load(spark, sf, bucketed=True).output
+
+
+@query("scd2_merge_bucketed", I.scd2_merge_sql(I.SCD2_TARGET_SQL, I.SCD2_SOURCE_SQL))
+def q_scd2_merge_bucketed(spark, sf):
+    dim = buckets.create_bucketed(I.scd2_target(spark, sf), scratch_path(spark, "scd2-buckets"), ["business_key"], 8)
+    dim.merge(I.scd2_source(spark, sf),
+              lambda target, rows: scd.scd2_merge(target, rows, ["business_key"], I.SCD2_TRACKED, I.AS_OF))
+    return dim.read()
+
+
+@query("scd1_upsert_bucketed", I.scd1_merge_sql(I.SCD1_TARGET_SQL, I.SCD1_SOURCE_SQL))
+def q_scd1_upsert_bucketed(spark, sf):
+    dim = buckets.create_bucketed(I.scd1_target(spark, sf), scratch_path(spark, "scd1-buckets"), ["p_partkey"], 8)
+    dim.merge(I.scd1_source(spark, sf),
+              lambda target, rows: scd.scd1_merge(target, rows, ["p_partkey"], exclude_columns=["created_date"]))
+    return dim.read()
+
+
 @query("empty_source_exit", I.SCD2_TARGET_SQL)
 def q_empty_source_exit(spark, sf):
     # Every source row was modified a month before as_of: the 3-day window is empty.
@@ -265,9 +304,9 @@ def q_dimension_scd1_load(spark, sf):
 
 
 # =============================================================== fact load
-def run_fact_load(spark, sf, *, detail=None, twice=False):
-    """``detail``: other detail rows; ``twice``: every primary row comes twice."""
-    root = scratch_path(spark, "fact")
+def run_fact_load(spark, sf, *, detail=None, twice=False, root=None, once=False, batch_id=I.BATCH_ID):
+    """``detail``: other detail rows; ``twice``: every primary row comes twice; ``once``: as a published batch."""
+    root = root or scratch_path(spark, "fact")
     if detail is None:
         detail = table(spark, sf, "lineitem")
     detail = detail.select(
@@ -291,8 +330,8 @@ def run_fact_load(spark, sf, *, detail=None, twice=False):
         derived={"line_total": F.col("l_extendedprice") * (1 - F.col("l_discount"))},
         rules=[{"name": "bulk_quantity", "condition": F.col("l_quantity") > 48,
                 "message": "quantity above 48"}],
-        load_ts=I.LOAD_TS, error_path=f"{root}/errors",
-        audit=AuditTrail("fact_load", batch_id=I.BATCH_ID))
+        load_ts=I.LOAD_TS, error_path=f"{root}/errors", once=once, partition_by=[] if once else None,
+        audit=AuditTrail("fact_load", batch_id=batch_id))
 
 
 FACT_JOINED_SQL = f"""
@@ -309,20 +348,48 @@ LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal >= 0"""
 FACT_ERROR_SQL = "(NOT hit_customer OR NOT hit_part OR NOT hit_supplier OR l_quantity > 48)"
 
 
-@query("fact_load", f"""
+FACT_LOAD_SQL = f"""
 WITH f AS ({FACT_JOINED_SQL})
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
        o_custkey, o_orderdate, o_orderstatus, customer_sk, p_brand, s_name,
        l_extendedprice * (1 - l_discount) AS line_total,
        CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_sk,
        'OLTP' AS source_system, {I.LOAD_TS_SQL} AS load_timestamp
-FROM f WHERE NOT {FACT_ERROR_SQL}""")
+FROM f WHERE NOT {FACT_ERROR_SQL}"""
+
+
+@query("fact_load", FACT_LOAD_SQL)
 def q_fact_load(spark, sf):
     # fact_sk depends on staged file order, not on a SQL-expressible order;
     # tests check it is dense and unique.
     return run_fact_load(spark, sf).output.drop("fact_sk")
 
 
+@query("fact_load_rerun", FACT_LOAD_SQL)
+def q_fact_load_rerun(spark, sf):
+    """The same batch twice, and its rows once more in a folder that was never published: each row once."""
+    root = scratch_path(spark, "fact-rerun")
+    batches.write_batch(run_fact_load(spark, sf, root=root, once=True).output, f"{root}/fact")
+    return run_fact_load(spark, sf, root=root, once=True).output.drop("fact_sk")
+
+
+@query("fact_load_two_at_once", f"""
+WITH f AS ({FACT_JOINED_SQL})
+SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 END AS least, nullif(count(*), 0) AS most,
+       count(*) AS different FROM f WHERE NOT {FACT_ERROR_SQL}""")
+def q_fact_load_two_at_once(spark, sf):
+    """Two loads of half the rows each at one time: their key ranges are disjoint and leave no gap."""
+    root = scratch_path(spark, "fact-two")
+    lines = table(spark, sf, "lineitem")
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(run_fact_load, spark, sf, detail=lines.filter(F.col("l_linenumber") % 2 == k),
+                            root=root, once=True, batch_id=f"half-{k}") for k in (0, 1)]
+    results = [r.result() for r in runs]
+    return batches.read_batches(spark, f"{root}/fact", results[0].output.schema).agg(
+        F.count("fact_sk").alias("n"), F.min("fact_sk").cast("int").alias("least"),
+        F.max("fact_sk").alias("most"), F.count_distinct("fact_sk").alias("different"))
+
+
 @query("stage_row_counts", f"""
 WITH f AS ({FACT_JOINED_SQL})
 SELECT 'detail' AS stage, (SELECT count(*) FROM lineitem) AS row_count
@@ -570,6 +637,25 @@ def q_restartable_ingest(spark, sf):
     return spark.read.parquet(f"{root}/target").select(*ORDERS_SCHEMA.names)
 
 
+@query("restartable_ingest_two_sources", """
+SELECT *, 1 AS times FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00'
+UNION ALL SELECT *, 2 FROM orders WHERE NOT COALESCE(o_orderdate < TIMESTAMP '1995-01-01 00:00:00', false)""")
+def q_restartable_ingest_two_sources(spark, sf):
+    """Two sources with their own checkpoints fill one target; the second's checkpoint is then lost and begun anew,
+    so its files come again, and overwrite nothing."""
+    root = scratch_path(spark, "restartable-two")
+    orders = table(spark, sf, "orders").select(*ORDERS_SCHEMA.names)
+    old = F.coalesce(F.col("o_orderdate") < _ntz("1995-01-01 00:00:00"), F.lit(False))
+    for name, rows in {"a": orders.filter(old), "b": orders.filter(~old)}.items():
+        rows.write.option("header", "true").csv(f"{root}/{name}")
+    for name, checkpoint in (("a", "one"), ("b", "two"), ("a", "one"), ("b", "two-again")):
+        ingest_new_files(spark, f"{root}/{name}/*.csv", ORDERS_SCHEMA, target=f"{root}/target",
+                         checkpoint=f"{root}/checkpoints/{checkpoint}", fmt="csv", options={"header": "true"},
+                         load_ts=I.LOAD_TS)
+    rows = spark.read.parquet(f"{root}/target")
+    return rows.groupBy(*ORDERS_SCHEMA.names).agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
 @query("restartable_ingest_malformed", """
 WITH n AS (SELECT count(*) AS good FROM orders),
 b AS (SELECT count(*) AS bad FROM orders WHERE o_totalprice < 5000)

@@ -40,6 +40,9 @@ from loadkit.operators.transforms import (
 from loadkit.plans.audit import AuditTrail
 from loadkit.plans.staging import Routed, observed, route_and_stage
 from loadkit.session import path_exists
+from loadkit.sinks.batches import append_batch, published, read_batches
+from loadkit.sinks.buckets import BucketedTable
+from loadkit.sinks.ledger import entry_names, reserve_range
 from loadkit.sinks.tables import append, publish_version, write_error_rows
 from loadkit.sources.readers import (
     CORRUPT,
@@ -82,13 +85,13 @@ def _limit(error_limit: int | None, error_fraction: float | None, rows: int) ->
 def _finish_routing(routed: Routed, audit: AuditTrail, *, pipeline: str, stage: str,
                     error_path: str | None, error_limit: int | None,
                     error_fraction: float | None, load_ts, total: int | None = None,
-                    drop: Sequence[str] = ()) -> None:
+                    drop: Sequence[str] = (), once: bool = False) -> None:
     audit.record_errors(stage, routed.error_rows)
     rows = routed.rows if total is None else total
     enforce_error_limit(routed.error_rows, _limit(error_limit, error_fraction, rows))
     if error_path and routed.error_rows:
         write_error_rows(routed.errors.drop(*drop), error_path, pipeline, stage,
-                         audit.batch_id, load_ts)
+                         audit.batch_id, load_ts, once=once)
 
 
 def _bounded(routed: Routed) -> bool:
@@ -145,7 +148,31 @@ def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[], LoadResult],
 
 
 # --------------------------------------------------------------------------- PIP1
-def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, root: str,
+def _merge_dimension(spark: SparkSession, table: str | BucketedTable, root: str | None, source: DataFrame,
+                     merge: Callable[[DataFrame, DataFrame], DataFrame],
+                     label: str) -> tuple[DataFrame, str, dict]:
+    """Publish the next version of a dimension: (it read back, where it lies, what was written).
+
+    A catalog table gets a whole new version folder; of a bucketed table only
+    the buckets that hold a source key are read and written.
+    """
+    if isinstance(table, BucketedTable):
+        written = table.merge(source, merge)
+        return table.read(), table.path, {"buckets_written": len(written)}
+    obs = _observation(label)
+    location = publish_version(spark, merge(spark.table(table), source), table, root, observation=obs)
+    return spark.table(table), location, {"version_rows": obs.get["rows"]}
+
+
+def _dimension(spark: SparkSession, table: str | BucketedTable) -> DataFrame:
+    return table.read() if isinstance(table, BucketedTable) else spark.table(table)
+
+
+def _dimension_name(table: str | BucketedTable) -> str:
+    return table.path if isinstance(table, BucketedTable) else table
+
+
+def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str | BucketedTable, root: str | None = None,
                         keys: Sequence[str], tracked: Sequence[str],
                         order_columns: Sequence[str], as_of: dt.date | str,
                         rules: Sequence[dict] = (), derived: Mapping[str, Column] | None = None,
@@ -158,7 +185,9 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
     """Read -> exit if empty -> derive -> null defaults -> route null keys ->
     de-duplicate -> other rules -> SCD2 merge -> publish -> audit.
 
-    ``table`` must exist (its current version is the merge target).
+    ``table`` must exist (its current version is the merge target): a catalog
+    table, of which ``root`` gets a whole new version, or a ``BucketedTable``,
+    of which only the buckets that hold a source key are read and rewritten.
     """
     audit = audit or AuditTrail("dimension_scd2")
 
@@ -166,7 +195,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
         if source.isEmpty():
             audit.record_read("source", 0)
             audit.complete(EMPTY_SOURCE)
-            return LoadResult(audit, spark.table(table))
+            return LoadResult(audit, _dimension(spark, table))
         routed, read, dropped = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived,
             defaults=defaults, source_system=source_system, load_ts=load_ts, rules=rules,
@@ -176,23 +205,21 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str, r
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
-        merged = scd2_merge(spark.table(table), routed.valid, keys, tracked, as_of,
-                            check_source_unique=False,
-                            broadcast_source=_bounded(routed))
-        obs = _observation("scd2")
-        location = publish_version(spark, merged, table, root, observation=obs)
-        audit.record_write(table, routed.valid_rows)
+        out, location, written = _merge_dimension(
+            spark, table, root, routed.valid,
+            lambda target, rows: scd2_merge(target, rows, keys, tracked, as_of, check_source_unique=False,
+                                            broadcast_source=_bounded(routed)), "scd2")
+        audit.record_write(_dimension_name(table), routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.table(table), location,
+        return LoadResult(audit, out, location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]},
-                          [routed.path])
+                           "valid": routed.valid_rows, **written}, [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP2
-def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, root: str,
+def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str | BucketedTable, root: str | None = None,
                         keys: Sequence[str], order_columns: Sequence[str],
                         exclude_columns: Sequence[str] = ("created_date",),
                         rules: Sequence[dict] = (), derived: Mapping[str, Column] | None = None,
@@ -209,7 +236,7 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
         if source.isEmpty():
             audit.record_read("source", 0)
             audit.complete(EMPTY_SOURCE)
-            return LoadResult(audit, spark.table(table))
+            return LoadResult(audit, _dimension(spark, table))
         routed, read, dropped = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived, defaults=None,
             source_system=source_system, load_ts=load_ts, rules=rules,
@@ -219,32 +246,29 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str, r
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts)
-        merged = scd1_merge(spark.table(table), routed.valid, keys, exclude_columns,
-                            check_source_unique=False,
-                            broadcast_source=_bounded(routed))
-        obs = _observation("scd1")
-        location = publish_version(spark, merged, table, root, observation=obs)
-        audit.record_write(table, routed.valid_rows)
+        out, location, written = _merge_dimension(
+            spark, table, root, routed.valid,
+            lambda target, rows: scd1_merge(target, rows, keys, exclude_columns, check_source_unique=False,
+                                            broadcast_source=_bounded(routed)), "scd1")
+        audit.record_write(_dimension_name(table), routed.valid_rows)
         audit.complete()
-        return LoadResult(audit, spark.table(table), location,
+        return LoadResult(audit, out, location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, "version_rows": obs.get["rows"]},
-                          [routed.path])
+                           "valid": routed.valid_rows, **written}, [routed.path])
 
     return _run(spark, audit, body, audit_path)
 
 
 # --------------------------------------------------------------------------- PIP3
-KEY_STATE = "_key_state"
+KEY_STATE, KEY_RANGES = "_key_state", "_key_ranges"
 _KEY_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("last_key", T.LongType())])
 
 
 def _last_key(spark: SparkSession, path: str, key: str) -> int:
     """The last surrogate key given out for the table at ``path``.
 
-    Read from the small state table in the table's own folder (readers skip
-    names with an underscore).  A table without it, written before there was
-    one, is scanned once.
+    Asked once, for the first range of a table that has no ranges yet: from
+    the state table earlier loads kept there, or by a scan of the target.
     """
     if path_exists(spark, f"{path}/{KEY_STATE}"):
         state = spark.read.schema(_KEY_SCHEMA).parquet(f"{path}/{KEY_STATE}")
@@ -254,11 +278,16 @@ def _last_key(spark: SparkSession, path: str, key: str) -> int:
     return int(spark.read.parquet(path).agg(F.max(key)).first()[0] or 0)
 
 
-def _reserve_keys(spark: SparkSession, path: str, batch_id: str, last_key: int) -> None:
-    """Record the batch's last key before its rows are written: a failed
-    write leaves a gap, never a key given out twice."""
-    row = spark.createDataFrame([(batch_id, last_key)], _KEY_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{path}/{KEY_STATE}")
+def reserve_keys(spark: SparkSession, path: str, run_id: str, key: str, count: int) -> int:
+    """The key before the first of ``count`` keys that only this run gives out.
+
+    Ranges are create-if-absent entries, so loads that reserve at once get
+    ranges behind each other.  A range is recorded before its rows are
+    written: a failed write leaves a gap, never a key given out twice.
+    """
+    ranges = f"{path}/{KEY_RANGES}"
+    first = 0 if entry_names(spark, f"{ranges}/ranges") else _last_key(spark, path, key)
+    return reserve_range(spark, ranges, run_id, count, first)
 
 
 def _read_target(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
@@ -270,8 +299,13 @@ def _read_target(spark: SparkSession, path: str, written: DataFrame) -> DataFram
 
 
 def _append_valid(spark: SparkSession, valid: DataFrame, routed: Routed, path: str,
-                  partition_by: Sequence[str] | None, replace_partitions: bool = False) -> DataFrame:
-    """Append the valid rows, if there are any, and read the target back."""
+                  partition_by: Sequence[str] | None, replace_partitions: bool = False,
+                  batch_id: str | None = None) -> DataFrame:
+    """Append the valid rows, if there are any, and read the target back; with ``batch_id`` as a published batch."""
+    if batch_id is not None:
+        if routed.valid_rows:
+            append_batch(valid, path, batch_id, partition_by=partition_by)
+        return read_batches(spark, path, valid.schema)
     if routed.valid_rows:
         append(valid, path, partition_by=partition_by, replace_partitions=replace_partitions)
     return _read_target(spark, path, valid)
@@ -283,11 +317,11 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
               rules: Sequence[dict] = (), key_column: str = "fact_sk",
               source_system: str = FACT_SYSTEM, load_ts=None, error_path: str | None = None,
               error_limit: int | None = None, error_fraction: float | None = None,
-              replace_partitions: bool = False, audit: AuditTrail | None = None,
-              audit_path: str | None = None) -> LoadResult:
+              replace_partitions: bool = False, partition_by: Sequence[str] | None = None, once: bool = False,
+              audit: AuditTrail | None = None, audit_path: str | None = None) -> LoadResult:
     """Two reads -> inner join -> dimension lookups -> derive (+ ``date_sk``) ->
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
-    by ``date_sk`` -> audit.
+    by ``date_sk`` (or ``partition_by``; empty: not) -> audit.
 
     The join runs as a left join with a marker on the primary side; detail
     rows without a primary are counted by the staging write (in neither
@@ -296,6 +330,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     the detail count.  Surrogate keys continue from the last one given out
     for ``path``.  ``replace_partitions`` overwrites the date partitions the
     batch has rows for, so that a repeated batch does not double them.
+    ``once``: the target is a table of published batches (``sinks.batches``);
+    a load that is run again under its ``batch_id`` leaves each row once,
+    with the keys reserved the first time.
     """
     audit = audit or AuditTrail("fact_load")
 
@@ -327,14 +364,15 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts, total=joined_rows,
-                        drop=[marker])
+                        drop=[marker], once=once)
         valid = routed.valid.drop(marker, *[f"hit_{n}" for n in names])
-        offset = _last_key(spark, path, key_column)
-        if routed.valid_rows:
-            _reserve_keys(spark, path, audit.batch_id, offset + routed.valid_rows)
+        offset = 0
+        if routed.valid_rows and not (once and published(spark, path, audit.batch_id)):
+            run_id = audit.batch_id if once else f"{audit.batch_id}:{uuid.uuid4().hex}"
+            offset = reserve_keys(spark, path, run_id, key_column, routed.valid_rows)
         keyed = assign_surrogate_keys(valid, key_column, offset=offset)
-        out = _append_valid(spark, keyed, routed, path, ["date_sk"] if date_column else None,
-                            replace_partitions)
+        parts = partition_by if partition_by is not None else ["date_sk"] if date_column else None
+        out = _append_valid(spark, keyed, routed, path, parts, replace_partitions, audit.batch_id if once else None)
         audit.record_write("fact_table", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
@@ -360,7 +398,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                    rules: Sequence[dict] = (), delimiter: str = ",", header: bool = True,
                    encoding: str = "UTF-8", load_ts=None, error_path: str | None = None,
                    error_limit: int | None = 50, error_fraction: float | None = None,
-                   partition_by: Sequence[str] | None = None,
+                   partition_by: Sequence[str] | None = None, once: bool = False,
                    audit: AuditTrail | None = None,
                    audit_path: str | None = None) -> LoadResult:
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
@@ -369,7 +407,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
     Delimited files with ``columns``, or fixed-width ones with ``fixed_width``
     (name, width; ``skip_pattern`` drops header lines).  The default limit of
     50 bad rows is the file job's skip limit; pass ``error_limit=None`` and/or
-    ``error_fraction`` to change it.
+    ``error_fraction`` to change it.  ``once``: as in ``load_fact``.
     """
     audit = audit or AuditTrail("flat_file_ingest")
 
@@ -389,9 +427,9 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
         audit.record_read("file", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts)
+                        error_fraction=error_fraction, load_ts=load_ts, once=once)
         valid = drop_raw_columns(routed.valid).drop(extra)
-        out = _append_valid(spark, valid, routed, path, partition_by)
+        out = _append_valid(spark, valid, routed, path, partition_by, batch_id=audit.batch_id if once else None)
         audit.record_write("target", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
@@ -406,11 +444,11 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
                  steps: Sequence[Callable[[DataFrame], DataFrame]] = (),
                  rules: Sequence[dict] = (), partition_by: Sequence[str] | None = None,
                  load_ts=None, error_path: str | None = None, error_limit: int | None = None,
-                 error_fraction: float | None = None,
+                 error_fraction: float | None = None, once: bool = False,
                  audit: AuditTrail | None = None,
                  audit_path: str | None = None) -> LoadResult:
     """User steps (``DataFrame.transform`` functions, in order) -> rules ->
-    append -> audit."""
+    append -> audit.  ``once``: as in ``load_fact``."""
     audit = audit or AuditTrail("generic")
 
     def body() -> LoadResult:
@@ -421,8 +459,8 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
         audit.record_read("source", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts)
-        out = _append_valid(spark, routed.valid, routed, path, partition_by)
+                        error_fraction=error_fraction, load_ts=load_ts, once=once)
+        out = _append_valid(spark, routed.valid, routed, path, partition_by, batch_id=audit.batch_id if once else None)
         audit.record_write("target", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,

@@ -90,14 +90,21 @@ def tag_error_rows(errors: DataFrame, pipeline: str, stage: str, batch_id: str,
 
 
 def write_error_rows(errors: DataFrame, path: str, pipeline: str, stage: str, batch_id: str,
-                     error_ts=None) -> None:
+                     error_ts=None, *, once: bool = False) -> None:
     """Append tagged error rows, partitioned by pipeline.
 
     The source columns of different loads differ, so each load gets its own
     partition directory; read one pipeline's errors back by that directory.
+    ``once``: as a published batch, which a load that runs again under its
+    ``batch_id`` does not repeat (read it by ``sinks.batches.read_batches``).
     """
-    append(tag_error_rows(errors, pipeline, stage, batch_id, error_ts).drop("pipeline"),
-           f"{path.rstrip('/')}/pipeline={pipeline}")
+    tagged = tag_error_rows(errors, pipeline, stage, batch_id, error_ts).drop("pipeline")
+    folder = f"{path.rstrip('/')}/pipeline={pipeline}"
+    if once:
+        from loadkit.sinks.batches import append_batch
+        append_batch(tagged, folder, f"{batch_id}/{stage}")
+    else:
+        append(tagged, folder)
 
 
 # --------------------------------------------------------------------------- publish

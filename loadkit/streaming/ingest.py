@@ -5,7 +5,9 @@ every file it has taken in the checkpoint.  ``trigger(availableNow=True)``
 turns that into a batch job: take everything new, in bounded micro-batches,
 then stop.  Each micro-batch is routed and written to its own partition
 ``ingest_batch=<n>``, replacing what a run that died halfway left there, so
-every batch lands exactly once.
+every batch lands exactly once.  The number comes from a ledger beside the
+target, which gives each (checkpoint, epoch) one of its own: several sources,
+and a checkpoint that was lost and begun anew, never get each other's.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from loadkit.operators.routing import enforce_error_limit
 from loadkit.operators.transforms import drop_raw_columns, type_conversions
 from loadkit.plans.staging import route_and_stage
 from loadkit.session import path_exists
+from loadkit.sinks.ledger import read_entry, take_number
 from loadkit.sources.readers import CORRUPT, corrupt_rule, string_schema
 
 BATCH_COLUMN = "ingest_batch"
+LEDGER = "_ingest_ledger"
 TEXT_FORMATS = ("csv", "json")
 
 
@@ -35,8 +39,9 @@ class _Writer:
     kept in executor memory; its counts come from that write.
     """
 
-    def __init__(self, target, error_path, partition_by, rules, conversions, error_limit, label):
-        self.target, self.error_path, self.label = target, error_path, label
+    def __init__(self, target, error_path, partition_by, rules, conversions, error_limit, label, checkpoint):
+        self.target, self.error_path, self.label = target.rstrip("/"), error_path, label
+        self.checkpoint = checkpoint.rstrip("/")
         self.parts = [BATCH_COLUMN, *(partition_by or [])]
         self.rules, self.conversions, self.error_limit = rules, conversions, error_limit
         self.read: dict[int, int] = {}
@@ -50,7 +55,9 @@ class _Writer:
         routed, _ = route_and_stage(batch, rules, f"{self.label}-{epoch}")
         self.read[epoch], self.errors[epoch] = routed.rows, routed.error_rows
         enforce_error_limit(sum(self.errors.values()), self.error_limit)
-        number = F.lit(epoch).cast("long")
+        # The stream's own id, made with its checkpoint, tells this checkpoint from all others.
+        stream = read_entry(batch.sparkSession, f"{self.checkpoint}/metadata")["id"]
+        number = F.lit(take_number(batch.sparkSession, f"{self.target}/{LEDGER}", f"{stream}:{epoch}")).cast("long")
         valid = drop_raw_columns(routed.valid).drop(CORRUPT).withColumn(BATCH_COLUMN, number)
         self.write(valid, self.target, self.parts)
         if self.error_path:
@@ -79,8 +86,10 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
     ``error_path`` with their reasons, never to the target as a null.  Without
     ``error_path`` such a row stops the run, unless ``error_limit`` says how
     many of a run's error rows may be left out.  A batch over the limit is not
-    written and is taken again by the next run.  Both outputs are partitioned
-    by ``ingest_batch``; rows carry ``source_file`` (full path) and
+    written and is taken again by the next run; batches of the run before it
+    are published already (with ``max_files_per_trigger`` of one file, the
+    files before the bad one).  Both outputs are partitioned by
+    ``ingest_batch``, numbered per target; rows carry ``source_file`` (full path) and
     ``load_timestamp``.
 
     Returns rows read, error rows, rows written and micro-batches of this run,
@@ -106,7 +115,7 @@ def ingest_new_files(spark: SparkSession, source_glob: str, schema: T.StructType
         "load_timestamp": ts_literal(load_ts),
     })
     write = _Writer(target, error_path, partition_by, rules or [], conversions, error_limit,
-                    audit.pipeline if audit is not None else "ingest")
+                    audit.pipeline if audit is not None else "ingest", checkpoint)
     if audit is not None:
         audit.start()
     try:
