@@ -39,7 +39,7 @@ from loadkit.llm.tokens import vocabulary_file
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 1 << 16  # characters split into pieces at a time
 BLOCK = 1 << 16  # places whose longest tokens are looked up at a time
-PAIRS, PIECES, SHORT = 1 << 20, 1 << 18, 64  # memoised pairs; pieces, of at most so many characters
+PAIRS, PIECES, SHORT = 1 << 20, 1 << 19, 64  # memoised pairs; pieces, of at most so many characters
 
 
 def read_ranks(name: str = RANKS) -> dict[bytes, int]:
@@ -145,10 +145,10 @@ class _Longest:
         if block is None:
             while len(self.blocks) >= 2:
                 del self.blocks[next(iter(self.blocks))]
-            block = self.blocks[number] = self._block(number * BLOCK)
+            block = self.blocks[number] = self.block(number * BLOCK)
         return block[at - number * BLOCK]
 
-    def _block(self, start: int) -> array:
+    def block(self, start: int) -> array:
         # Tokens that start in the block may end beyond it.
         part = self.piece[start:start + BLOCK + self.merges.longest_token - 1]
         n, seen = len(part), -1
@@ -172,6 +172,7 @@ class Encoder:
             def __missing__(self, piece: str):
                 ids = short.piece_ids(piece.encode())
                 if len(piece) <= SHORT:
+                    ids = tuple(ids)
                     if len(self) >= PIECES:
                         self.clear()
                     self[piece] = ids
@@ -188,17 +189,25 @@ class Encoder:
             return (whole,)
         n = len(piece)
         longest, size, shorter, compatible = _Longest(m, piece), m.size, m.shorter, m.compatible
+        if n <= BLOCK:
+            longest = longest.block(0)
+        known = m.known
         closed = bytearray(n + 1)  # places from which the rest cannot be encoded
-        out = array("I")
+        out = [] if n <= BLOCK else array("I")
         at, token = 0, longest[0]
         while True:
             end = at + size[token]
-            if not closed[end] and (not out or compatible(out[-1], token)):
-                out.append(token)
-                if end == n:
-                    return out
-                at, token = end, longest[end]
-                continue
+            if not closed[end]:
+                fits = True
+                if out:
+                    pair = out[-1], token
+                    fits = known[pair] if pair in known else compatible(*pair)
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, token = end, longest[end]
+                    continue
             token = shorter[token]
             while token < 0:
                 closed[at] = 1
@@ -206,13 +215,13 @@ class Encoder:
                 at -= size[token]
                 token = shorter[token]
 
-    def id_chunks(self, text: str) -> Iterator[array]:
+    def id_chunks(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text``, in chunks cut where white space follows another character: no piece crosses such a place."""
         at = 0
         while at < len(text):
             cut = self.border(text, at + CHUNK) if at + CHUNK < len(text) else None
             end = cut.start() if cut else len(text)
-            yield array("I", chain.from_iterable(map(self.pieces.__getitem__, self.split(text, at, end))))
+            yield list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text, at, end))))
             at = end
 
     def ids(self, text: str | None) -> array:
