@@ -42,7 +42,7 @@ from loadkit.plans.staging import Routed, observed, route_and_stage
 from loadkit.session import path_exists
 from loadkit.sinks.batches import append_batch, published, read_batches
 from loadkit.sinks.buckets import BucketedTable
-from loadkit.sinks.ledger import entry_names, reserve_range
+from loadkit.sinks.ledger import entry_names, read_entry, reserve_range
 from loadkit.sinks.tables import append, publish_version, write_error_rows
 from loadkit.sources.readers import (
     CORRUPT,
@@ -278,6 +278,13 @@ def _last_key(spark: SparkSession, path: str, key: str) -> int:
     return int(spark.read.parquet(path).agg(F.max(key)).first()[0] or 0)
 
 
+def _given_out(spark: SparkSession, path: str, key: str) -> int:
+    """The last key given out: the end of the last range, or what a table without ranges says."""
+    ranges = f"{path}/{KEY_RANGES}/ranges"
+    taken = entry_names(spark, ranges)
+    return int(read_entry(spark, f"{ranges}/{taken[-1]}")["end"]) if taken else _last_key(spark, path, key)
+
+
 def reserve_keys(spark: SparkSession, path: str, run_id: str, key: str, count: int) -> int:
     """The key before the first of ``count`` keys that only this run gives out.
 
@@ -285,9 +292,14 @@ def reserve_keys(spark: SparkSession, path: str, run_id: str, key: str, count: i
     ranges behind each other.  A range is recorded before its rows are
     written: a failed write leaves a gap, never a key given out twice.
     """
-    ranges = f"{path}/{KEY_RANGES}"
-    first = 0 if entry_names(spark, f"{ranges}/ranges") else _last_key(spark, path, key)
-    return reserve_range(spark, ranges, run_id, count, first)
+    return reserve_range(spark, f"{path}/{KEY_RANGES}", run_id, count, _given_out(spark, path, key))
+
+
+def _reserve_keys(spark: SparkSession, path: str, batch_id: str, last_key: int, key: str = "fact_sk") -> None:
+    """Give a batch all keys up to ``last_key`` that are left, whatever the rows hold; later loads go on after it."""
+    count = last_key - _given_out(spark, path, key)
+    if count > 0:
+        reserve_keys(spark, path, batch_id, key, count)
 
 
 def _read_target(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
