@@ -17,7 +17,7 @@ from loadkit.catalog import inputs as I
 from loadkit.catalog.inputs import table
 from loadkit.catalog.queries import PART_CONVERSIONS, PART_TEXT_SQL, part_as_text, query
 from loadkit.operators import routing, scd, transforms
-from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES
+from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, ErrorLimitExceeded
 from loadkit.plans import loads
 from loadkit.plans.audit import AuditTrail
 from loadkit.session import scratch_path
@@ -304,8 +304,10 @@ def q_dimension_scd1_load(spark, sf):
 
 
 # =============================================================== fact load
-def run_fact_load(spark, sf, *, detail=None, twice=False, root=None, once=False, batch_id=I.BATCH_ID):
-    """``detail``: other detail rows; ``twice``: every primary row comes twice; ``once``: as a published batch."""
+def run_fact_load(spark, sf, *, detail=None, twice=False, root=None, once=False, batch_id=I.BATCH_ID, steps=False,
+                  error_limit=None):
+    """``detail``: other detail rows; ``twice``: every primary row comes twice; ``once``: as a published batch;
+    ``steps``: with a step ledger."""
     root = root or scratch_path(spark, "fact")
     if detail is None:
         detail = table(spark, sf, "lineitem")
@@ -331,6 +333,7 @@ def run_fact_load(spark, sf, *, detail=None, twice=False, root=None, once=False,
         rules=[{"name": "bulk_quantity", "condition": F.col("l_quantity") > 48,
                 "message": "quantity above 48"}],
         load_ts=I.LOAD_TS, error_path=f"{root}/errors", once=once, partition_by=[] if once else None,
+        error_limit=error_limit, steps_path=f"{root}/steps" if steps else None,
         audit=AuditTrail("fact_load", batch_id=batch_id))
 
 
@@ -373,6 +376,25 @@ def q_fact_load_rerun(spark, sf):
     return run_fact_load(spark, sf, root=root, once=True).output.drop("fact_sk")
 
 
+def unreadable(df):
+    """``df`` with its columns, which fails if any of its rows is read."""
+    return df.filter(F.raise_error(F.lit("the source was read again")).isNull())
+
+
+@query("fact_load_restart", FACT_LOAD_SQL)
+def q_fact_load_restart(spark, sf):
+    """A load refused for its bad rows after it was staged, then run again without a limit under its batch id: it goes
+    on from the staged rows (its source now fails if it is read).  A third run repeats nothing."""
+    root, lines = scratch_path(spark, "fact-restart"), table(spark, sf, "lineitem")
+    try:
+        run_fact_load(spark, sf, root=root, once=True, steps=True, error_limit=0)
+    except ErrorLimitExceeded:
+        lines = unreadable(lines)
+    for _ in range(2):
+        result = run_fact_load(spark, sf, detail=lines, root=root, once=True, steps=True)
+    return result.output.drop("fact_sk")
+
+
 @query("fact_load_two_at_once", f"""
 WITH f AS ({FACT_JOINED_SQL})
 SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 END AS least, nullif(count(*), 0) AS most,

@@ -56,6 +56,10 @@ class AuditTrail:
     def record_write(self, obj: str, rows: int, stage: str = "write") -> None:
         self._add(stage, obj, "write", rows, "ok")
 
+    def record_reused(self, step: str) -> None:
+        """A step taken over from an earlier run of the batch."""
+        self._add(step, "step", "reuse", None, "ok")
+
     def complete(self, message: str | None = None) -> None:
         self.status = "complete"
         self._add("run", self.pipeline, "end", None, "complete", message)

@@ -4,6 +4,11 @@ Each composes the operators into one lazily-built plan, stages the routed
 result once (``staging.route_and_stage``: counts, error limit and both
 outputs from a single pass), then writes.  Nothing is published when the
 error limit is exceeded.  Every workflow keeps an ``AuditTrail``.
+
+With ``steps_path`` a load that failed and runs again under its batch id goes
+on behind its last finished step (``plans.steps``): rows staged before are not
+read from the source again.  A plain append that dies between its commit and
+its entry is repeated; ``once=True`` closes that gap.
 """
 
 from __future__ import annotations
@@ -39,6 +44,7 @@ from loadkit.operators.transforms import (
 )
 from loadkit.plans.audit import AuditTrail
 from loadkit.plans.staging import Routed, observed, route_and_stage
+from loadkit.plans.steps import Steps
 from loadkit.session import path_exists
 from loadkit.sinks.batches import append_batch, published, read_batches
 from loadkit.sinks.buckets import BucketedTable
@@ -84,14 +90,18 @@ def _limit(error_limit: int | None, error_fraction: float | None, rows: int) ->
 
 def _finish_routing(routed: Routed, audit: AuditTrail, *, pipeline: str, stage: str,
                     error_path: str | None, error_limit: int | None,
-                    error_fraction: float | None, load_ts, total: int | None = None,
+                    error_fraction: float | None, load_ts, steps: Steps, total: int | None = None,
                     drop: Sequence[str] = (), once: bool = False) -> None:
     audit.record_errors(stage, routed.error_rows)
     rows = routed.rows if total is None else total
     enforce_error_limit(routed.error_rows, _limit(error_limit, error_fraction, rows))
     if error_path and routed.error_rows:
-        write_error_rows(routed.errors.drop(*drop), error_path, pipeline, stage,
-                         audit.batch_id, load_ts, once=once)
+        def write() -> dict:
+            write_error_rows(routed.errors.drop(*drop), error_path, pipeline, stage,
+                             audit.batch_id, load_ts, once=once)
+            return {"rows": routed.error_rows}
+
+        steps.once("errors", write)
 
 
 def _bounded(routed: Routed) -> bool:
@@ -108,14 +118,17 @@ def _null_key_rule(keys: Sequence[str]) -> dict:
     return {"name": "null_key", "condition": cond, "message": "a key column is null"}
 
 
+def _read_count(source: DataFrame, keys: Sequence[str], steps: Steps) -> int:
+    return steps.once("read", lambda: {"rows": source.select(*keys).count()})["rows"]
+
+
 def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived, defaults,
-                              source_system, load_ts, rules, label):
+                              source_system, load_ts, rules, label, steps: Steps):
     """Null keys routed first (they skip the shuffle), then de-duplicate, then rules.
 
     Rejecting a bad latest row before de-duplication would load an older
     version of it, so the other rules run on the survivors.  A null-key row
-    is tagged with every rule it fails.  Rows read are counted by one
-    aggregate over the key columns, before the de-duplication's shuffle.
+    is tagged with every rule it fails.
     """
     df = lineage_columns(source, source_system=source_system, load_ts=load_ts)
     if derived:
@@ -123,20 +136,18 @@ def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived
     if defaults:
         df = null_defaults(df, defaults)
     nk = _null_key_rule(keys)
-    read = source.select(*keys).count()
     deduped = deduplicate(df.filter(~nk["condition"]), keys, order_columns, keep="last")
     null_keyed = tag_errors(df.filter(nk["condition"]), [nk, *rules])
-    routed, _ = route_and_stage(deduped, rules, label, pre_tagged=null_keyed, measure=True)
-    return routed, read, read - routed.rows
+    return route_and_stage(deduped, rules, label, pre_tagged=null_keyed, measure=True, steps=steps)[0]
 
 
-def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[], LoadResult],
-         audit_path: str | None) -> LoadResult:
+def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[Steps], LoadResult],
+         audit_path: str | None, steps_path: str | None) -> LoadResult:
     """Run a load under its audit trail; append the trail to ``audit_path``
-    whether the load completes or fails."""
+    whether the load completes or fails.  ``steps_path``: see ``plans.steps``."""
     audit.start()
     try:
-        result = body()
+        result = body(Steps(spark, steps_path, audit.batch_id, on_reuse=audit.record_reused))
     except Exception as e:
         audit.fail(f"{type(e).__name__}: {e}")
         if audit_path:
@@ -149,19 +160,23 @@ def _run(spark: SparkSession, audit: AuditTrail, body: Callable[[], LoadResult],
 
 # --------------------------------------------------------------------------- PIP1
 def _merge_dimension(spark: SparkSession, table: str | BucketedTable, root: str | None, source: DataFrame,
-                     merge: Callable[[DataFrame, DataFrame], DataFrame],
+                     steps: Steps, merge: Callable[[DataFrame, DataFrame], DataFrame],
                      label: str) -> tuple[DataFrame, str, dict]:
     """Publish the next version of a dimension: (it read back, where it lies, what was written).
 
     A catalog table gets a whole new version folder; of a bucketed table only
     the buckets that hold a source key are read and written.
     """
-    if isinstance(table, BucketedTable):
-        written = table.merge(source, merge)
-        return table.read(), table.path, {"buckets_written": len(written)}
-    obs = _observation(label)
-    location = publish_version(spark, merge(spark.table(table), source), table, root, observation=obs)
-    return spark.table(table), location, {"version_rows": obs.get["rows"]}
+    def run() -> dict:
+        if isinstance(table, BucketedTable):
+            written = table.merge(source, merge)
+            return {"location": table.path, "written": {"buckets_written": len(written)}}
+        obs = _observation(label)
+        location = publish_version(spark, merge(spark.table(table), source), table, root, observation=obs)
+        return {"location": location, "written": {"version_rows": obs.get["rows"]}}
+
+    left = steps.once("publish", run)
+    return _dimension(spark, table), left["location"], left["written"]
 
 
 def _dimension(spark: SparkSession, table: str | BucketedTable) -> DataFrame:
@@ -181,7 +196,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
                         audit: AuditTrail | None = None,
-                        audit_path: str | None = None) -> LoadResult:
+                        audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read -> exit if empty -> derive -> null defaults -> route null keys ->
     de-duplicate -> other rules -> SCD2 merge -> publish -> audit.
 
@@ -191,22 +206,23 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
     """
     audit = audit or AuditTrail("dimension_scd2")
 
-    def body() -> LoadResult:
-        if source.isEmpty():
-            audit.record_read("source", 0)
+    def body(steps: Steps) -> LoadResult:
+        read = _read_count(source, keys, steps)
+        audit.record_read("source", read)
+        if not read:
             audit.complete(EMPTY_SOURCE)
             return LoadResult(audit, _dimension(spark, table))
-        routed, read, dropped = _prepare_dimension_source(
+        routed = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived,
             defaults=defaults, source_system=source_system, load_ts=load_ts, rules=rules,
-            label=f"{audit.pipeline}-route")
-        audit.record_read("source", read)
+            label=f"{audit.pipeline}-route", steps=steps)
+        dropped = read - routed.rows
         audit.record_dropped("dedup", dropped)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts)
+                        error_fraction=error_fraction, load_ts=load_ts, steps=steps)
         out, location, written = _merge_dimension(
-            spark, table, root, routed.valid,
+            spark, table, root, routed.valid, steps,
             lambda target, rows: scd2_merge(target, rows, keys, tracked, as_of, check_source_unique=False,
                                             broadcast_source=_bounded(routed)), "scd2")
         audit.record_write(_dimension_name(table), routed.valid_rows)
@@ -215,7 +231,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
                            "valid": routed.valid_rows, **written}, [routed.path])
 
-    return _run(spark, audit, body, audit_path)
+    return _run(spark, audit, body, audit_path, steps_path)
 
 
 # --------------------------------------------------------------------------- PIP2
@@ -227,27 +243,28 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str |
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
                         audit: AuditTrail | None = None,
-                        audit_path: str | None = None) -> LoadResult:
+                        audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read -> exit if empty -> derive -> route null keys -> de-duplicate -> rules -> SCD1 ->
     publish -> audit."""
     audit = audit or AuditTrail("dimension_scd1")
 
-    def body() -> LoadResult:
-        if source.isEmpty():
-            audit.record_read("source", 0)
+    def body(steps: Steps) -> LoadResult:
+        read = _read_count(source, keys, steps)
+        audit.record_read("source", read)
+        if not read:
             audit.complete(EMPTY_SOURCE)
             return LoadResult(audit, _dimension(spark, table))
-        routed, read, dropped = _prepare_dimension_source(
+        routed = _prepare_dimension_source(
             source, keys=keys, order_columns=order_columns, derived=derived, defaults=None,
             source_system=source_system, load_ts=load_ts, rules=rules,
-            label=f"{audit.pipeline}-route")
-        audit.record_read("source", read)
+            label=f"{audit.pipeline}-route", steps=steps)
+        dropped = read - routed.rows
         audit.record_dropped("dedup", dropped)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts)
+                        error_fraction=error_fraction, load_ts=load_ts, steps=steps)
         out, location, written = _merge_dimension(
-            spark, table, root, routed.valid,
+            spark, table, root, routed.valid, steps,
             lambda target, rows: scd1_merge(target, rows, keys, exclude_columns, check_source_unique=False,
                                             broadcast_source=_bounded(routed)), "scd1")
         audit.record_write(_dimension_name(table), routed.valid_rows)
@@ -256,7 +273,7 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str |
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
                            "valid": routed.valid_rows, **written}, [routed.path])
 
-    return _run(spark, audit, body, audit_path)
+    return _run(spark, audit, body, audit_path, steps_path)
 
 
 # --------------------------------------------------------------------------- PIP3
@@ -275,7 +292,13 @@ def _last_key(spark: SparkSession, path: str, key: str) -> int:
         return int(state.agg(F.max("last_key")).first()[0] or 0)
     if not path_exists(spark, path):
         return 0
-    return int(spark.read.parquet(path).agg(F.max(key)).first()[0] or 0)
+    try:
+        target = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return 0  # no rows yet: another load's first range has made the folder
+    return int(target.agg(F.max(key)).first()[0] or 0)
 
 
 def _given_out(spark: SparkSession, path: str, key: str) -> int:
@@ -310,17 +333,20 @@ def _read_target(spark: SparkSession, path: str, written: DataFrame) -> DataFram
         return spark.createDataFrame([], written.schema)
 
 
-def _append_valid(spark: SparkSession, valid: DataFrame, routed: Routed, path: str,
+def _append_valid(spark: SparkSession, valid: DataFrame, routed: Routed, path: str, steps: Steps,
                   partition_by: Sequence[str] | None, replace_partitions: bool = False,
                   batch_id: str | None = None) -> DataFrame:
     """Append the valid rows, if there are any, and read the target back; with ``batch_id`` as a published batch."""
-    if batch_id is not None:
-        if routed.valid_rows:
+    def write() -> dict:
+        if batch_id is not None:
             append_batch(valid, path, batch_id, partition_by=partition_by)
-        return read_batches(spark, path, valid.schema)
+        else:
+            append(valid, path, partition_by=partition_by, replace_partitions=replace_partitions)
+        return {"rows": routed.valid_rows}
+
     if routed.valid_rows:
-        append(valid, path, partition_by=partition_by, replace_partitions=replace_partitions)
-    return _read_target(spark, path, valid)
+        steps.once("write", write)
+    return read_batches(spark, path, valid.schema) if batch_id is not None else _read_target(spark, path, valid)
 
 
 def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
@@ -330,7 +356,8 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
               source_system: str = FACT_SYSTEM, load_ts=None, error_path: str | None = None,
               error_limit: int | None = None, error_fraction: float | None = None,
               replace_partitions: bool = False, partition_by: Sequence[str] | None = None, once: bool = False,
-              audit: AuditTrail | None = None, audit_path: str | None = None) -> LoadResult:
+              audit: AuditTrail | None = None, audit_path: str | None = None,
+              steps_path: str | None = None) -> LoadResult:
     """Two reads -> inner join -> dimension lookups -> derive (+ ``date_sk``) ->
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
     by ``date_sk`` (or ``partition_by``; empty: not) -> audit.
@@ -348,7 +375,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     """
     audit = audit or AuditTrail("fact_load")
 
-    def body() -> LoadResult:
+    def body(steps: Steps) -> LoadResult:
         obs_d, obs_p = _observation("detail"), _observation("primary")
         marker = "_primary_hit"
         d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
@@ -365,26 +392,27 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                                load_ts=load_ts)
         miss = [{"name": f"missing_{n}", "condition": ~all_hits([n]),
                  "message": f"no {n} dimension row"} for n in names]
-        routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route",
-                                    drop_when=F.col(marker).isNull())
+        routed, found = route_and_stage(
+            fact, [*miss, *rules], f"{audit.pipeline}-route", drop_when=F.col(marker).isNull(), steps=steps,
+            also=lambda: {"detail": _observed(obs_d, detail), "primary": _observed(obs_p, primary)})
         joined_rows = routed.rows - routed.dropped_rows
-        read = {"detail": _observed(obs_d, detail), "primary": _observed(obs_p, primary)}
+        read = {name: found[name] for name in ("detail", "primary")}
         for name, rows in read.items():
             audit.record_read(name, rows)
         audit.record_read("joined", joined_rows, stage="join")
         audit.record_dropped("join", routed.dropped_rows, "detail_without_primary")
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts, total=joined_rows,
+                        error_fraction=error_fraction, load_ts=load_ts, steps=steps, total=joined_rows,
                         drop=[marker], once=once)
         valid = routed.valid.drop(marker, *[f"hit_{n}" for n in names])
         offset = 0
         if routed.valid_rows and not (once and published(spark, path, audit.batch_id)):
-            run_id = audit.batch_id if once else f"{audit.batch_id}:{uuid.uuid4().hex}"
+            run_id = audit.batch_id if once or steps_path else f"{audit.batch_id}:{uuid.uuid4().hex}"
             offset = reserve_keys(spark, path, run_id, key_column, routed.valid_rows)
         keyed = assign_surrogate_keys(valid, key_column, offset=offset)
         parts = partition_by if partition_by is not None else ["date_sk"] if date_column else None
-        out = _append_valid(spark, keyed, routed, path, parts, replace_partitions, audit.batch_id if once else None)
+        out = _append_valid(spark, keyed, routed, path, steps, parts, replace_partitions, audit.batch_id if once else None)
         audit.record_write("fact_table", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
@@ -392,7 +420,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                            "errors": routed.error_rows, "written": routed.valid_rows},
                           [routed.path])
 
-    return _run(spark, audit, body, audit_path)
+    return _run(spark, audit, body, audit_path, steps_path)
 
 
 def _observed(obs: Observation, df: DataFrame) -> int:
@@ -412,7 +440,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                    error_limit: int | None = 50, error_fraction: float | None = None,
                    partition_by: Sequence[str] | None = None, once: bool = False,
                    audit: AuditTrail | None = None,
-                   audit_path: str | None = None) -> LoadResult:
+                   audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
     conversion failures, user rules) -> error limit -> append -> audit.
 
@@ -423,7 +451,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
     """
     audit = audit or AuditTrail("flat_file_ingest")
 
-    def body() -> LoadResult:
+    def body(steps: Steps) -> LoadResult:
         if fixed_width:
             raw = read_fixed_width(spark, files, fixed_width, encoding=encoding, skip_pattern=skip_pattern,
                                    source_file=True)
@@ -435,20 +463,21 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
             raw = lineage_columns(raw, load_ts=load_ts, source_file=True)
             layout, extra = corrupt_rule(), CORRUPT
         conv, conv_rules = type_conversions(raw, conversions)
-        routed, _ = route_and_stage(conv, [layout, *conv_rules, *rules], f"{audit.pipeline}-route")
+        routed, _ = route_and_stage(conv, [layout, *conv_rules, *rules], f"{audit.pipeline}-route", steps=steps)
         audit.record_read("file", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts, once=once)
+                        error_fraction=error_fraction, load_ts=load_ts, steps=steps, once=once)
         valid = drop_raw_columns(routed.valid).drop(extra)
-        out = _append_valid(spark, valid, routed, path, partition_by, batch_id=audit.batch_id if once else None)
+        out = _append_valid(spark, valid, routed, path, steps, partition_by,
+                            batch_id=audit.batch_id if once else None)
         audit.record_write("target", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
                           {"read": routed.rows, "errors": routed.error_rows,
                            "written": routed.valid_rows}, [routed.path])
 
-    return _run(spark, audit, body, audit_path)
+    return _run(spark, audit, body, audit_path, steps_path)
 
 
 # --------------------------------------------------------------------------- PIP5
@@ -458,25 +487,26 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
                  load_ts=None, error_path: str | None = None, error_limit: int | None = None,
                  error_fraction: float | None = None, once: bool = False,
                  audit: AuditTrail | None = None,
-                 audit_path: str | None = None) -> LoadResult:
+                 audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """User steps (``DataFrame.transform`` functions, in order) -> rules ->
     append -> audit.  ``once``: as in ``load_fact``."""
     audit = audit or AuditTrail("generic")
 
-    def body() -> LoadResult:
+    def body(done: Steps) -> LoadResult:
         df = source
         for step in steps:
             df = df.transform(step)
-        routed, _ = route_and_stage(df, rules, f"{audit.pipeline}-route")
+        routed, _ = route_and_stage(df, rules, f"{audit.pipeline}-route", steps=done)
         audit.record_read("source", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
-                        error_fraction=error_fraction, load_ts=load_ts, once=once)
-        out = _append_valid(spark, routed.valid, routed, path, partition_by, batch_id=audit.batch_id if once else None)
+                        error_fraction=error_fraction, load_ts=load_ts, steps=done, once=once)
+        out = _append_valid(spark, routed.valid, routed, path, done, partition_by,
+                            batch_id=audit.batch_id if once else None)
         audit.record_write("target", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
                           {"read": routed.rows, "errors": routed.error_rows,
                            "written": routed.valid_rows}, [routed.path])
 
-    return _run(spark, audit, body, audit_path)
+    return _run(spark, audit, body, audit_path, steps_path)

@@ -12,7 +12,7 @@ same write; the outputs are partition-pruned reads of it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loadkit.operators.lookups import row_bytes
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, is_error_row, tag_errors
+from loadkit.plans.steps import Steps
 from loadkit.session import scratch_path
 
 ROUTE = "load_route"
@@ -37,27 +38,36 @@ def observed(obs: Observation) -> dict | None:
 
 
 def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = None,
-          metrics: Sequence[Column] = (), keep: Column | None = None) -> tuple[DataFrame, dict]:
+          metrics: Sequence[Column] = (), keep: Column | None = None, steps: Steps | None = None,
+          also: Callable[[], dict] | None = None) -> tuple[DataFrame, dict]:
     """Write ``df`` under the shared folder and read it back.
 
     Returns (frame, metrics) where metrics were observed on the write itself,
     ``path`` among them.  Rows outside ``keep`` are counted but not written.
+    ``also``: more metrics, asked for when the write is done.  With ``steps``
+    a table that an earlier run of the batch has staged is taken over, metrics
+    included, and ``df`` is not run.
     """
     spark = df.sparkSession
     schema = df.schema  # a write of no rows may leave no file to take it from
-    path = scratch_path(spark, f"stage-{label}")
-    obs = Observation(f"{label}_{path.rsplit('-', 1)[-1]}")
-    out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *metrics)
-    if keep is not None:
-        out = out.filter(keep)
-    w = out.write.mode("error").format("parquet")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
-    found = observed(obs)
-    if found is None:
-        found = df.agg(F.count(F.lit(1)).alias("rows"), *metrics).first().asDict()
-    return spark.read.schema(schema).parquet(path), {**found, "path": path}
+
+    def run() -> dict:
+        path = scratch_path(spark, f"stage-{label}")
+        obs = Observation(f"{label}_{path.rsplit('-', 1)[-1]}")
+        out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *metrics)
+        if keep is not None:
+            out = out.filter(keep)
+        w = out.write.mode("error").format("parquet")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.save(path)
+        found = observed(obs)
+        if found is None:
+            found = df.agg(F.count(F.lit(1)).alias("rows"), *metrics).first().asDict()
+        return {**found, **(also() if also else {}), "path": path}
+
+    found = steps.staged("stage", schema.simpleString(), run) if steps else run()
+    return spark.read.schema(schema).parquet(found["path"]), found
 
 
 @dataclass
@@ -80,7 +90,8 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                     pre_tagged: DataFrame | None = None,
                     drop_when: Column | None = None,
                     extra_metrics: Sequence[Column] = (),
-                    measure: bool = False) -> tuple[Routed, dict]:
+                    measure: bool = False, steps: Steps | None = None,
+                    also: Callable[[], dict] | None = None) -> tuple[Routed, dict]:
     """Tag ``df`` with ``rules``, stage it, and split it into valid and error rows.
 
     ``pre_tagged``: rows already carrying error arrays (e.g. null-key rows
@@ -88,6 +99,7 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
     ``drop_when``: rows that belong to neither output (e.g. detail rows an
     inner join would drop); they are counted, not staged.
     ``measure``: also sum the valid rows' bytes (for a later broadcast).
+    ``steps``, ``also``: see ``stage``.
     """
     columns = list(df.columns)
     if rules:
@@ -106,7 +118,7 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
         size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
         extra.append(F.sum(size).alias("valid_bytes"))
     staged, metrics = stage(
-        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped",
+        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped", steps=steps, also=also,
         metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
                  F.count_if(F.col(ROUTE) == "dropped").alias("dropped"), *extra])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)

@@ -57,6 +57,14 @@ def test_keys_go_on_from_earlier_state(spark, tmp_shared):
     assert loads.reserve_keys(spark, tmp_shared, "a", "sk", 5) == 41
 
 
+def test_keys_of_a_folder_without_rows(spark, tmp_shared):
+    ledger.create_entry(spark, f"{tmp_shared}/t/_other/x", {})  # what a load that runs at once may have made
+    assert loads._last_key(spark, f"{tmp_shared}/t", "sk") == 0
+    spark.range(3).write.parquet(f"{tmp_shared}/u")
+    with pytest.raises(Exception, match="sk"):
+        loads._last_key(spark, f"{tmp_shared}/u", "sk")
+
+
 def test_a_batch_lands_once(spark, tmp_shared):
     df = spark.range(10).withColumn("d", F.col("id") % 3)
     batches.write_batch(df, tmp_shared, partition_by=["d"])  # died before its entry
