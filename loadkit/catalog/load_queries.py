@@ -20,6 +20,7 @@ from loadkit.operators import routing, scd, transforms
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, ErrorLimitExceeded
 from loadkit.plans import loads
 from loadkit.plans.audit import AuditTrail
+from loadkit.plans.high_water import extract_new
 from loadkit.session import scratch_path
 from loadkit.sinks import batches, buckets
 from loadkit.sinks import tables as sinks
@@ -659,6 +660,44 @@ def q_restartable_ingest(spark, sf):
     return spark.read.parquet(f"{root}/target").select(*ORDERS_SCHEMA.names)
 
 
+HIGH_WATER_CUTS = ("1994-01-01", "1996-01-01", "2100-01-01")
+HIGH_WATER_DAYS = 60
+
+
+@query("high_water_extract", f"""
+WITH v AS (SELECT o_orderkey, o_orderdate AS modified, o_orderkey % 5 = 0 AS late FROM orders
+           WHERE o_orderdate IS NOT NULL),
+r1 AS (SELECT * FROM v WHERE modified < TIMESTAMP '{HIGH_WATER_CUTS[0]}' AND NOT late),
+h1 AS (SELECT max(modified) AS high FROM r1),
+r2 AS (SELECT v.* FROM v LEFT JOIN h1 ON true
+       WHERE modified < TIMESTAMP '{HIGH_WATER_CUTS[1]}' AND (NOT late OR modified < TIMESTAMP '{HIGH_WATER_CUTS[0]}')
+         AND coalesce(modified >= high - INTERVAL {HIGH_WATER_DAYS} DAY, true)
+         AND o_orderkey NOT IN (SELECT o_orderkey FROM r1)),
+h2 AS (SELECT max(modified) AS high FROM (SELECT modified FROM r1 UNION ALL SELECT modified FROM r2)),
+r3 AS (SELECT v.* FROM v LEFT JOIN h2 ON true
+       WHERE coalesce(modified >= high - INTERVAL {HIGH_WATER_DAYS} DAY, true)
+         AND o_orderkey NOT IN (SELECT o_orderkey FROM r1 UNION ALL SELECT o_orderkey FROM r2))
+SELECT o_orderkey, modified, 1 AS run FROM r1 UNION ALL SELECT o_orderkey, modified, 2 FROM r2
+UNION ALL SELECT o_orderkey, modified, 3 FROM r3""")
+def q_high_water_extract(spark, sf):
+    """Three extracts of a growing source; every fifth order arrives one extract late. Before the second, a load fails
+    and commits nothing."""
+    state = scratch_path(spark, "high-water")
+    v = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("modified"))
+    first, second, third = (F.col("modified") < _ntz(f"{cut} 00:00:00") for cut in HIGH_WATER_CUTS)
+    late = F.col("o_orderkey") % 5 == 0
+    arrived = [v.filter(first & ~late), v.filter(second & (~late | first)), v.filter(third)]
+    out = []
+    for run, rows in enumerate(arrived, 1):
+        for committed in (False, True) if run == 2 else (True,):
+            got = extract_new(rows, state, "orders", keys=["o_orderkey"], modified_column="modified",
+                              lookback_days=HIGH_WATER_DAYS)
+            if committed:
+                got.commit()
+        out.append(got.rows.select("o_orderkey", "modified", F.lit(run).alias("run")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("restartable_ingest_two_sources", """
 SELECT *, 1 AS times FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00'
 UNION ALL SELECT *, 2 FROM orders WHERE NOT COALESCE(o_orderdate < TIMESTAMP '1995-01-01 00:00:00', false)""")
