@@ -27,6 +27,9 @@ from loadkit.llm.secrets import redact
 from loadkit.llm.tier_packing import pack_tiers
 from loadkit.llm.toxicity import THRESHOLD, toxicity_scores
 
+#: Ids packed together: a quarter of the operator's own block, so that the last stage's workers hold less at a time.
+PACK_BLOCK = 1 << 20
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -71,7 +74,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_tiers(docs)
+    return pack_tiers(docs, block=PACK_BLOCK)
 
 
 STAGES = [
