@@ -574,7 +574,7 @@ def q_generic_load(spark, sf):
     return result.output
 
 
-def refused_load(spark, sf, limit):
+def refused_load(spark, sf, limit, **more):
     """Load the customers, then a batch with more bad rows than ``limit``:
     (the target's rows after the refusal, the audit status)."""
     root = scratch_path(spark, "refused")
@@ -584,7 +584,7 @@ def refused_load(spark, sf, limit):
     audit = AuditTrail("generic", batch_id=I.BATCH_ID)
     try:
         loads.load_generic(spark, good, rules=[{"name": "negative_balance", "condition": F.col("c_acctbal") < 0}],
-                           error_limit=limit, audit=audit, **kw)
+                           error_limit=limit, audit=audit, **kw, **more)
     except routing.ErrorLimitExceeded:
         pass
     return spark.read.parquet(f"{root}/target").withColumn("load_status", F.lit(audit.status))
@@ -608,6 +608,17 @@ def q_fail_on_error_refused_load(spark, sf):
     return refused_load(spark, sf, 0)
 
 
+@query("early_stop_refused_load", _refused_sql(5))
+def q_early_stop_refused_load(spark, sf):
+    return refused_load(spark, sf, 5, stop_early=True)
+
+
+@query("early_stop_complete_load", _refused_sql(1_000_000_000))
+def q_early_stop_complete_load(spark, sf):
+    """Watched all the way, and within its limit: the same rows as a load that is not watched."""
+    return refused_load(spark, sf, 1_000_000_000, stop_early=True)
+
+
 @query("all_rejected_generic_load", """
 SELECT 'source' AS object, (SELECT count(*) FROM events) AS "rows", 'ok' AS status
 UNION ALL SELECT 'error_rows', (SELECT count(*) FROM events), 'ok' UNION ALL SELECT 'target', 0, 'ok'

@@ -438,7 +438,7 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
                    rules: Sequence[dict] = (), delimiter: str = ",", header: bool = True,
                    encoding: str = "UTF-8", load_ts=None, error_path: str | None = None,
                    error_limit: int | None = 50, error_fraction: float | None = None,
-                   partition_by: Sequence[str] | None = None, once: bool = False,
+                   partition_by: Sequence[str] | None = None, once: bool = False, stop_early: bool = False,
                    audit: AuditTrail | None = None,
                    audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read (all strings) -> lineage -> convert -> rules (malformed lines,
@@ -448,6 +448,9 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
     (name, width; ``skip_pattern`` drops header lines).  The default limit of
     50 bad rows is the file job's skip limit; pass ``error_limit=None`` and/or
     ``error_fraction`` to change it.  ``once``: as in ``load_fact``.
+    ``stop_early``: cancel the staging write as soon as its tasks have met
+    more bad rows than ``error_limit``, at the price of one boolean column
+    that goes through Python.
     """
     audit = audit or AuditTrail("flat_file_ingest")
 
@@ -463,7 +466,8 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
             raw = lineage_columns(raw, load_ts=load_ts, source_file=True)
             layout, extra = corrupt_rule(), CORRUPT
         conv, conv_rules = type_conversions(raw, conversions)
-        routed, _ = route_and_stage(conv, [layout, *conv_rules, *rules], f"{audit.pipeline}-route", steps=steps)
+        routed, _ = route_and_stage(conv, [layout, *conv_rules, *rules], f"{audit.pipeline}-route", steps=steps,
+                                    stop_over=error_limit if stop_early else None)
         audit.record_read("file", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
@@ -485,18 +489,19 @@ def load_generic(spark: SparkSession, source: DataFrame, *, path: str,
                  steps: Sequence[Callable[[DataFrame], DataFrame]] = (),
                  rules: Sequence[dict] = (), partition_by: Sequence[str] | None = None,
                  load_ts=None, error_path: str | None = None, error_limit: int | None = None,
-                 error_fraction: float | None = None, once: bool = False,
+                 error_fraction: float | None = None, once: bool = False, stop_early: bool = False,
                  audit: AuditTrail | None = None,
                  audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """User steps (``DataFrame.transform`` functions, in order) -> rules ->
-    append -> audit.  ``once``: as in ``load_fact``."""
+    append -> audit.  ``once``: as in ``load_fact``; ``stop_early``: as in ``load_flat_file``."""
     audit = audit or AuditTrail("generic")
 
     def body(done: Steps) -> LoadResult:
         df = source
         for step in steps:
             df = df.transform(step)
-        routed, _ = route_and_stage(df, rules, f"{audit.pipeline}-route", steps=done)
+        routed, _ = route_and_stage(df, rules, f"{audit.pipeline}-route", steps=done,
+                                    stop_over=error_limit if stop_early else None)
         audit.record_read("source", routed.rows)
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,

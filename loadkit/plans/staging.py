@@ -13,6 +13,7 @@ same write; the outputs are partition-pruned reads of it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loadkit.operators.lookups import row_bytes
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, is_error_row, tag_errors
+from loadkit.plans.early_stop import EarlyStop
 from loadkit.plans.steps import Steps
 from loadkit.session import scratch_path
 
@@ -39,14 +41,14 @@ def observed(obs: Observation) -> dict | None:
 
 def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = None,
           metrics: Sequence[Column] = (), keep: Column | None = None, steps: Steps | None = None,
-          also: Callable[[], dict] | None = None) -> tuple[DataFrame, dict]:
+          also: Callable[[], dict] | None = None, stop: EarlyStop | None = None) -> tuple[DataFrame, dict]:
     """Write ``df`` under the shared folder and read it back.
 
     Returns (frame, metrics) where metrics were observed on the write itself,
     ``path`` among them.  Rows outside ``keep`` are counted but not written.
     ``also``: more metrics, asked for when the write is done.  With ``steps``
     a table that an earlier run of the batch has staged is taken over, metrics
-    included, and ``df`` is not run.
+    included, and ``df`` is not run.  ``stop`` watches over the write.
     """
     spark = df.sparkSession
     schema = df.schema  # a write of no rows may leave no file to take it from
@@ -60,7 +62,8 @@ def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = Non
         w = out.write.mode("error").format("parquet")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.save(path)
+        with stop.watching() if stop else nullcontext():
+            w.save(path)
         found = observed(obs)
         if found is None:
             found = df.agg(F.count(F.lit(1)).alias("rows"), *metrics).first().asDict()
@@ -91,7 +94,8 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                     drop_when: Column | None = None,
                     extra_metrics: Sequence[Column] = (),
                     measure: bool = False, steps: Steps | None = None,
-                    also: Callable[[], dict] | None = None) -> tuple[Routed, dict]:
+                    also: Callable[[], dict] | None = None,
+                    stop_over: int | None = None) -> tuple[Routed, dict]:
     """Tag ``df`` with ``rules``, stage it, and split it into valid and error rows.
 
     ``pre_tagged``: rows already carrying error arrays (e.g. null-key rows
@@ -100,6 +104,8 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
     inner join would drop); they are counted, not staged.
     ``measure``: also sum the valid rows' bytes (for a later broadcast).
     ``steps``, ``also``: see ``stage``.
+    ``stop_over``: cancel the write once more rows than this are error rows
+    (``early_stop``) and raise ``ErrorLimitExceeded``.
     """
     columns = list(df.columns)
     if rules:
@@ -109,7 +115,8 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                                  ERROR_MESSAGES: F.array().cast("array<string>")})
     if pre_tagged is not None:
         tagged = tagged.unionByName(pre_tagged.select(*tagged.columns))
-    route = F.when(is_error_row(), F.lit("error")).otherwise(F.lit("valid"))
+    stop = None if stop_over is None else EarlyStop(df.sparkSession, stop_over)
+    route = F.when(stop.counted(is_error_row()) if stop else is_error_row(), F.lit("error")).otherwise(F.lit("valid"))
     if drop_when is not None:
         route = F.when(F.coalesce(drop_when, F.lit(False)), F.lit("dropped")).otherwise(route)
     tagged = tagged.withColumn(ROUTE, route)
@@ -118,7 +125,7 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
         size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
         extra.append(F.sum(size).alias("valid_bytes"))
     staged, metrics = stage(
-        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped", steps=steps, also=also,
+        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped", steps=steps, also=also, stop=stop,
         metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
                  F.count_if(F.col(ROUTE) == "dropped").alias("dropped"), *extra])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)
