@@ -22,7 +22,7 @@ from loadkit.plans import loads
 from loadkit.plans.audit import AuditTrail
 from loadkit.plans.high_water import extract_new
 from loadkit.session import scratch_path
-from loadkit.sinks import batches, buckets
+from loadkit.sinks import batches, buckets, compaction
 from loadkit.sinks import tables as sinks
 from loadkit.sources import readers
 from loadkit.streaming.ingest import ingest_new_files
@@ -116,6 +116,21 @@ def q_append_batches_rerun(spark, sf):
     return batches.read_batches(spark, path, c.schema)
 
 
+@query("compaction_after_appends", "SELECT *, CAST(o_orderdate AS DATE) AS order_day FROM orders")
+def q_compaction_after_appends(spark, sf):
+    """Twelve batches, compacted after eight and again at the end: the same rows, in fewer folders."""
+    path = scratch_path(spark, "compacted")
+    orders = table(spark, sf, "orders").withColumn("order_day", F.to_date("o_orderdate"))
+    for k in range(12):
+        rows = orders.filter(F.pmod(F.coalesce("o_orderkey", F.lit(0)), F.lit(12)) == k)
+        batches.append_batch(rows, path, f"batch-{k}")
+        if k in (7, 11):
+            compaction.compact(spark, path, orders.schema)
+    if len(batches.live_folders(spark, path)) > 6:
+        raise RuntimeError("the batches were not compacted")
+    return batches.read_batches(spark, path, orders.schema)
+
+
 ORDER_RULES_SQL = [
     ("low_value", "o_totalprice < 5000", "order value below 5000"),
     ("urgent_pending", "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'",
