@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from loadkit.catalog import inputs as I
 from loadkit.catalog.inputs import table
-from loadkit.operators import checks, lookups, routing, scd, transforms
+from loadkit.operators import checks, drift, lookups, routing, scd, transforms
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES
+from loadkit.session import scratch_path
 from loadkit.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,6 +376,22 @@ def q_schema_check(spark, sf):
     return checks.schema_check(o, ORDERS_EXPECTED)
 
 
+@query("schema_drift_between_files", """
+SELECT 'o_custkey' AS column_name, 'bigint' AS expected_type, 'string' AS file_type, 'type_differs' AS status,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', NULL, 'missing', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
+UNION ALL SELECT 'o_note', NULL, 'int', 'unexpected', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders""")
+def q_schema_drift_between_files(spark, sf):
+    o = table(spark, sf, "orders")
+    folder = scratch_path(spark, "schema-drift")
+    feeds = {"F": o, "O": o.withColumn("o_custkey", F.col("o_custkey").cast("string")),
+             "P": o.drop("o_orderpriority").withColumn("o_note", F.lit(1))}
+    for status, feed in feeds.items():
+        feed.filter(F.col("o_orderstatus") == status).write.parquet(f"{folder}/{status}")
+    found = drift.schema_drift(spark, [f"{folder}/{status}" for status in feeds], o.schema)
+    return found.groupBy("column_name", "expected_type", "file_type", "status").agg(F.sum("file_rows").alias("n"))
+
+
 @query("null_check", f"""
 WITH g AS ({I.CUSTOMER_WITH_GAPS_SQL})
 SELECT 'c_custkey' AS column_name, count(*) AS row_count,
