@@ -450,6 +450,14 @@ def q_stage_row_counts_repeated_primary(spark, sf):
     return _stage_counts(spark, run_fact_load(spark, sf, twice=True).metrics)
 
 
+@query("read_counts_per_file", """
+SELECT 'detail' AS source, 'lineitem.parquet' AS file, (SELECT count(*) FROM lineitem) AS n
+UNION ALL SELECT 'primary', 'orders.parquet', (SELECT count(*) FROM orders)""")
+def q_read_counts_per_file(spark, sf):
+    file = F.regexp_extract("file_path", "([^/]+[.]parquet)(/[^/]*)?$", 1).alias("file")
+    return run_fact_load(spark, sf).read_files.groupBy("source", file).agg(F.sum("rows").alias("n"))
+
+
 @query("fact_surrogate_keys", f"""
 WITH f AS ({FACT_JOINED_SQL})
 SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 END AS least, nullif(count(*), 0) AS most,

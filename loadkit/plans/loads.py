@@ -43,7 +43,8 @@ from loadkit.operators.transforms import (
     type_conversions,
 )
 from loadkit.plans.audit import AuditTrail
-from loadkit.plans.staging import Routed, observed, route_and_stage
+from loadkit.plans.reads import counted_read, rows_per_file
+from loadkit.plans.staging import Routed, route_and_stage
 from loadkit.plans.steps import Steps
 from loadkit.session import path_exists
 from loadkit.sinks.batches import append_batch, published, read_batches
@@ -67,6 +68,8 @@ class LoadResult:
     metrics: dict = field(default_factory=dict)
     #: Staged tables under the shared folder; ``output`` never reads them, so they can go.
     staged: list[str] = field(default_factory=list)
+    #: (source, file_path, rows) of the input files that had rows (``plans.reads``).
+    read_files: DataFrame | None = None
 
 
 EMPTY_SOURCE = "the source had no rows"
@@ -118,10 +121,6 @@ def _null_key_rule(keys: Sequence[str]) -> dict:
     return {"name": "null_key", "condition": cond, "message": "a key column is null"}
 
 
-def _read_count(source: DataFrame, keys: Sequence[str], steps: Steps) -> int:
-    return steps.once("read", lambda: {"rows": source.select(*keys).count()})["rows"]
-
-
 def _prepare_dimension_source(source: DataFrame, *, keys, order_columns, derived, defaults,
                               source_system, load_ts, rules, label, steps: Steps):
     """Null keys routed first (they skip the shuffle), then de-duplicate, then rules.
@@ -195,7 +194,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
                         source_system: str = DIMENSION_SYSTEM, load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
-                        audit: AuditTrail | None = None,
+                        audit: AuditTrail | None = None, snapshot: bool | None = None,
                         audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read -> exit if empty -> derive -> null defaults -> route null keys ->
     de-duplicate -> other rules -> SCD2 merge -> publish -> audit.
@@ -203,17 +202,19 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
     ``table`` must exist (its current version is the merge target): a catalog
     table, of which ``root`` gets a whole new version, or a ``BucketedTable``,
     of which only the buckets that hold a source key are read and rewritten.
+    ``snapshot``: see ``plans.reads.counted_read``.
     """
     audit = audit or AuditTrail("dimension_scd2")
 
     def body(steps: Steps) -> LoadResult:
-        read = _read_count(source, keys, steps)
+        taken = counted_read(source, "source", steps, snapshot=snapshot)
+        read = taken.rows
         audit.record_read("source", read)
         if not read:
             audit.complete(EMPTY_SOURCE)
-            return LoadResult(audit, _dimension(spark, table))
+            return LoadResult(audit, _dimension(spark, table), staged=taken.staged)
         routed = _prepare_dimension_source(
-            source, keys=keys, order_columns=order_columns, derived=derived,
+            taken.frame, keys=keys, order_columns=order_columns, derived=derived,
             defaults=defaults, source_system=source_system, load_ts=load_ts, rules=rules,
             label=f"{audit.pipeline}-route", steps=steps)
         dropped = read - routed.rows
@@ -229,7 +230,7 @@ def load_dimension_scd2(spark: SparkSession, source: DataFrame, *, table: str |
         audit.complete()
         return LoadResult(audit, out, location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, **written}, [routed.path])
+                           "valid": routed.valid_rows, **written}, [*taken.staged, routed.path], taken.files)
 
     return _run(spark, audit, body, audit_path, steps_path)
 
@@ -242,20 +243,21 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str |
                         source_system: str = DIMENSION_SYSTEM, load_ts=None,
                         error_path: str | None = None, error_limit: int | None = None,
                         error_fraction: float | None = None,
-                        audit: AuditTrail | None = None,
+                        audit: AuditTrail | None = None, snapshot: bool | None = None,
                         audit_path: str | None = None, steps_path: str | None = None) -> LoadResult:
     """Read -> exit if empty -> derive -> route null keys -> de-duplicate -> rules -> SCD1 ->
-    publish -> audit."""
+    publish -> audit.  ``snapshot``: see ``plans.reads.counted_read``."""
     audit = audit or AuditTrail("dimension_scd1")
 
     def body(steps: Steps) -> LoadResult:
-        read = _read_count(source, keys, steps)
+        taken = counted_read(source, "source", steps, snapshot=snapshot)
+        read = taken.rows
         audit.record_read("source", read)
         if not read:
             audit.complete(EMPTY_SOURCE)
-            return LoadResult(audit, _dimension(spark, table))
+            return LoadResult(audit, _dimension(spark, table), staged=taken.staged)
         routed = _prepare_dimension_source(
-            source, keys=keys, order_columns=order_columns, derived=derived, defaults=None,
+            taken.frame, keys=keys, order_columns=order_columns, derived=derived, defaults=None,
             source_system=source_system, load_ts=load_ts, rules=rules,
             label=f"{audit.pipeline}-route", steps=steps)
         dropped = read - routed.rows
@@ -271,7 +273,7 @@ def load_dimension_scd1(spark: SparkSession, source: DataFrame, *, table: str |
         audit.complete()
         return LoadResult(audit, out, location,
                           {"read": read, "dropped": dropped, "errors": routed.error_rows,
-                           "valid": routed.valid_rows, **written}, [routed.path])
+                           "valid": routed.valid_rows, **written}, [*taken.staged, routed.path], taken.files)
 
     return _run(spark, audit, body, audit_path, steps_path)
 
@@ -356,7 +358,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
               source_system: str = FACT_SYSTEM, load_ts=None, error_path: str | None = None,
               error_limit: int | None = None, error_fraction: float | None = None,
               replace_partitions: bool = False, partition_by: Sequence[str] | None = None, once: bool = False,
-              audit: AuditTrail | None = None, audit_path: str | None = None,
+              snapshot: bool | None = None, audit: AuditTrail | None = None, audit_path: str | None = None,
               steps_path: str | None = None) -> LoadResult:
     """Two reads -> inner join -> dimension lookups -> derive (+ ``date_sk``) ->
     rules (a lookup miss is an error) -> surrogate key -> append partitioned
@@ -365,7 +367,8 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     The join runs as a left join with a marker on the primary side; detail
     rows without a primary are counted by the staging write (in neither
     output, as in an inner join) and recorded as dropped.  The two reads are
-    counted on their scans, so a primary that repeats keys does not change
+    counted by themselves (``plans.reads``; ``snapshot`` goes there), so
+    neither a primary that repeats keys nor a task that runs again changes
     the detail count.  Surrogate keys continue from the last one given out
     for ``path``.  ``replace_partitions`` overwrites the date partitions the
     batch has rows for, so that a repeated batch does not double them.
@@ -376,12 +379,11 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
     audit = audit or AuditTrail("fact_load")
 
     def body(steps: Steps) -> LoadResult:
-        obs_d, obs_p = _observation("detail"), _observation("primary")
         marker = "_primary_hit"
-        d = detail.observe(obs_d, F.count(F.lit(1)).alias("rows"))
-        p = primary.observe(obs_p, F.count(F.lit(1)).alias("rows")).withColumn(
-            marker, F.lit(True))
-        joined = merge_join(d, p, on=join_on, how="left")
+        d, p = (counted_read(df, name, steps, step=f"read-{name}", snapshot=snapshot)
+                for name, df in (("detail", detail), ("primary", primary)))
+        read = {"detail": d.rows, "primary": p.rows}
+        joined = merge_join(d.frame, p.frame.withColumn(marker, F.lit(True)), on=join_on, how="left")
         names = [spec["name"] for spec in lookups]
         if lookups:
             joined = multi_lookup(joined, lookups)
@@ -392,11 +394,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
                                load_ts=load_ts)
         miss = [{"name": f"missing_{n}", "condition": ~all_hits([n]),
                  "message": f"no {n} dimension row"} for n in names]
-        routed, found = route_and_stage(
-            fact, [*miss, *rules], f"{audit.pipeline}-route", drop_when=F.col(marker).isNull(), steps=steps,
-            also=lambda: {"detail": _observed(obs_d, detail), "primary": _observed(obs_p, primary)})
+        routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route",
+                                    drop_when=F.col(marker).isNull(), steps=steps)
         joined_rows = routed.rows - routed.dropped_rows
-        read = {name: found[name] for name in ("detail", "primary")}
         for name, rows in read.items():
             audit.record_read(name, rows)
         audit.record_read("joined", joined_rows, stage="join")
@@ -418,18 +418,11 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         return LoadResult(audit, out, path,
                           {**read, "joined": joined_rows, "dropped": routed.dropped_rows,
                            "errors": routed.error_rows, "written": routed.valid_rows},
-                          [routed.path])
+                          [*d.staged, *p.staged, routed.path], d.files.unionByName(p.files))
 
     return _run(spark, audit, body, audit_path, steps_path)
 
 
-def _observed(obs: Observation, df: DataFrame) -> int:
-    """Rows counted on a scan; a scan that the plan left out (an empty other
-    side makes it needless) is counted by itself."""
-    found = observed(obs)
-    return int(found["rows"]) if found else df.count()
-
-
 # --------------------------------------------------------------------------- PIP4
 def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Sequence[str] = (), *,
                    path: str, conversions: Mapping[str, str | tuple[str, str]],
@@ -479,7 +472,8 @@ def load_flat_file(spark: SparkSession, files: str | Sequence[str], columns: Seq
         audit.complete()
         return LoadResult(audit, out, path,
                           {"read": routed.rows, "errors": routed.error_rows,
-                           "written": routed.valid_rows}, [routed.path])
+                           "written": routed.valid_rows}, [routed.path],
+                          rows_per_file(routed.path_frame, "file", "source_file"))
 
     return _run(spark, audit, body, audit_path, steps_path)
 

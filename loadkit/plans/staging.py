@@ -5,14 +5,15 @@ before anything is published, and counts for the audit.  Recomputing the
 upstream plan (joins, de-duplication) for each of those would repeat its
 shuffles, and caching a large frame in executor memory does not survive a
 lost executor.  So the routed frame is written once to the shared folder,
-partitioned by its route, with an ``Observation`` collecting the counts
-(and, if asked, the valid rows' byte size, which decides later broadcasts) on that
-same write; the outputs are partition-pruned reads of it.
+partitioned by its route.  Valid and error rows are counted in the footers of
+the files it committed; an ``Observation`` on that same write counts what it
+left out (and, if asked, the valid rows' byte size, which decides later
+broadcasts).  The outputs are partition-pruned reads of the staged table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from contextlib import nullcontext
 from dataclasses import dataclass
 
@@ -41,12 +42,13 @@ def observed(obs: Observation) -> dict | None:
 
 def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = None,
           metrics: Sequence[Column] = (), keep: Column | None = None, steps: Steps | None = None,
-          also: Callable[[], dict] | None = None, stop: EarlyStop | None = None) -> tuple[DataFrame, dict]:
+          committed: str | None = None, stop: EarlyStop | None = None) -> tuple[DataFrame, dict]:
     """Write ``df`` under the shared folder and read it back.
 
     Returns (frame, metrics) where metrics were observed on the write itself,
     ``path`` among them.  Rows outside ``keep`` are counted but not written.
-    ``also``: more metrics, asked for when the write is done.  With ``steps``
+    ``committed``: a partition column by which the rows of the committed files
+    are counted, from their footers, as the metric of that name.  With ``steps``
     a table that an earlier run of the batch has staged is taken over, metrics
     included, and ``df`` is not run.  ``stop`` watches over the write.
     """
@@ -67,7 +69,10 @@ def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = Non
         found = observed(obs)
         if found is None:
             found = df.agg(F.count(F.lit(1)).alias("rows"), *metrics).first().asDict()
-        return {**found, **(also() if also else {}), "path": path}
+        if committed:
+            written = spark.read.schema(schema).parquet(path).groupBy(committed).count().collect()
+            found["committed"] = {r[0]: r[1] for r in written}
+        return {**found, "path": path}
 
     found = steps.staged("stage", schema.simpleString(), run) if steps else run()
     return spark.read.schema(schema).parquet(found["path"]), found
@@ -94,7 +99,6 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
                     drop_when: Column | None = None,
                     extra_metrics: Sequence[Column] = (),
                     measure: bool = False, steps: Steps | None = None,
-                    also: Callable[[], dict] | None = None,
                     stop_over: int | None = None) -> tuple[Routed, dict]:
     """Tag ``df`` with ``rules``, stage it, and split it into valid and error rows.
 
@@ -103,7 +107,7 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
     ``drop_when``: rows that belong to neither output (e.g. detail rows an
     inner join would drop); they are counted, not staged.
     ``measure``: also sum the valid rows' bytes (for a later broadcast).
-    ``steps``, ``also``: see ``stage``.
+    ``steps``: see ``stage``.
     ``stop_over``: cancel the write once more rows than this are error rows
     (``early_stop``) and raise ``ErrorLimitExceeded``.
     """
@@ -125,13 +129,13 @@ def route_and_stage(df: DataFrame, rules: Sequence[dict], label: str, *,
         size = F.when(F.col(ROUTE) == "valid", row_bytes(df.select(*columns)))
         extra.append(F.sum(size).alias("valid_bytes"))
     staged, metrics = stage(
-        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped", steps=steps, also=also, stop=stop,
-        metrics=[F.count_if(F.col(ROUTE) == "error").alias("errors"),
-                 F.count_if(F.col(ROUTE) == "dropped").alias("dropped"), *extra])
+        tagged, label, partition_by=[ROUTE], keep=F.col(ROUTE) != "dropped", steps=steps, stop=stop, committed=ROUTE,
+        metrics=[F.count_if(F.col(ROUTE) == "dropped").alias("dropped"), *extra])
+    left, dropped = metrics["committed"], int(metrics["dropped"])
     valid = staged.filter(F.col(ROUTE) == "valid").select(*columns)
     errors = staged.filter(F.col(ROUTE) == "error").drop(ROUTE)
-    routed = Routed(valid=valid, errors=errors, rows=int(metrics["rows"]),
-                    error_rows=int(metrics["errors"]), path_frame=staged,
+    routed = Routed(valid=valid, errors=errors, rows=sum(left.values()) + dropped,
+                    error_rows=left.get("error", 0), path_frame=staged,
                     valid_bytes=int(metrics.get("valid_bytes") or 0),
-                    dropped_rows=int(metrics["dropped"]), path=metrics["path"])
+                    dropped_rows=dropped, path=metrics["path"])
     return routed, metrics
