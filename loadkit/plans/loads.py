@@ -366,7 +366,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
 
     The join runs as a left join with a marker on the primary side; detail
     rows without a primary are counted by the staging write (in neither
-    output, as in an inner join) and recorded as dropped.  The two reads are
+    output, as in an inner join) and recorded as dropped.  Those with a null
+    join key, which have none, are counted before the join and kept out of its
+    shuffle, where they would meet in one task.  The two reads are
     counted by themselves (``plans.reads``; ``snapshot`` goes there), so
     neither a primary that repeats keys nor a task that runs again changes
     the detail count.  Surrogate keys continue from the last one given out
@@ -383,7 +385,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         d, p = (counted_read(df, name, steps, step=f"read-{name}", snapshot=snapshot)
                 for name, df in (("detail", detail), ("primary", primary)))
         read = {"detail": d.rows, "primary": p.rows}
-        joined = merge_join(d.frame, p.frame.withColumn(marker, F.lit(True)), on=join_on, how="left")
+        keyless = _null_key_rule([join_on] if isinstance(join_on, str) else join_on)["condition"]
+        without_key = steps.once("null-keys", lambda: {"rows": d.frame.filter(keyless).count()})["rows"]
+        joined = merge_join(d.frame.filter(~keyless), p.frame.withColumn(marker, F.lit(True)), on=join_on, how="left")
         names = [spec["name"] for spec in lookups]
         if lookups:
             joined = multi_lookup(joined, lookups)
@@ -397,10 +401,11 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         routed, _ = route_and_stage(fact, [*miss, *rules], f"{audit.pipeline}-route",
                                     drop_when=F.col(marker).isNull(), steps=steps)
         joined_rows = routed.rows - routed.dropped_rows
+        dropped = routed.dropped_rows + without_key
         for name, rows in read.items():
             audit.record_read(name, rows)
         audit.record_read("joined", joined_rows, stage="join")
-        audit.record_dropped("join", routed.dropped_rows, "detail_without_primary")
+        audit.record_dropped("join", dropped, "detail_without_primary")
         _finish_routing(routed, audit, pipeline=audit.pipeline, stage="validation",
                         error_path=error_path, error_limit=error_limit,
                         error_fraction=error_fraction, load_ts=load_ts, steps=steps, total=joined_rows,
@@ -416,7 +421,7 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         audit.record_write("fact_table", routed.valid_rows)
         audit.complete()
         return LoadResult(audit, out, path,
-                          {**read, "joined": joined_rows, "dropped": routed.dropped_rows,
+                          {**read, "joined": joined_rows, "dropped": dropped,
                            "errors": routed.error_rows, "written": routed.valid_rows},
                           [*d.staged, *p.staged, routed.path], d.files.unionByName(p.files))
 

@@ -114,3 +114,14 @@ def test_routes_are_counted_from_the_staged_files(spark, tmp_shared, bad, rows):
     rules = [{"name": "bad", "condition": F.expr(bad), "message": "bad"}]
     result = load_generic(spark, two_files(spark, tmp_shared), path=f"{tmp_shared}/t", rules=rules)
     assert result.metrics == {"read": 8, "errors": 8 - rows, "written": rows}
+
+
+def test_null_join_keys_are_dropped_before_the_join(spark, tmp_shared):
+    detail = spark.sql("select if(id < 60, null, id % 10) k, if(id % 2 = 0, 'a', null) j, id from range(90)")
+    primary = spark.sql("select id k, 'a' j from range(9) union all select null, null")
+    result = load_fact(spark, detail, primary, join_on=["k", "j"], path=f"{tmp_shared}/fact")
+    expected = detail.filter("k is not null and j is not null and k < 9").count()
+    assert result.metrics["written"] == expected == result.output.count()
+    assert result.metrics["dropped"] == 90 - expected and result.audit.count("read", "detail") == 90
+    result = load_fact(spark, detail.filter("k is null"), primary.drop("j"), join_on="k", path=f"{tmp_shared}/none")
+    assert (result.metrics["dropped"], result.metrics["written"]) == (60, 0)
