@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadkit.plans.steps import Steps
-from loadkit.session import scratch_path
+from loadkit.session import compressed, scratch_path
 
 FILE = "_metadata.file_path"
 
@@ -67,7 +67,7 @@ def counted_read(df: DataFrame, source: str, steps: Steps, *, step: str = "read"
 
     def run() -> dict:
         path = scratch_path(spark, f"read-{source}")
-        df.write.mode("error").parquet(path)
+        compressed(spark, df.write.mode("error")).parquet(path)
         return {"rows": spark.read.schema(schema).parquet(path).count(), "path": path}
 
     left = steps.staged(step, schema.simpleString(), run)

@@ -5,7 +5,8 @@ before anything is published, and counts for the audit.  Recomputing the
 upstream plan (joins, de-duplication) for each of those would repeat its
 shuffles, and caching a large frame in executor memory does not survive a
 lost executor.  So the routed frame is written once to the shared folder,
-partitioned by its route.  Valid and error rows are counted in the footers of
+partitioned by its route (a task keeps one file a route open, and does not sort
+its rows by route).  Valid and error rows are counted in the footers of
 the files it committed; an ``Observation`` on that same write counts what it
 left out (and, if asked, the valid rows' byte size, which decides later
 broadcasts).  The outputs are partition-pruned reads of the staged table.
@@ -26,7 +27,7 @@ from loadkit.operators.lookups import row_bytes
 from loadkit.operators.routing import ERROR_MESSAGES, ERROR_RULES, is_error_row, tag_errors
 from loadkit.plans.early_stop import EarlyStop
 from loadkit.plans.steps import Steps
-from loadkit.session import scratch_path
+from loadkit.session import compressed, files_side_by_side, scratch_path
 
 ROUTE = "load_route"
 
@@ -61,10 +62,10 @@ def stage(df: DataFrame, label: str, *, partition_by: Sequence[str] | None = Non
         out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *metrics)
         if keep is not None:
             out = out.filter(keep)
-        w = out.write.mode("error").format("parquet")
+        w = compressed(spark, out.write.mode("error").format("parquet"))
         if partition_by:
             w = w.partitionBy(*partition_by)
-        with stop.watching() if stop else nullcontext():
+        with stop.watching() if stop else nullcontext(), files_side_by_side(spark) if partition_by else nullcontext():
             w.save(path)
         found = observed(obs)
         if found is None:

@@ -14,9 +14,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections import Counter
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrameWriter, SparkSession
 
 
 def build_session(app: str = "loadkit", master: str | None = None,
@@ -73,6 +76,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loadkit/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Parquet codec of written tables, unless the session names one: about 30% smaller than Spark's default.
+CODEC, CODEC_SETTING = "zstd", "spark.sql.parquet.compression.codec"
+
+
+def compressed(spark: SparkSession, writer: DataFrameWriter) -> DataFrameWriter:
+    """``writer`` of Parquet files with ``CODEC``; a session that sets a codec keeps its own."""
+    return writer if spark.conf.get(CODEC_SETTING, None) else writer.option("compression", CODEC)
+
+
+OPEN_FILES, OPEN_SETTING = 4, "spark.sql.maxConcurrentOutputFileWriters"
+_open_lock, _open_users, _open_before = threading.Lock(), Counter(), {}
+
+
+@contextmanager
+def files_side_by_side(spark: SparkSession):
+    """Writes partitioned by a column of few values keep a file open for each, in place of sorting their rows by it.
+
+    A session's setting: the first of several writes at once sets it, the last puts back what was there.
+    """
+    with _open_lock:
+        if not _open_users[spark]:
+            _open_before[spark] = spark.conf.get(OPEN_SETTING, None)
+            spark.conf.set(OPEN_SETTING, max(OPEN_FILES, int(_open_before[spark] or 0)))
+        _open_users[spark] += 1
+    try:
+        yield
+    finally:
+        with _open_lock:
+            _open_users[spark] -= 1
+            if not _open_users[spark]:
+                del _open_users[spark]
+                before = _open_before.pop(spark)
+                spark.conf.unset(OPEN_SETTING) if before is None else spark.conf.set(OPEN_SETTING, before)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists, on whatever filesystem its scheme names.
 
