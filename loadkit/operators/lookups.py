@@ -141,6 +141,41 @@ def merge_join(detail: DataFrame, primary: DataFrame, on: Sequence[str] | str,
     return detail.join(primary, on=on, how=how)
 
 
+def _outputs(columns: Sequence[str] | dict[str, str]) -> dict[str, str]:
+    """{dim column: output name}."""
+    return dict(columns) if isinstance(columns, dict) else {c: c for c in columns}
+
+
+def _lookup_side(dim: DataFrame, pairs: list[tuple[str, str]], columns, hit_column: str
+                 ) -> tuple[DataFrame, dict[str, str]]:
+    """The projected lookup side and the names of its keys in it."""
+    key_alias = {dk: f"_lk_{i}" for i, (_, dk) in enumerate(pairs)}
+    side = dim.select(*[F.col(dk).alias(key_alias[dk]) for _, dk in pairs],
+                      *[F.col(c).alias(o) for c, o in _outputs(columns).items()],
+                      F.lit(True).alias(hit_column))
+    # A null dimension key can never match; drop it before counting keys.
+    for alias in key_alias.values():
+        side = side.filter(F.col(alias).isNotNull())
+    return side, key_alias
+
+
+def _measured_broadcast(side: DataFrame, keys: list[str], broadcast: bool | None, max_rows: int, max_bytes: int,
+                        check_unique: bool, budget: list[int] | None) -> bool:
+    """Check the keys if asked; ``broadcast`` as told, else by the side's size, which comes off the budget."""
+    size = None
+    if check_unique:
+        size = assert_unique(side, keys, "lookup dimension")
+    if broadcast is None:
+        if budget is not None:
+            max_bytes = min(max_bytes, budget[0])
+        if size is None and (estimated_bytes(side) or 0) <= HOPELESS * max_bytes:
+            size = measured_size(side)
+        broadcast = size is not None and within_broadcast(size, max_rows, max_bytes)
+        if broadcast and budget is not None:
+            budget[0] -= size[1]
+    return broadcast
+
+
 def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str, str],
                     columns: Sequence[str] | dict[str, str], *,
                     broadcast: bool | None = None,
@@ -159,29 +194,12 @@ def lookup_labelled(df: DataFrame, dim: DataFrame, on: Sequence[str] | dict[str,
     A null key never matches.
     """
     pairs = _pairs(on)
-    ret = dict(columns) if isinstance(columns, dict) else {c: c for c in columns}
-    clash = (set(ret.values()) | {hit_column}) & set(df.columns)
+    clash = {*_outputs(columns).values(), hit_column} & set(df.columns)
     if clash:
         raise ValueError(f"lookup output columns already exist: {sorted(clash)}")
-    key_alias = {dk: f"_lk_{i}" for i, (_, dk) in enumerate(pairs)}
-    side = dim.select(*[F.col(dk).alias(key_alias[dk]) for _, dk in pairs],
-                      *[F.col(c).alias(o) for c, o in ret.items()],
-                      F.lit(True).alias(hit_column))
-    # A null dimension key can never match; drop it before counting keys.
-    for alias in key_alias.values():
-        side = side.filter(F.col(alias).isNotNull())
-    size = None
-    if check_unique:
-        size = assert_unique(side, list(key_alias.values()), "lookup dimension")
-    if broadcast is None:
-        if budget is not None:
-            max_broadcast_bytes = min(max_broadcast_bytes, budget[0])
-        if size is None and (estimated_bytes(side) or 0) <= HOPELESS * max_broadcast_bytes:
-            size = measured_size(side)
-        broadcast = size is not None and within_broadcast(size, max_broadcast_rows, max_broadcast_bytes)
-        if broadcast and budget is not None:
-            budget[0] -= size[1]
-    if broadcast:
+    side, key_alias = _lookup_side(dim, pairs, columns, hit_column)
+    if _measured_broadcast(side, list(key_alias.values()), broadcast, max_broadcast_rows, max_broadcast_bytes,
+                           check_unique, budget):
         side = F.broadcast(side)
     cond = [df[fk] == side[key_alias[dk]] for fk, dk in pairs]
     joined = df.join(side, on=cond, how="left")
@@ -219,20 +237,64 @@ def multi_lookup(df: DataFrame, lookups: Sequence[dict], *, hit_prefix: str = "h
     the rest are shuffle joins.
     """
     out = df
-    budget = [DEFAULT_BROADCAST_BYTES]
+    for spec in measured_lookups(lookups, hit_prefix=hit_prefix):
+        out = lookup_labelled(out, _lookup_dim(spec), spec["on"], spec["columns"], broadcast=spec["broadcast"],
+                              check_unique=False, hit_column=f"{hit_prefix}{spec['name']}")
+    return out
+
+
+def _lookup_dim(spec: dict) -> DataFrame:
+    return current_versions(spec["dim"], spec.get("flag", "is_current")) if spec.get("current_only") else spec["dim"]
+
+
+def measured_lookups(lookups: Sequence[dict], *, hit_prefix: str = "hit_") -> list[dict]:
+    """The lookups with their keys checked and ``broadcast`` decided; measured once, nothing is left to measure."""
+    budget, out = [DEFAULT_BROADCAST_BYTES], []
     for spec in lookups:
-        dim = spec["dim"]
-        if spec.get("current_only"):
-            dim = current_versions(dim, spec.get("flag", "is_current"))
-        out = lookup_labelled(out, dim, spec["on"], spec["columns"],
-                              broadcast=spec.get("broadcast"),
-                              max_broadcast_rows=spec.get("max_broadcast_rows",
-                                                          DEFAULT_BROADCAST_ROWS),
-                              check_unique=spec.get("check_unique", True), budget=budget,
-                              hit_column=f"{hit_prefix}{spec['name']}")
+        side, key_alias = _lookup_side(_lookup_dim(spec), _pairs(spec["on"]), spec["columns"],
+                                       f"{hit_prefix}{spec['name']}")
+        broadcast = _measured_broadcast(side, list(key_alias.values()), spec.get("broadcast"),
+                                        spec.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS),
+                                        DEFAULT_BROADCAST_BYTES, spec.get("check_unique", True), budget)
+        out.append({**spec, "broadcast": broadcast, "check_unique": False})
     return out
 
 
+def join_with_lookups(detail: DataFrame, primary: DataFrame, on: Sequence[str] | str, lookups: Sequence[dict],
+                      how: str = "inner", *, hit_prefix: str = "hit_") -> DataFrame:
+    """``multi_lookup`` of an inner or left ``merge_join``: the same rows and columns.
+
+    A lookup too large to broadcast shuffles the rows it is made for.  So it
+    comes before the join if one input holds its keys: the rows are narrow
+    there, and those of the primary fewer.  Broadcast lookups come after the
+    join, where their columns are in no shuffle.
+    """
+    shared = {on} if isinstance(on, str) else set(on)
+    own = {"primary": set(primary.columns), "detail": set(detail.columns)}
+    before: dict[str, list[dict]] = {"primary": [], "detail": []}
+    after, added = [], []
+    measured = measured_lookups(lookups, hit_prefix=hit_prefix)
+    for spec in measured:
+        keys = {k for k, _ in _pairs(spec["on"])}
+        new = [*_outputs(spec["columns"]).values(), f"{hit_prefix}{spec['name']}"]
+        clear = not set(new) & (own["primary"] | own["detail"] | set(added))
+        if not spec["broadcast"] and clear and keys <= own["primary"] - own["detail"]:
+            before["primary"].append(spec)
+        elif not spec["broadcast"] and clear and keys <= own["detail"] - (own["primary"] - shared):
+            before["detail"].append(spec)
+        else:
+            after.append(spec)
+        added += new
+    joined = merge_join(multi_lookup(detail, before["detail"], hit_prefix=hit_prefix),
+                        multi_lookup(primary, before["primary"], hit_prefix=hit_prefix), on=on, how=how)
+    joined = multi_lookup(joined, after, hit_prefix=hit_prefix)
+    if len(after) == len(measured):
+        return joined
+    # A detail row without a primary row (a left join) has missed the primary's lookups.
+    missed = {h: F.coalesce(h, F.lit(False)) for h in (f"{hit_prefix}{spec['name']}" for spec in before["primary"])}
+    return joined.withColumns(missed).select(*[c for c in joined.columns if c not in added], *added)
+
+
 def all_hits(names: Sequence[str], hit_prefix: str = "hit_") -> Column:
     out = F.lit(True)
     for n in names:

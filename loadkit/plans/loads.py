@@ -28,8 +28,7 @@ from loadkit.operators.lookups import (
     DEFAULT_BROADCAST_BYTES,
     DEFAULT_BROADCAST_ROWS,
     all_hits,
-    merge_join,
-    multi_lookup,
+    join_with_lookups,
 )
 from loadkit.operators.routing import enforce_error_limit, tag_errors
 from loadkit.operators.scd import scd1_merge, scd2_merge
@@ -387,10 +386,9 @@ def load_fact(spark: SparkSession, detail: DataFrame, primary: DataFrame, *,
         read = {"detail": d.rows, "primary": p.rows}
         keyless = _null_key_rule([join_on] if isinstance(join_on, str) else join_on)["condition"]
         without_key = steps.once("null-keys", lambda: {"rows": d.frame.filter(keyless).count()})["rows"]
-        joined = merge_join(d.frame.filter(~keyless), p.frame.withColumn(marker, F.lit(True)), on=join_on, how="left")
+        joined = join_with_lookups(d.frame.filter(~keyless), p.frame.withColumn(marker, F.lit(True)), join_on, lookups,
+                                   how="left")
         names = [spec["name"] for spec in lookups]
-        if lookups:
-            joined = multi_lookup(joined, lookups)
         cols: dict[str, Column] = dict(derived or {})
         if date_column:
             cols["date_sk"] = date_key(date_column)

@@ -1,8 +1,11 @@
-"""What a load moves and writes: no sort by route."""
+"""What a load moves and writes: no sort by route, shuffled lookups before the join."""
+
+import re
 
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from loadkit.operators.lookups import join_with_lookups, merge_join, multi_lookup
 from loadkit.plans.staging import route_and_stage
 from loadkit.session import OPEN_SETTING, files_side_by_side
 
@@ -35,3 +38,25 @@ def test_writes_at_once_put_the_setting_back_once(spark):
             pass
         assert int(spark.conf.get(OPEN_SETTING)) > 1
     assert spark.conf.get(OPEN_SETTING, None) == before
+
+
+def test_shuffled_lookups_come_before_the_join(spark):
+    detail = spark.createDataFrame([(1, 7, 5), (1, 8, 6), (2, None, 5), (3, 7, None), (9, 7, 5)],
+                                   "o int, part int, supp int")
+    primary = spark.createDataFrame([(1, 4), (1, 4), (2, None), (3, 5)], "o int, cust int")
+    dims = {"cust": [(4, "c4"), (None, "no")], "part": [(7, "p7"), (6, "p6")], "supp": [(5, "s5")]}
+
+    def specs(**kw):
+        return [{"name": n, "dim": spark.createDataFrame(rows, f"{n}_id int, {n}_name string"),
+                 "on": {n: f"{n}_id"}, "columns": [f"{n}_name"], "broadcast": kw.get(n, False)}
+                for n, rows in dims.items()]
+
+    for how in ("inner", "left"):
+        want = multi_lookup(merge_join(detail, primary, "o", how), specs())
+        got = join_with_lookups(detail, primary, "o", specs(supp=True), how)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+    depth = {m[2]: len(m[1]) for m in re.finditer(r"^([ :+-]*)Join \w+, .*?\((\w+)#", got._jdf.queryExecution()
+                                                  .optimizedPlan().toString(), re.M)}
+    assert depth["supp"] < depth["o"] < min(depth["cust"], depth["part"])
