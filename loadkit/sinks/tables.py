@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadkit.functions.columns import ts_literal
+from loadkit.session import compressed
 
 # Files above this many rows are split; keeps files an even size at any scale.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -16,6 +17,8 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 def _writer(df: DataFrame, fmt: str, mode: str, partition_by: Sequence[str] | None):
     w = df.write.format(fmt).mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    if fmt == "parquet":
+        w = compressed(df.sparkSession, w)
     if partition_by:
         w = w.partitionBy(*partition_by)
     return w

@@ -1,19 +1,27 @@
-"""What a load moves and writes: no sort by route, shuffled lookups before the join."""
+"""What a load moves and writes: no sort by route, compressed tables, shuffled lookups before the join."""
 
+import glob
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from loadkit.operators.lookups import join_with_lookups, merge_join, multi_lookup
 from loadkit.plans.staging import route_and_stage
-from loadkit.session import OPEN_SETTING, files_side_by_side
+from loadkit.session import CODEC_SETTING, OPEN_SETTING, files_side_by_side
+from loadkit.sinks.tables import append
 
 
 def rules():
     return [{"name": "odd", "condition": F.col("k") % 2 == 1, "message": "odd"}]
 
 
+def codecs(path):
+    files = glob.glob(f"{path.removeprefix('file:')}/**/*.parquet", recursive=True)
+    return {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files}
+
+
 def test_staging_does_not_sort_by_route(spark, monkeypatch):
     """The write keeps one file a route open; the session's setting is as before after it."""
     seen, save = [], DataFrameWriter.save
@@ -40,6 +48,18 @@ def test_writes_at_once_put_the_setting_back_once(spark):
     assert spark.conf.get(OPEN_SETTING, None) == before
 
 
+def test_tables_are_compressed_unless_the_session_names_a_codec(spark, tmp_shared):
+    routed, _ = route_and_stage(spark.range(100).toDF("k"), rules(), "volume")
+    append(routed.valid, f"{tmp_shared}/a")
+    assert codecs(routed.path) == codecs(f"{tmp_shared}/a") == {"ZSTD"}
+    spark.conf.set(CODEC_SETTING, "gzip")
+    try:
+        append(routed.valid, f"{tmp_shared}/b")
+    finally:
+        spark.conf.unset(CODEC_SETTING)
+    assert codecs(f"{tmp_shared}/b") == {"GZIP"}
+
+
 def test_shuffled_lookups_come_before_the_join(spark):
     detail = spark.createDataFrame([(1, 7, 5), (1, 8, 6), (2, None, 5), (3, 7, None), (9, 7, 5)],
                                    "o int, part int, supp int")
